@@ -1,0 +1,65 @@
+from urllib.parse import urljoin
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from pagecatalog.functions import (
+    capture_key, clean, decode_named_entities, host_of, query_url, record_id, resolve_url, site_root)
+
+BASES = ["https://a.example", "https://a.example/", "http://a.example/x/y.html?q=1#f", "http://a.example/x/y/"]
+HREFS = [
+    "/plain", "/plain/deep", "/p?x=1", "/p#f", "/p?x=1#f", "//other.example/z", "http://b.example/c",
+    "https://b.example", "rel", "rel/deep", "./rel", "../rel", "../../up", "/a/../b", "/a/./b", "/..", "..", ".",
+    "a//b", "/a//b", "?q=2", "#frag", "", "mailto:x@y.example", "javascript:void(0)", "tel:123", "?", "#",
+    "/dots.in.name", "/x/.hidden", "/x/...", "a/b/../c?d#e", "/trailing/", " /lead", "/ta\tb", "/q?u=/../x",
+    "http:/same", "/", "//h", "../a/..", "a/.", "/a/b/..", "/ü/é", "HTTP://B.example/A", "/.", "/a.b/c",
+]
+
+
+def resolve_all(spark, pairs):
+    rows = spark.createDataFrame([(i, b, h) for i, (b, h) in enumerate(pairs)], "i int, b string, h string")
+    out = rows.select("i", resolve_url(F.col("b"), F.col("h")).alias("u")).collect()
+    return [r.u for r in sorted(out)]
+
+
+def test_resolve_url_agrees_with_the_standard_library(spark):
+    pairs = [(b, h) for b in BASES for h in HREFS]
+    wrong = [(p, got, urljoin(*p)) for p, got in zip(pairs, resolve_all(spark, pairs)) if got != urljoin(*p)]
+    assert wrong == []
+
+
+def test_resolve_url_null(spark):
+    assert resolve_all(spark, [("http://a.example", None)]) == [None]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="ab./?#", max_size=12), min_size=60, max_size=120))
+def test_resolve_url_on_generated_references(spark, hrefs):
+    pairs = [(b, h) for b in BASES[:1] + BASES[2:] for h in hrefs if "//" not in h[:2]]
+    wrong = [(p, got, urljoin(*p)) for p, got in zip(pairs, resolve_all(spark, pairs)) if got != urljoin(*p)]
+    assert wrong == []
+
+
+@pytest.mark.parametrize("url,root,host,rid", [
+    ("http://a.example/x/y?z=1", "http://a.example", "a.example", "y?z=1"),
+    ("https://b.example/x/", "https://b.example", "b.example", ""),
+    ("https://b.example?x", "https://b.example", "b.example", "b.example?x"),
+])
+def test_url_parts(spark, url, root, host, rid):
+    row = spark.createDataFrame([(url,)], "u string").select(
+        site_root(F.col("u")), host_of(F.col("u")), record_id(F.col("u")), capture_key(F.col("u"))).first()
+    assert tuple(row)[:3] == (root, host, rid)
+    assert len(row[3]) == 32
+
+
+def test_query_url(spark):
+    row = spark.range(1).select(
+        query_url("http://a/s", {"s": F.lit("two words"), "t": "1"}), query_url("http://a/s", {})).first()
+    assert tuple(row) == ("http://a/s?s=two words&t=1", "http://a/s")
+
+
+def test_clean_and_entities(spark):
+    row = spark.createDataFrame([(" \n\t x  ", "&amp;quot; &copy;&middot;&quot;")], "a string, b string") \
+        .select(clean(F.col("a")), decode_named_entities(F.col("b"))).first()
+    assert tuple(row) == ("x", '&quot; ©·"')
