@@ -48,14 +48,14 @@ def fresh(captures: DataFrame, as_of: Column | str, hours: int = CAPTURE_HOURS,
     return captures.filter(F.col(at) > as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
 
-def read_url_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of bare strings as ``(pos, url)``.
+def read_url_array(spark: SparkSession, path: str, array_per_line: bool = False) -> DataFrame:
+    """JSON arrays of bare strings as ``(pos, url)``, one per file or one per line.
 
-    Such a file is one JSON value and is read by one task: a form for imports. Lists of
-    any size live in Parquet, see :func:`read_links`.
+    An array is one value in one task. Lists of any size live in Parquet, see
+    :func:`read_links`.
     """
     def read() -> DataFrame:
-        whole = spark.read.text(path, wholetext=True)
+        whole = spark.read.text(path, wholetext=not array_per_line)
         urls = F.from_json("value", "array<string>")
         return whole.select(F.posexplode(urls).alias("pos", "url")).withColumn("pos", F.col("pos").cast("long"))
 

@@ -74,10 +74,10 @@ def upsert_sink(path: str) -> BatchSink:
 
 
 def read_upserted(spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: str) -> DataFrame:
-    """The table as of now: per key the row of the latest batch, then of the largest ``seq``."""
+    """The table as of now: per key the row of the largest ``seq``, of repeats the last to arrive."""
     changes = read_table_files(spark, f"{path}/changes", T.StructType(
         [*schema.fields, T.StructField("batch_id", T.LongType())]))
-    return latest(changes, key, [F.desc("batch_id"), F.desc(seq)]).drop("batch_id")
+    return latest(changes, key, [F.desc(seq), F.desc("batch_id")]).drop("batch_id")
 
 
 def compact(spark: SparkSession, path: str, base: DataFrame, schema: T.StructType, key: list[str], seq: str) -> str:
