@@ -8,8 +8,9 @@ priority, order, joins) is an expression on the array, without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -26,9 +27,11 @@ ELEMENT = T.StructType([
 ])
 
 # Fixed values of the HTML standard: elements without content, elements whose text is
-# not page text, and which open elements a start tag closes (up to a containing one).
+# not page text, elements whose text holds no tags, and which open elements a start tag
+# closes (up to a containing one).
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _NO_TEXT = frozenset(("script", "style", "template"))
+_RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
 _BLOCKS = frozenset((
     "address article aside blockquote details div dl fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul").split())
@@ -40,119 +43,189 @@ _CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
+    **{tag: ({"p"}, {"table", "td", "th", "button", "caption"}) for tag in _BLOCKS},
 }
-_P_SCOPE = frozenset("table td th button caption".split())
 
+# As browsers do, elements nested deeper than this are kept but not opened.
+_MAX_DEPTH = 512
 
-class _Flattener(HTMLParser):
-    """Collects elements in document order while a page is fed in."""
+# One alternative per kind of markup; quantifiers are possessive, so a page is scanned in
+# time linear in its length whatever it holds.
+_ATTRIBUTE = r"""(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]*+)))?+"""
+_MARKUP = re.compile(
+    r"<(?:([A-Za-z][^\s/>]*+)((?:[\s/]++|" + _ATTRIBUTE.replace("([^", "(?:[^").replace("(=[^", "(?:=[^") + r")*+)>"
+    r"|/([A-Za-z][^\s/>]*+)[^>]*+>"
+    r"|!--(?:.*?)-->"
+    r"|(?=!--)|[!?/][^>]*+>"
+    r"|(?=[A-Za-z/!?]))", re.S)
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
+
+
+class _Pages:
+    """Element columns of many pages, filled page by page."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.elements: list[list] = []
-        self.text: list[str] = []
-        self.length = 0
-        self.open: list[int] = []
-
-    def _close_to(self, depth: int) -> None:
-        for number in self.open[depth:]:
-            element = self.elements[number]
-            element[1] = len(self.elements) - 1
-            element[7] = self.length - element[6]
-        del self.open[depth:]
-
-    def _close_implied(self, closes: frozenset | set, within: frozenset | set) -> None:
-        target = None
-        for depth in range(len(self.open) - 1, -1, -1):
-            tag = self.elements[self.open[depth]][2]
-            if tag in within:
+        self.texts: list[str] = []
+        self.names: list[list[str]] = []
+        self.page_ends = [0]
+        self.ord: list[int] = []
+        self.last_ord: list[int] = []
+        self.tag: list[str] = []
+        self.elem_id: list[str | None] = []
+        self.classes: list[str] = []
+        self.class_ends = [0]
+        self.attr_names: list[str] = []
+        self.attr_values: list[str] = []
+        self.attr_ends = [0]
+        self.text_from: list[int] = []
+        self.text_len: list[int] = []
+
+    def add(self, html: str) -> None:
+        """Flatten one page: elements in document order, each closed where the standard
+        implies it or at the nearest end tag of its name."""
+        base = len(self.tag)
+        first_class = len(self.classes)
+        text: list[str] = []
+        length = 0
+        hidden = 0
+        opened: list[int] = []  # row numbers of the open elements
+        tags = self.tag
+
+        def close_to(depth: int) -> None:
+            nonlocal hidden
+            last = len(tags) - 1 - base
+            for row in opened[depth:]:
+                self.last_ord[row] = last
+                self.text_len[row] = length - self.text_from[row]
+                hidden -= tags[row] in _NO_TEXT
+            del opened[depth:]
+
+        def put(data: str) -> None:
+            nonlocal length
+            if data and not hidden:
+                data = unescape(data) if "&" in data else data
+                text.append(data)
+                length += len(data)
+
+        at = 0
+        while True:
+            markup = _MARKUP.search(html, at)
+            if markup is None:
+                put(html[at:])
                 break
-            if tag in closes:
-                target = depth
-        if target is not None:
-            self._close_to(target)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _BLOCKS:
-            self._close_implied({"p"}, _P_SCOPE)
-        if tag in _CLOSES:
-            self._close_implied(*_CLOSES[tag])
-        named: dict[str, str] = {}
-        for key, value in attrs:
-            named.setdefault(key, value or "")
-        number = len(self.elements)
-        self.elements.append([number, number, tag, named.get("id"), named.get("class", "").split(),
-                              list(named.items()), self.length, 0])
-        if tag not in _VOID:
-            self.open.append(number)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # HTML ignores the slash of <div/>
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.elements[self.open[depth]][2] == tag:
-                self._close_to(depth)
-                return
-
-    def handle_data(self, data):
-        if not any(self.elements[n][2] in _NO_TEXT for n in self.open):
-            self.text.append(data)
-            self.length += len(data)
-
-    def finish(self) -> tuple[str, list[list]]:
-        self.close()
-        self._close_to(0)
-        return "".join(self.text), self.elements
-
-
-def flatten_page(html: str) -> tuple[str, list[tuple]]:
-    parser = _Flattener()
-    parser.feed(html)
-    text, elements = parser.finish()
-    return text, [tuple(e) for e in elements]
-
-
-_ARROW_ELEMENT = pa.struct([
-    ("ord", pa.int32()), ("last_ord", pa.int32()), ("tag", pa.string()), ("elem_id", pa.string()),
-    ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
-    ("text_from", pa.int32()), ("text_len", pa.int32()),
-])
-_PAGES_PER_OUTPUT = 200
+            put(html[at:markup.start()])
+            at = markup.end()
+            if at == markup.start() + 1:  # markup that never ends
+                break
+            tag, end = markup.group(1), markup.group(3)
+            if tag:
+                tag = tag.lower()
+                if tag in _CLOSES:
+                    closes, within = _CLOSES[tag]
+                    depth = None
+                    for k in range(len(opened) - 1, -1, -1):
+                        name = tags[opened[k]]
+                        if name in within:
+                            break
+                        if name in closes:
+                            depth = k
+                    if depth is not None:
+                        close_to(depth)
+                self._start(tag, markup.group(2), base, length)
+                if tag not in _VOID and len(opened) < _MAX_DEPTH:
+                    opened.append(len(tags) - 1)
+                    hidden += tag in _NO_TEXT
+                if tag in _RAW:
+                    stop = _RAW_END[tag].search(html, at)
+                    until = stop.start() if stop else len(html)
+                    put(html[at:until])
+                    at = until
+            elif end:
+                end = end.lower()
+                for k in range(len(opened) - 1, -1, -1):
+                    if tags[opened[k]] == end:
+                        close_to(k)
+                        break
+        close_to(0)
+        self.texts.append("".join(text))
+        self.page_ends.append(len(tags))
+        self.names.append([
+            *set(tags[base:]), *{f".{c}" for c in self.classes[first_class:]},
+            *{f"#{i}" for i in self.elem_id[base:] if i is not None}])
+
+    def _start(self, tag: str, attributes: str, base: int, length: int) -> None:
+        number = len(self.tag) - base
+        self.ord.append(number)
+        self.last_ord.append(number)
+        self.tag.append(tag)
+        elem_id = None
+        seen = set()
+        if attributes:
+            for name, double, single, bare in _ATTRIBUTES.findall(attributes):
+                name = name.lower()
+                if name in seen:  # the first of repeated attributes counts
+                    continue
+                seen.add(name)
+                value = double or single or bare
+                value = unescape(value) if "&" in value else value
+                self.attr_names.append(name)
+                self.attr_values.append(value)
+                if name == "id":
+                    elem_id = value
+                elif name == "class":
+                    self.classes.extend(value.split())
+        self.elem_id.append(elem_id)
+        self.class_ends.append(len(self.classes))
+        self.attr_ends.append(len(self.attr_names))
+        self.text_from.append(length)
+        self.text_len.append(0)
+
+    def arrow(self) -> tuple[pa.Array, ...]:
+        def ints(values: list[int]) -> pa.Array:
+            return pa.array(values, pa.int32())
+
+        def strings(values: list) -> pa.Array:
+            return pa.array(values, pa.string())
+
+        columns = {
+            "ord": ints(self.ord), "last_ord": ints(self.last_ord), "tag": strings(self.tag),
+            "elem_id": strings(self.elem_id),
+            "classes": pa.ListArray.from_arrays(ints(self.class_ends), strings(self.classes)),
+            "attrs": pa.MapArray.from_arrays(
+                ints(self.attr_ends), strings(self.attr_names), strings(self.attr_values)),
+            "text_from": ints(self.text_from), "text_len": ints(self.text_len),
+        }
+        rows = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+        return (strings(self.texts), pa.array(self.names, pa.list_(pa.string())),
+                pa.ListArray.from_arrays(ints(self.page_ends), rows))
 
 
-def _element_column(pages: list[list[tuple]]) -> pa.Array:
-    offsets, rows = [0], []
-    for page in pages:
-        rows.extend(page)
-        offsets.append(len(rows))
-    columns = list(zip(*rows)) if rows else [()] * len(_ARROW_ELEMENT)
-    arrays = [pa.array(col, type=field.type) for col, field in zip(columns, _ARROW_ELEMENT)]
-    return pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(_ARROW_ELEMENT)))
+_PAGES_PER_OUTPUT = 200
 
 
 def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, _PAGES_PER_OUTPUT):
             part = batch.slice(at, _PAGES_PER_OUTPUT)
-            pages = [flatten_page(h) for h in part.column(part.num_columns - 1).to_pylist()]
-            keep = part.columns[:-1]
-            names = part.schema.names[:-1]
+            pages = _Pages()
+            for html in part.column(part.num_columns - 1).to_pylist():
+                pages.add(html)
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array([p[0] for p in pages], pa.string()), _element_column([p[1] for p in pages])],
-                names=[*names, "doc_text", "elements"])
+                [*part.columns[:-1], *pages.arrow()], names=[*part.schema.names[:-1], "doc_text", "names", "elements"])
 
 
 def elements(captures: DataFrame, keep: Sequence[str] = ("url",), html: str = "html") -> DataFrame:
-    """``keep`` columns, ``doc_text`` and ``elements`` of every capture that has HTML.
+    """``keep`` columns, ``doc_text``, ``names`` and ``elements`` of every capture with HTML.
 
-    The HTML itself is dropped here, as early as can be.
+    ``names`` are the tags, ``.classes`` and ``#ids`` that occur on the page; most
+    selectors fail on those alone. The HTML itself is dropped here, as early as can be.
     """
     source = captures.filter(F.col(html).isNotNull()).select(*keep, html)
     schema = T.StructType([
         *[source.schema[k] for k in keep],
         T.StructField("doc_text", T.StringType()),
+        T.StructField("names", T.ArrayType(T.StringType())),
         T.StructField("elements", T.ArrayType(ELEMENT)),
     ])
     return source.mapInArrow(_flatten_batches, schema)

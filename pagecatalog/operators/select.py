@@ -1,4 +1,4 @@
-"""Selectors as expressions on the ``elements`` array of a parsed page.
+"""Selectors as expressions on parsed pages, see ``elements``: no row leaves its task.
 
 Forms: ``tag``, ``.class``, ``#id``, ``[attr]``, ``[attr="v"]``, ``[attr*="v"]``, any of
 them run together, and descendants separated by white space.
@@ -40,18 +40,23 @@ def _all_of(conditions: list[Callable[[Column], Column]]) -> Callable[[Column],
     return lambda e: reduce(lambda test, c: test & c(e), conditions[1:], conditions[0](e))
 
 
-def _steps(selector: str) -> list[Callable[[Column], Column]]:
-    """One predicate per step of the descendant chain."""
-    steps = []
+def _steps(selector: str) -> tuple[list[Callable[[Column], Column]], list[str]]:
+    """One predicate per step of the descendant chain, and the names all steps need."""
+    steps, names = [], []
     # spaces inside an attribute value do not separate steps
     for text in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", selector):
         parts = list(_PART.finditer(text))
         if "".join(p.group(0) for p in parts) != text:
             raise ValueError(f"unsupported selector: {selector!r}")
         steps.append(_all_of([_condition(p) for p in parts]))
+        names += [p.group(0).lower() if p["tag"] else p.group(0) for p in parts if not p["attr"]]
     if not steps:
         raise ValueError("empty selector")
-    return steps
+    return steps, names
+
+
+def inside(e: Column, scope: Column) -> Column:
+    return (e["ord"] > scope["ord"]) & (e["ord"] <= scope["last_ord"])
 
 
 def inside(e: Column, scope: Column) -> Column:
@@ -63,16 +68,27 @@ def _below(outer: Column, step: Callable[[Column], Column], elements: Column) ->
         elements, lambda e: step(e) & F.exists(scopes, lambda s: inside(e, s))))
 
 
-def matches(selector: str, elements: Column | str = "elements") -> Column:
-    """All elements that ``selector`` matches, in document order."""
-    found = F.col(elements) if isinstance(elements, str) else elements
-    outermost, *inner = _steps(selector)
-    return reduce(lambda outer, step: _below(outer, step, found), inner, F.filter(found, outermost))
+def _below(outer: Column, step: Callable[[Column], Column]) -> Column:
+    return bind(outer, lambda scopes: F.filter(
+        "elements", lambda e: step(e) & F.exists(scopes, lambda s: inside(e, s))))
+
 
+def matches(selector: str) -> Column:
+    """All elements of the page that ``selector`` matches, in document order.
 
-def matches_in(scope: Column, selector: str, elements: Column | str = "elements") -> Column:
+    NULL, without a look at the elements, where the page lacks a name the selector needs.
+    """
+    (outermost, *inner), names = _steps(selector)
+    found = reduce(_below, inner, F.filter("elements", outermost))
+    if not names:
+        return found
+    possible = reduce(lambda a, b: a & b, [F.array_contains("names", n) for n in dict.fromkeys(names)])
+    return F.when(possible, found)
+
+
+def matches_in(scope: Column, selector: str) -> Column:
     """Matches of ``selector`` below the element ``scope``."""
-    return bind(scope, lambda s: F.filter(matches(selector, elements), lambda e: inside(e, s)))
+    return bind(scope, lambda s: F.filter(matches(selector), lambda e: inside(e, s)))
 
 
 def first(found: Column) -> Column:
@@ -80,14 +96,9 @@ def first(found: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
-def raw_text(e: Column, doc_text: Column | str = "doc_text") -> Column:
-    doc_text = F.col(doc_text) if isinstance(doc_text, str) else doc_text
-    return F.substring(doc_text, e["text_from"] + 1, e["text_len"])
-
-
-def text_of(e: Column, doc_text: Column | str = "doc_text") -> Column:
+def text_of(e: Column) -> Column:
     """Trimmed text of an element, NULL for no element."""
-    return clean(raw_text(e, doc_text))
+    return clean(F.substring("doc_text", e["text_from"] + 1, e["text_len"]))
 
 
 def first_matching(selectors: Sequence[str]) -> Column:

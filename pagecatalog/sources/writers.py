@@ -144,10 +144,25 @@ def with_capture_key(captures: DataFrame) -> DataFrame:
     return captures.withColumn("key", capture_key(F.col("url")))
 
 
+# Pages are costly per row: files of this many rows keep a scan's tasks even.
+CAPTURES_PER_FILE = 20_000
+
+
 def write_captures(captures: DataFrame, path: str) -> None:
     """Append captures under their key, in one folder per fetch date."""
     keyed = with_capture_key(captures).withColumn("fetch_date", F.to_date("fetched_at"))
-    keyed.write.mode("append").partitionBy("fetch_date").parquet(path)
+    keyed.write.mode("append").option("maxRecordsPerFile", CAPTURES_PER_FILE) \
+        .partitionBy("fetch_date").parquet(path)
+
+
+def write_capture_table(captures: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
+    """Captures as a table in buckets by URL, for jobs that join them to URL lists.
+
+    A list of any length then comes to the captures; the HTML itself is never shuffled.
+    """
+    writer = captures.repartition(buckets, "url").write.mode("overwrite").format("parquet") \
+        .option("maxRecordsPerFile", CAPTURES_PER_FILE).bucketBy(buckets, "url")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def image_path(folder: str, record: Column, image_url: Column, status: Column, content_type: Column) -> Column:
