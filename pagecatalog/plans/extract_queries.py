@@ -15,8 +15,9 @@ def docs(spark, folder):
 
 
 def _decoded(sql: str) -> str:
-    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        sql = f"replace({sql}, '{entity}', '{char}')"
+    """The entities that occur, their closing semicolon missing where a text was cut."""
+    for entity, char in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+        sql = f"regexp_replace({sql}, '&{entity};?', '{char}', 'g')"
     return sql
 
 

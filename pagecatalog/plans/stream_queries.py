@@ -92,12 +92,12 @@ SELECT url, attempts, CASE WHEN done THEN 'done' WHEN attempts < 3 THEN 'retry'
     CASE WHEN NOT done AND attempts < 3 THEN last_us + (500000 * 2 ** (attempts - 1))::BIGINT END AS retry_at_us
 FROM standing""")
 def stream_retry(spark, folder):
-    log = fetch_log(spark, folder).select("url", "ok", "error", F.unix_micros("ts").alias("ts_us"))
+    log = fetch_log(spark, folder).select("url", "ok", "error", "ts")
     path = fresh_path(spark, "stream-retry")
     with S.with_rocksdb(spark):
         standing = S.track_retries(as_stream(spark, log, "ok"))
         finished(S.to_sink(standing, S.batch_files(path), f"{path}-checkpoint", mode="update"))
-    return S.latest(spark.read.parquet(path), ["url"], [F.desc("attempts")]).select(*S.RETRY_OUTPUT.fieldNames())
+    return S.latest(spark.read.parquet(path), ["url"], [F.desc("batch_id")]).drop("batch_id")
 
 
 @query("""

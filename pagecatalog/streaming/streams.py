@@ -6,15 +6,14 @@ so a batch that is replayed after a failure overwrites its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pagecatalog import defaults as D
 from pagecatalog.operators.catalog import latest, upsert
+from pagecatalog.operators.progress import backoff_seconds
 from pagecatalog.session import session_conf
 from pagecatalog.sources.readers import read_table_files
 from pagecatalog.sources.writers import publish
@@ -103,62 +102,25 @@ def request_rate(log: DataFrame, window: str, late: str = "10 minutes") -> DataF
         .agg(F.count(F.lit(1)).alias("requests")).select(F.col("w.start").alias("window_start"), "requests")
 
 
-RETRY_STATE = T.StructType([
-    T.StructField("attempts", T.LongType()), T.StructField("done", T.BooleanType()),
-    T.StructField("last_error", T.StringType()), T.StructField("last_us", T.LongType())])
-RETRY_OUTPUT = T.StructType([
-    T.StructField("url", T.StringType()), T.StructField("attempts", T.LongType()),
-    T.StructField("state", T.StringType()), T.StructField("error", T.StringType()),
-    T.StructField("retry_at_us", T.LongType())])
+def track_retries(log: DataFrame, max_attempts: int = D.MAX_ATTEMPTS, delay: float = D.REQUEST_DELAY) -> DataFrame:
+    """Standing of each URL that a batch of the log ``(url, ok, error, ts)`` touched:
+    ``done``, ``retry`` with when it is due again, or ``dead`` with its last error.
 
-
-class RetryTracker(StatefulProcessor):
-    """Per URL: attempts, success, last error, and when it is due again.
-
-    State is one small value per URL and a batch's rows are folded chunk by chunk, so a
-    URL with many rows is never held whole. Emits the URL's standing after each batch:
-    ``done``, ``retry`` or ``dead``.
+    Counts and maxima per URL are all the state there is, so this is a streaming
+    aggregation; use update mode. No URL's rows are ever held together.
     """
-
-    def __init__(self, max_attempts: int = D.MAX_ATTEMPTS, delay: float = D.REQUEST_DELAY):
-        self.max_attempts = max_attempts
-        self.delay = delay
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.standing = handle.getValueState("standing", RETRY_STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        before = self.standing.get() if self.standing.exists() else None
-        attempts, done, error, last = before if before else (0, False, None, -1)
-        for chunk in rows:
-            attempts += len(chunk)
-            done = done or bool(chunk["ok"].any())
-            newest = chunk.loc[chunk["ts_us"].idxmax()]
-            failed = chunk[~chunk["ok"].astype(bool)]
-            if len(failed):
-                latest_failure = failed.loc[failed["ts_us"].idxmax()]
-                if latest_failure["ts_us"] >= last:
-                    error = latest_failure["error"]
-            last = max(last, int(newest["ts_us"]))
-        self.standing.update((attempts, done, error, last))
-        state = "done" if done else "retry" if attempts < self.max_attempts else "dead"
-        wait = int(self.delay * 2 ** (attempts - 1) * 1_000_000) if state == "retry" else None
-        yield pd.DataFrame({
-            "url": [key[0]], "attempts": [attempts], "state": [state],
-            "error": [error if state == "dead" else None],
-            "retry_at_us": pd.array([last + wait if wait is not None else None], dtype="Int64")})
-
-    def close(self) -> None:
-        pass
-
-
-def track_retries(log: DataFrame, max_attempts: int = D.MAX_ATTEMPTS) -> DataFrame:
-    """Standing of each URL after each batch of the log ``(url, ok, error, ts_us)``."""
-    return log.groupBy("url").transformWithStateInPandas(
-        statefulProcessor=RetryTracker(max_attempts), outputStructType=RETRY_OUTPUT,
-        outputMode="Update", timeMode="None")
+    at = F.unix_micros("ts")
+    seen = log.groupBy("url").agg(
+        F.count(F.lit(1)).alias("attempts"), F.max("ok").alias("done"),
+        F.max_by("error", at).alias("last_error"), F.max(at).alias("last_us"))
+    state = F.when(F.col("done"), "done").when(F.col("attempts") < max_attempts, "retry").otherwise("dead")
+    wait_us = (backoff_seconds(F.col("attempts"), delay) * 1_000_000).cast("long")
+    return seen.select("url", "attempts", state.alias("state"), "last_error", "last_us").select(
+        "url", "attempts", "state",
+        F.when(F.col("state") == "dead", F.col("last_error")).alias("error"),
+        F.when(F.col("state") == "retry", F.col("last_us") + wait_us).alias("retry_at_us"))
 
 
 def with_rocksdb(spark: SparkSession):
-    """Settings that :func:`track_retries` needs while its query starts."""
+    """Keep streaming state on disk while a query starts: for state that outgrows memory."""
     return session_conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB)
