@@ -65,12 +65,12 @@ def paginated_captures(groups: DataFrame, captures: DataFrame, max_pages: int =
     ``max_pages`` and no address is generated for pages that do not exist.
     """
     groups = groups.select("group_url").distinct()
-    stored = captures.select("url").distinct()
+    stored = captures.select("url")
     live = groups.join(stored, F.col("group_url") == F.col("url"), "left_semi")
     page_no = F.regexp_extract("url", _PAGE_SUFFIX, 2).try_cast("int")
     later = stored.select(F.regexp_extract("url", _PAGE_SUFFIX, 1).alias("group_url"),
                           page_no.alias("page_no"), "url") \
-        .filter(F.col("page_no").between(2, max_pages))
+        .filter(F.col("page_no").between(2, max_pages)).distinct()
     rest = later.join(live, "group_url")
     head = live.select("group_url", F.lit(1).alias("page_no"), F.col("group_url").alias("url"))
     return head.unionByName(rest)

@@ -42,7 +42,12 @@ class Sources:
 
 
 def _captured(urls: DataFrame, captures: DataFrame) -> DataFrame:
-    """Captures of the given URLs, each once."""
+    """Captures of the given URLs, each once.
+
+    Callers write a computed list out first. Its size is then known when the join is
+    planned, and a short list is broadcast; otherwise the HTML would be shuffled before
+    the list turned out to be short.
+    """
     return captures.select("url", "html").join(R.urls_to_read(urls), "url", "left_semi")
 
 
@@ -59,6 +64,7 @@ def find_groups(start_urls: DataFrame, sources: Sources, site: Site, max_groups:
 def find_links(groups: DataFrame, sources: Sources, site: Site, max_pages: int = D.MAX_PAGES) -> DataFrame:
     """``(pos, url)`` of the distinct record links on the listing pages of the groups."""
     listing = L.paginated_captures(groups, sources.captures, max_pages).join(groups, "group_url")
+    listing = materialize(listing, "listing")  # see _captured
     pages = sources.captures.select("url", "html").join(
         listing.select("url", F.col("pos").alias("group_pos"), "page_no"), "url")
     docs = elements(pages, ("group_pos", "page_no"))
@@ -140,7 +146,7 @@ def process(spark: SparkSession, sources: Sources, site: Site, root: str, batch_
     batches = P.assign_batches(links, ["pos"], batch_size, start_index)
     batches = materialize(batches, "batches")
     records = extract_records(batches, sources, site)
-    children = extract_children(records, sources)
+    children = materialize(extract_children(records, sources), "children")
     saved = save_catalog(catalog_rows(children), root, fmt)
 
     writers.write_errors(X.missing_captures(batches, sources.captures), f"{root}/errors")
@@ -191,6 +197,7 @@ def source_items(start_urls: DataFrame, captures: DataFrame, base: str, max_lett
     letters = L.distinct_ordered(L.group_links(index, base, D.LETTER_SELECTORS), ["url", "pos"])
     letters = R.first_n(letters, max_letters, "url", "pos")
     letters = global_index(letters.select("link", "url", F.col("pos").alias("was")), ["url", "was"], "letter_pos")
+    letters = materialize(letters, "letters")
     pages = captures.select("url", "html").join(
         letters.select(F.col("link").alias("url"), "letter_pos"), "url")
     items = L.page_links(elements(pages, ("letter_pos",)), base, D.ITEM_SELECTORS, ("letter_pos",))
@@ -212,7 +219,7 @@ def enrich(spark: SparkSession, start_urls: DataFrame, captures: DataFrame, base
     search = query_url(f"{second_base}/search", {"s": F.col("english_name")})
     records = materialize(records.withColumn("search_url", search), "records")
     searched = records.select(F.col("search_url").alias("url"))
-    hits = X.hit_fields(elements(_captured(searched, captures)), second_base)
+    hits = materialize(X.hit_fields(elements(_captured(searched, captures)), second_base), "hits")
     products = X.product_fields(
         elements(_captured(hits.select(F.col("product_url").alias("url")), captures)), second_base)
     hits = E.second_hop_lookup(hits.withColumnRenamed("url", "search_url"), products, "product_url", "url") \

@@ -8,6 +8,7 @@ from pagecatalog.functions import host_of, query_url, record_id, resolve_url, si
 from pagecatalog.operators import extract as X, frontier as R, links as L, progress as P
 from pagecatalog.operators.elements import elements
 from pagecatalog.plans.registry import query, table
+from pagecatalog.session import materialize
 from pagecatalog.sources import readers, writers
 
 ROOT = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)"
@@ -105,7 +106,7 @@ def paginated_urls(spark, folder):
     stored = site.select("group_url", F.explode(numbers).alias("k")).select(
         F.when(F.col("k") == 1, F.col("group_url"))
         .otherwise(F.concat("group_url", F.lit("?page="), "k")).alias("url"))
-    return L.paginated_captures(site, stored, max_pages=2)
+    return L.paginated_captures(site, materialize(stored, "stored"), max_pages=2)
 
 
 @query(f"WITH {LINKS} SELECT DISTINCT link FROM links")

@@ -145,7 +145,7 @@ def with_capture_key(captures: DataFrame) -> DataFrame:
 
 
 # Pages are costly per row: files of this many rows keep a scan's tasks even.
-CAPTURES_PER_FILE = 20_000
+CAPTURES_PER_FILE = 10_000
 
 
 def write_captures(captures: DataFrame, path: str) -> None:
