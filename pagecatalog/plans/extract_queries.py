@@ -32,6 +32,14 @@ NAV = "regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')"
 AFTER_H1 = "regexp_extract(html, '</h1>.*?<p>(.*?)(<p>|</p>|</article>)', 1, 's')"
 
 
+@query("""
+SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages)
+GROUP BY ALL""")
+def page_elements(spark, folder):
+    rows = docs(spark, folder).select("page_id", F.explode("elements.tag").alias("tag"))
+    return rows.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT page_id, {_plain(H1)} AS title FROM pages")
 def page_titles(spark, folder):
     return docs(spark, folder).select("page_id", X.field_text("h1").alias("title"))

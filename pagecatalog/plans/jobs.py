@@ -6,12 +6,12 @@ one work folder. Counts pass through the driver, rows do not.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagecatalog import defaults as D, schemas
-from pagecatalog.functions import query_url
+from pagecatalog.functions import query_url, resolve_url
 from pagecatalog.functions.ordering import global_index
 from pagecatalog.operators import catalog as C, enrich as E, extract as X, frontier as R, links as L, progress as P
 from pagecatalog.operators.elements import elements
@@ -26,14 +26,17 @@ class Site:
     base: str
     group_selectors: tuple[str, ...] = D.GROUP_SELECTORS
     record_selectors: tuple[str, ...] = D.RECORD_SELECTORS
+    image_folder: str = "catalog"
 
 
 @dataclass(frozen=True)
 class Sources:
-    """What a run reads: captures ``(url, html)`` and images found per search text."""
+    """What a run reads: captures ``(url, html)``, images found per search text, and how
+    image addresses answered, ``(url, status, content_type)``."""
 
     captures: DataFrame
-    image_candidates: DataFrame | None = field(default=None)
+    image_candidates: DataFrame | None = None
+    image_responses: DataFrame | None = None
 
     def images(self) -> DataFrame:
         if self.image_candidates is not None:
@@ -88,7 +91,13 @@ def extract_records(urls: DataFrame, sources: Sources, site: Site) -> DataFrame:
     """Fields of every captured record page. Written out, as both the parents and their
     child links are read from it, and pages should be parsed once."""
     docs = elements(_captured(urls, sources.captures))
-    return materialize(X.record_fields(docs, site.base), "records")
+    records = X.record_fields(docs, site.base).withColumn("image_src", resolve_url(site.base, F.col("image_src")))
+    records = materialize(records, "records")
+    if sources.image_responses is None:
+        return records.withColumn("image_path", F.lit(None).cast("string"))
+    answers = sources.image_responses.select(F.col("url").alias("image_src"), "status", "content_type")
+    path = writers.image_path(site.image_folder, F.col("id"), F.col("image_src"), F.col("status"), F.col("content_type"))
+    return records.join(answers, "image_src", "left").withColumn("image_path", path)
 
 
 def extract_children(records: DataFrame, sources: Sources) -> DataFrame:
@@ -115,8 +124,7 @@ def catalog_rows(children: DataFrame) -> DataFrame:
 def nested_records(records: DataFrame, children: DataFrame) -> DataFrame:
     """Nested records; those without children keep an empty array."""
     parents = records.select(
-        "id", "english_name", "persian_name", "manufacturer",
-        F.lit(None).cast("string").alias("image_path"), "combinations", "url")
+        "id", "english_name", "persian_name", "manufacturer", "image_path", "combinations", "url")
     keyed = children.select(F.col("generic_url").alias("parent_url"), "pos", "persian_name", "english_name",
                             "manufacturer", "url", "image_url")
     nested = E.nest_children(

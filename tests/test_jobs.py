@@ -46,7 +46,8 @@ SITE = jobs.Site(BASE)
 def sources(spark):
     captures = spark.createDataFrame([(BASE + p, h) for p, h in PAGES.items()], "url string, html string")
     images = spark.createDataFrame([("A M", i, f"i{i}") for i in range(1, 8)], schemas.IMAGE_CANDIDATE)
-    return jobs.Sources(captures.cache(), images)
+    answers = spark.createDataFrame([(BASE + "/g.png", 200, "image/png")], "url string, status int, content_type string")
+    return jobs.Sources(captures.cache(), images, answers)
 
 
 @pytest.fixture
@@ -126,6 +127,7 @@ def test_full_run(spark, sources, root):
     assert chicory.combinations == ["one", "two"]
     assert [c.url.removeprefix(BASE) for c in chicory.children] == ["/B-1/a", "/B-1/b"]
     assert chicory.children[0].image_url == ["i1", "i2", "i3", "i4", "i5"] and chicory.children[1].image_url == []
+    assert chicory.image_path is None and records["/G-1/Z/"].image_path == "catalog/images/.png"
     assert records["/G-1/Y"].children == [] and records["/G-1/Y"].combinations == ["plain"]
     plain = records["/G-2/plain"]
     assert (plain.english_name, plain.persian_name, plain.manufacturer, plain.combinations) == (None, None, "", [])

@@ -51,6 +51,11 @@ def test_first_n(spark, n, want):
     assert R.first_n(urls(spark, "a", "b", "c"), n, "pos").count() == want
 
 
+def test_first_n_of_many(spark, monkeypatch):
+    monkeypatch.setattr(R, "TOP_N_ROWS", 1)
+    assert names(R.first_n(urls(spark, "a", "b", "c"), 2, "pos")) == ["a", "b"]
+
+
 def test_first_n_rejects_negative_limits(spark):
     with pytest.raises(ValueError):
         R.first_n(urls(spark, "a"), -1, "pos")
