@@ -59,7 +59,8 @@ def nest_children(parents: DataFrame, children: DataFrame, key: str, order: Sequ
                 _collected(large, [key, "part"], order, fields, name).select(columns))
 
     empty = F.array().cast(nested.schema[name].dataType)
-    return parents.join(nested, key, "left").select(
+    # nested rows are large and already partitioned by key: never broadcast them
+    return parents.join(nested.hint("merge"), key, "left").select(
         *parents.columns,
         F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce(name, empty).alias(name))

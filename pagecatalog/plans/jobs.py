@@ -157,7 +157,7 @@ def process(spark: SparkSession, sources: Sources, site: Site, root: str, batch_
     children = materialize(extract_children(records, sources), "children")
     saved = save_catalog(catalog_rows(children), root, fmt)
 
-    writers.write_errors(X.missing_captures(batches, sources.captures), f"{root}/errors")
+    writers.write_errors(X.without_record(batches, records), f"{root}/errors")
     done = records.select("url").distinct().withColumn("ok", F.lit(True))
     log = batches.join(done, "url", "left").select(
         "url", "batch_no", F.coalesce("ok", F.lit(False)).alias("ok"), F.lit(1).alias("attempt"),

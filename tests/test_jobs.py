@@ -28,7 +28,7 @@ PAGES = {
     "/drugs/groups/1?page=3": listing("/G-1/Z/"),  # page 2 is missing
     "/drugs/groups/1?page=6": listing("/G-1/toofar"),
     "/drugs/groups/2": listing("/G-2/X", "/G-1/Y", "/G-2/plain", "/G-2/gone"),
-    "/G-1/X": record("کاسنی", "/B-1/a", "B-1/b", "/B-1/a", "/B-1/missing", extra="<p class=EnglishTopLabel>Chicory</p>"
+    "/G-1/X": record("نمونه", "/B-1/a", "B-1/b", "/B-1/a", "/B-1/missing", extra="<p class=EnglishTopLabel>Sample</p>"
                      "<b class=producer></b><b class=company> Co &amp; Sons </b><i class=image><img src=''></i>"
                      "<ul class=formula><li>one<li> two</ul><script>var x='<h1>no</h1>'</script>"),
     "/G-1/Y": record("no children <b>unclosed", extra="<div class=ingredients>plain</div>"),
@@ -121,13 +121,13 @@ def test_resume_without_progress_starts_at_the_beginning(spark, sources, root):
 def test_full_run(spark, sources, root):
     records = {r.url.removeprefix(BASE): r for r in jobs.full(spark, start(spark), sources, SITE, root).collect()}
     assert sorted(records) == sorted(LINKS[:-1])
-    chicory = records["/G-1/X"]
-    assert (chicory.id, chicory.english_name, chicory.persian_name, chicory.manufacturer) == (
-        "X", "Chicory", "کاسنی", "Co & Sons")
-    assert chicory.combinations == ["one", "two"]
-    assert [c.url.removeprefix(BASE) for c in chicory.children] == ["/B-1/a", "/B-1/b"]
-    assert chicory.children[0].image_url == ["i1", "i2", "i3", "i4", "i5"] and chicory.children[1].image_url == []
-    assert chicory.image_path is None and records["/G-1/Z/"].image_path == "catalog/images/.png"
+    sample = records["/G-1/X"]
+    assert (sample.id, sample.english_name, sample.persian_name, sample.manufacturer) == (
+        "X", "Sample", "نمونه", "Co & Sons")
+    assert sample.combinations == ["one", "two"]
+    assert [c.url.removeprefix(BASE) for c in sample.children] == ["/B-1/a", "/B-1/b"]
+    assert sample.children[0].image_url == ["i1", "i2", "i3", "i4", "i5"] and sample.children[1].image_url == []
+    assert sample.image_path is None and records["/G-1/Z/"].image_path == "catalog/images/.png"
     assert records["/G-1/Y"].children == [] and records["/G-1/Y"].combinations == ["plain"]
     plain = records["/G-2/plain"]
     assert (plain.english_name, plain.persian_name, plain.manufacturer, plain.combinations) == (None, None, "", [])

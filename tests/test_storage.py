@@ -9,7 +9,7 @@ from pagecatalog.session import fresh_path, shared_dir
 from pagecatalog.sources import readers, writers
 
 ROWS = [
-    ("1", "Tonic", "کاسنی", "http://a/1", 'quote " and, comma', "line\nbreak", " spaced ", "http://a/b", ["u1", "u2"]),
+    ("1", "Sample", "نمونه", "http://a/1", 'quote " and, comma', "line\nbreak", " spaced ", "http://a/b", ["u1", "u2"]),
     ("2", None, "", "http://a/2", "", None, "back\\slash", "http://a/c", []),
     ("3", "x", "y", "http://a/3", "'", "#hash", "tab\there", "http://a/d", None),
 ]
@@ -29,7 +29,7 @@ def test_json_round_trip_is_exact(spark, catalog):
     writers.write_catalog_json(catalog, path)
     assert rows(readers.read_catalog_json(spark, path)) == rows(catalog)
     lines = "".join(r.value for r in spark.read.text(path).collect())
-    assert "کاسنی" in lines and '"generic_english_name":null' in lines
+    assert "نمونه" in lines and '"generic_english_name":null' in lines
 
 
 def test_json_array_file(spark, tmp_path):
