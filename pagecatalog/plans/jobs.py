@@ -92,7 +92,11 @@ def extract_records(urls: DataFrame, sources: Sources, site: Site) -> DataFrame:
     child links are read from it, and pages should be parsed once."""
     docs = elements(_captured(urls, sources.captures))
     records = X.record_fields(docs, site.base).withColumn("image_src", resolve_url(site.base, F.col("image_src")))
-    records = materialize(records, "records")
+    return materialize(records, "records")
+
+
+def with_image_paths(records: DataFrame, sources: Sources, site: Site) -> DataFrame:
+    """Records with where their image is stored; NULL if its address did not answer well."""
     if sources.image_responses is None:
         return records.withColumn("image_path", F.lit(None).cast("string"))
     answers = sources.image_responses.select(F.col("url").alias("image_src"), "status", "content_type")
@@ -195,7 +199,7 @@ def full(spark: SparkSession, start_urls: DataFrame, sources: Sources, site: Sit
     children = materialize(extract_children(records, sources), "children")
     save_catalog(catalog_rows(children), root, fmt)
     writers.write_state(frontier, todo, root)
-    return nested_records(records, children)
+    return nested_records(with_image_paths(records, sources, site), children)
 
 
 def source_items(start_urls: DataFrame, captures: DataFrame, base: str, max_letters: int | None,
