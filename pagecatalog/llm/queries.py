@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagecatalog.llm import simhash_dedup
+from pagecatalog.llm import simhash_dedup, substring_dedup, suffix_dedup
 from pagecatalog.llm.common import documents, unsigned_hex
 
 QUERIES: dict = {}
@@ -16,7 +16,19 @@ def query(fn):
     return fn
 
 
+@query
+def op2_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, folder), length=400, texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(documents(spark, folder), shingle=3, distance=2)
     return found.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_substring(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, folder), window=50, texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
