@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagecatalog.llm import simhash_dedup, substring_dedup, suffix_dedup
-from pagecatalog.llm.common import documents, unsigned_hex
+from pagecatalog.llm import (
+    decontaminate, language_id, mixing, quality, secret_scan, sharding, simhash_dedup, substring_dedup, suffix_dedup, syncmers)
+from pagecatalog.llm.common import documents, keyed, remainder, unsigned_hex
+from pagecatalog.plans.registry import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +18,16 @@ def query(fn):
     return fn
 
 
+@query
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find(documents(spark, folder))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("long")
+    return found.select(
+        "doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.concat("base", "linked")).alias("spans"))
+
+
 @query
 def op2_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(documents(spark, folder), length=400, texts=False)
@@ -32,3 +44,44 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op4_substring(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.remove_repeats(documents(spark, folder), window=50, texts=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(keyed(documents(spark, folder)), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+
+
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
+    dictionaries = language_id.learn(docs.filter("not held_out"))
+    return language_id.predict(docs, dictionaries, language_id.MARGIN, "doc_id", "held_out")
+
+
+@query
+def op7_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    found = syncmers.compare(documents(spark, folder), slices=2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.as_text(F.col("sketch")).alias("fingerprint"), syncmers.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        syncmers.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
+@query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(documents(spark, folder), shards=8)
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "turn")
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
+    labels = table(spark, folder, "labels").filter(remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.learn(docs, labels), "doc_id", "held_out")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))

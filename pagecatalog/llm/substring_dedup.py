@@ -104,7 +104,7 @@ def seeds_of(text: str, window: int, k: int) -> tuple[np.ndarray, ...]:
     grams = gram_hashes(words, k)
     place, first, last = anchors(grams, window - k + 1)
     if not len(place):
-        return first, last, grams, grams
+        return first, last, grams[:0], grams[:0]
     with np.errstate(over="ignore"):
         spans = np.zeros(len(place), _U)
         by_length = last - first
