@@ -23,13 +23,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 SAMPLE_ROWS = 60
 SAMPLE_CHARS = 4000
 PIECE = 2048
+#: Of zstandard. Levels below match too coarsely for short texts, levels above cost far more for less.
+LEVEL = 9
 #: Share of the size by which the best language has to be smaller than the next.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -59,7 +61,7 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     return {lang: "\n".join(t for _, t in sorted(texts)).encode() for lang, texts in sorted(found.items())}
 
 
-def compressors(dictionaries: dict[str, bytes], level: int = 3) -> list[tuple[str, zstandard.ZstdCompressor]]:
+def compressors(dictionaries: dict[str, bytes], level: int = LEVEL) -> list[tuple[str, zstandard.ZstdCompressor]]:
     made = []
     for lang, data in sorted(dictionaries.items()):
         words = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -87,17 +89,19 @@ def identify(text: str | None, tools: list[tuple[str, zstandard.ZstdCompressor]]
     return lang, round(0.5 + 0.5 * min(1.0, gap / (10 * margin)), 6) if margin else 1.0, gap < margin
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, *keep: str) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``lang_pred, score, rejected``, for every row."""
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, *keep: str, prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of ``docs`` with ``lang_pred, score, rejected``, for every row.
+
+    ``prefix`` stands before the new names, for tables that have columns of these names.
+    """
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = compressors(dictionaries)
         for batch in batches:
-            found = [identify(t, tools, margin) for t in batch["_read"]]
-            batch = batch.drop(columns="_read")
-            for i, name in enumerate(("lang_pred", "score", "rejected")):
-                batch[name] = [f[i] for f in found]
-            yield batch
+            found = [identify(t, tools, margin) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            new = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, names=names)
 
-    rows = docs.select(*keep, F.col("text").alias("_read"))
+    rows = docs.select(*keep, F.col("text").alias(f"{prefix}_read"))
+    names = [*keep, *(prefix + n for n in ("lang_pred", "score", "rejected"))]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(of, f"{kept}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(of, f"{kept}, {prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean")

@@ -1,7 +1,8 @@
 """A quality classifier on supervised subword embeddings.
 
-Words and the character n-grams inside them are hashed to rows of one table of vectors. A
-text is the mean of its vectors; a softmax layer on top gives the probability of each label.
+Words and the character n-grams inside them are hashed to rows of one table of vectors; a
+word that repeats one of the two before it counts as a feature of its own besides. A text
+is the mean of its vectors; a softmax layer on top gives the probability of each label.
 Table and layer are learned together by stochastic gradient descent in numpy.
 
 The bound on learning: ``TRAIN_ROWS`` labelled rows, the first in a fixed shuffled order.
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TRAIN_ROWS = 4000
@@ -37,6 +39,7 @@ _PIECE = 1 << 20  # bytes of a text that are hashed at once
 
 _U = np.uint32
 _PRIME, _SPREAD = _U(16777619), _U(2654435761)
+_AGAIN = _U(97)  # the feature of a word that repeats one of the two before it
 
 
 def _features_of(raw: np.ndarray) -> np.ndarray:
@@ -59,7 +62,10 @@ def _features_of(raw: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(LONGEST, _PRIME, _U), dtype=_U)
         words = np.add.reduceat(letter * powers[nth], np.cumsum(size) - size, dtype=_U)
-        found = [words * _SPREAD + _U(1)]
+        again = np.zeros(len(words), bool)
+        for back in (1, 2):
+            again[back:] |= words[back:] == words[:-back]
+        found = [words * _SPREAD + _U(1), np.repeat(_AGAIN, again.sum())]
         word = np.repeat(np.arange(len(size)), size + 2)
         for n in GRAMS:
             if len(marked) < n:
@@ -154,17 +160,17 @@ def score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     pull = model.per_feature().astype(np.float64) if model else np.zeros(BUCKETS)
     bias = float(model.bias[1] - model.bias[0]) if model else 0.0
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
-            for text in batch["_read"]:
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 total = number = 0
                 for found in features(text):
                     total += pull[found].sum()
                     number += len(found)
-                scores.append(1 / (1 + np.exp(-np.clip(bias + total / max(1, number), -30, 30))))
-            yield batch.drop(columns="_read").assign(score=np.array(scores, np.float64))
+                scores.append(float(1 / (1 + np.exp(-np.clip(bias + total / max(1, number), -30, 30)))))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     rows = docs.select(*keep, F.col("text").alias("_read"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(of, f"{kept}, score double")
+    return rows.mapInArrow(of, f"{kept}, score double")

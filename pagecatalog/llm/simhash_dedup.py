@@ -19,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from pagecatalog.llm.common import keyed
 from pagecatalog.llm.components import connected_components
 from pagecatalog.session import materialize
 
@@ -45,13 +47,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` of every row; ``fp`` holds the 64 bits as a signed number."""
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(doc_id, rid, th, fp)`` of every row; ``fp`` holds the 64 bits as a signed number."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            fps = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
+            columns = [batch.column(c) for c in ("doc_id", "rid", "th")] + [pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id bigint, fp bigint")
+    return keyed(docs).mapInArrow(of, "doc_id bigint, rid bigint, th bigint, fp bigint")
 
 
 def _widths(distance: int) -> list[int]:
@@ -201,7 +204,8 @@ def near_links(distinct: DataFrame, distance: int = 2, hot: int = 50_000, levels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``.
+    """``(doc_id, rid, th, fp, root, component_id)`` for every row of ``docs``; rows of one
+    component share ``root``.
 
     The text is read once; after that only fingerprints move. Copies meet in a map-side
     aggregation, so a fingerprint that many rows share is one node. An empty table gives
@@ -213,5 +217,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     tied = firsts.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("component", "fp"))
     smallest = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(tied.join(smallest, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(tied.join(smallest, "root").select("fp", "root", "component_id"), "simhash-named")
+    return rows.join(named, "fp").select("doc_id", "rid", "th", "fp", "root", "component_id")
