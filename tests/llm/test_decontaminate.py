@@ -1,0 +1,72 @@
+import random
+
+from pagecatalog.llm import decontaminate, queries
+from pagecatalog.llm.common import keyed
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def plain(docs, items):
+    """Every passage against every item, scored in full, and every pair checked."""
+    parts, owner, checks = [], [], []
+    for item_id, text in sorted(items):
+        words = decontaminate.words_of(text)
+        if not words:
+            continue
+        n = -(-len(words) // decontaminate.PART)
+        for i in range(n):
+            parts.append(words[i * len(words) // n:(i + 1) * len(words) // n])
+            owner.append(len(checks))
+        question, answer = decontaminate.question_and_answer(text)
+        checks.append((item_id, set(decontaminate.shingles(question)), set(decontaminate.shingles(answer)), len(words)))
+    weights = decontaminate.weights_of(parts) if parts else []
+    found = {}
+    for doc_id, text in docs:
+        words = decontaminate.words_of(text)
+        for start in range(0, len(words), decontaminate.STRIDE):
+            passage = set(words[start:start + 2 * decontaminate.STRIDE])
+            for w, o in zip(weights, owner):
+                score = sum(x for word, x in w.items() if word in passage)
+                if score < decontaminate.THRESHOLD:
+                    continue
+                item_id, question, answer, length = checks[o]
+                around = words[max(0, start - length):start + 2 * decontaminate.STRIDE + length]
+                here = {b" ".join(around[i:i + n]) for n in {min(5, length)} for i in range(len(around) - n + 1)}
+                if len(question & here) >= 0.5 * len(question) and len(answer & here) >= 0.5 * len(answer):
+                    found[doc_id, item_id] = max(found.get((doc_id, item_id), 0), score)
+    return found
+
+
+def test_against_plain(spark):
+    rng = random.Random(6)
+    words = ["w%d" % i for i in range(150)] + ["the"] * 20
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, make(rng.randint(5, 40)) + ". " + make(rng.randint(1, 20)) + ".") for i in range(60)]
+    items += [(60, make(200)), (61, None), (62, ""), (63, "!!"), (64, items[3][1]), (65, "two words"), (None, make(20))]
+    docs = []
+    for i in range(60):
+        item = (rng.choice(items[:61])[1] or "").split()
+        for _ in range(rng.randint(0, 6)):
+            item[rng.randrange(len(item))] = "changed"
+        kept = item[:rng.choice([len(item), len(item) * 2 // 3])]
+        docs.append((i, make(rng.randint(0, 150)) + " " + " ".join(kept).upper() + "; " + make(rng.randint(0, 60))))
+    docs += [(80, None), (81, ""), (82, items[3][1]), (82, items[3][1]), (83, make(3000)), (84, "two words"), (85, items[60][1])]
+    frame = spark.createDataFrame([(i, t, 0.5) for i, t in docs], "doc_id bigint, text string, score double")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.leaks(keyed(frame), bench.filter("item_id is not null")).collect()
+    want = plain(docs, [x for x in items if x[0] is not None])
+    assert {(r.doc_id, r.item_id) for r in got} == set(want) and len(want) > 10
+    assert all(abs(r.score - want[r.doc_id, r.item_id]) < 1e-5 for r in got)
+    assert sum(r.doc_id == 82 for r in got) == 2 * sum(d == 82 for d, _ in want)
+    assert {(82, 3), (82, 64), (85, 60)} <= set(want)
+    assert decontaminate.leaks(keyed(frame), bench.filter("false")).count() == 0
+    assert decontaminate.leaks(keyed(frame).filter("false"), bench).count() == 0
+
+
+def test_query_finds_every_whole_passage(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op5_decontamination"](spark, FOLDER).collect()}
+    joined = {d: b" ".join(decontaminate.words_of(t)) for d, t in docs}
+    assert got >= {(d, i) for i, t in items for d, text in joined.items() if b" ".join(decontaminate.words_of(t)) in text}
+    assert got == set(plain(docs, items))
