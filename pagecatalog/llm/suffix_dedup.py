@@ -198,7 +198,8 @@ def expanded(stretches: DataFrame, length: int) -> DataFrame:
 
 def repeated_runs(rows: DataFrame, length: int, k: int, crowd: int) -> DataFrame:
     seeds = materialize(seed_rows(rows, length, k), "byte-seeds")
-    often = seeds.groupBy("seed").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed")
+    # written out, so that a seed that very many rows share can be split in the join
+    often = materialize(seeds.groupBy("seed").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed"), "byte-seeds-often")
     met = materialize(seeds.join(often, "seed"), "byte-seeds-met")
     classes = materialize(met.groupBy("seed", "class").agg(
         F.count("*").alias("times"), F.min(F.struct("rid", "th", "first", "last")).alias("at")), "byte-classes")
@@ -208,7 +209,7 @@ def repeated_runs(rows: DataFrame, length: int, k: int, crowd: int) -> DataFrame
     wanted = classes.join(unequal, "seed").select("at.*", "seed", "crowded")
     stretches = materialize(stretches_of(rows, wanted, length), "stretches")
     single = stretches.filter("crowded")
-    twice = single.groupBy("seed", "body").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed", "body")
+    twice = materialize(single.groupBy("seed", "body").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed", "body"), "strings-twice")
     again = single.join(twice, ["seed", "body"]).select("rid", "th", "first", F.col("first").alias("last"))
     return whole.union(expanded(stretches, length)).union(again)
 
