@@ -172,7 +172,8 @@ def near_links(distinct: DataFrame, distance: int = 2, hot: int = 50_000, levels
             .withColumn("block", F.expr(f"shiftrightunsigned(key, {BITS} - {width})"))
             .withColumn("below", F.expr(
                 f"cast(shiftrightunsigned(key, {BITS - levels} - {width}) & {(1 << levels) - 1} as int)")))
-    crowded = rows.groupBy("rotation", "block").agg(F.count("*").alias("n")).filter(f"n > {hot}").select("rotation", "block", F.lit(True).alias("hot"))
+    crowded = materialize(rows.groupBy("rotation", "block").agg(F.count("*").alias("n")).filter(f"n > {hot}").select(
+        "rotation", "block", F.lit(True).alias("hot")), "simhash-crowded")
     marked = rows.join(crowded, ["rotation", "block"], "left")
     masks = [m for m in range(1 << levels) if bin(m).count("1") <= distance]
     others = F.expr(f"transform(array({','.join(map(str, masks))}), m -> below ^ m)")

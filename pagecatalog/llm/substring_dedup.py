@@ -154,18 +154,19 @@ def extended_windows(rows: DataFrame, wanted: DataFrame, window: int) -> DataFra
 def repeated_runs(rows: DataFrame, window: int, k: int) -> DataFrame:
     """``(rid, th, first, last)``: runs of windows that a document with a smaller id has too."""
     seeds = materialize(seed_rows(rows, window, k), "seeds")
-    shared = seeds.groupBy("seed").agg(
+    # small sides are written out, so that a seed that very many rows share can be split in the joins
+    shared = materialize(seeds.groupBy("seed").agg(
         F.min("doc_id").alias("seed_doc"), F.max("doc_id").alias("_most"),
-        (F.min("class") != F.max("class")).alias("parts")).filter("seed_doc < _most").drop("_most")
+        (F.min("class") != F.max("class")).alias("parts")).filter("seed_doc < _most").drop("_most"), "seeds-shared")
     met = materialize(seeds.join(shared, "seed"), "seeds-met")
-    classes = met.groupBy("seed", "class").agg(F.min("doc_id").alias("class_doc"))
+    classes = materialize(met.groupBy("seed", "class").agg(F.min("doc_id").alias("class_doc")), "seed-classes")
     met = met.join(classes, ["seed", "class"])
     whole = met.filter("doc_id > class_doc").select("rid", "th", "first", "last")
     parting = met.filter("parts and doc_id = class_doc").select("rid", "th", "first", "last", "seed")
     windows = materialize(extended_windows(rows, parting, window), "seed-windows")
     key = ["seed", "one", "two"]
-    earliest = windows.groupBy(*key).agg(F.min("doc_id").alias("window_doc"), F.max("doc_id").alias("_most")
-                                         ).filter("window_doc < _most").drop("_most")
+    earliest = materialize(windows.groupBy(*key).agg(
+        F.min("doc_id").alias("window_doc"), F.max("doc_id").alias("_most")).filter("window_doc < _most").drop("_most"), "window-docs")
     again = windows.join(earliest, key).filter("doc_id > window_doc")
     return whole.union(again.select("rid", "th", "first", F.col("first").alias("last")))
 
