@@ -9,6 +9,8 @@ priority, order, joins) is an expression on the array, without a shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from html import unescape
 
@@ -46,8 +48,9 @@ _CLOSES = {
     **{tag: ({"p"}, {"table", "td", "th", "button", "caption"}) for tag in _BLOCKS},
 }
 
-# As browsers do, elements nested deeper than this are kept but not opened.
-_MAX_DEPTH = 512
+#: Page text is handed over in pieces of this many characters, so that the text of one
+#: element is cut from the pieces it lies in and not from the start of the page.
+TEXT_PIECE = 1024
 
 # One alternative per kind of markup; quantifiers are possessive, so a page is scanned in
 # time linear in its length whatever it holds.
@@ -66,7 +69,7 @@ class _Pages:
     """Element columns of many pages, filled page by page."""
 
     def __init__(self):
-        self.texts: list[str] = []
+        self.texts: list[list[str]] = []
         self.names: list[list[str]] = []
         self.page_ends = [0]
         self.ord: list[int] = []
@@ -90,6 +93,7 @@ class _Pages:
         length = 0
         hidden = 0
         opened: list[int] = []  # row numbers of the open elements
+        depths: dict[str, list[int]] = defaultdict(list)  # where in ``opened`` each tag stands
         tags = self.tag
 
         def close_to(depth: int) -> None:
@@ -99,6 +103,7 @@ class _Pages:
                 self.last_ord[row] = last
                 self.text_len[row] = length - self.text_from[row]
                 hidden -= tags[row] in _NO_TEXT
+                depths[tags[row]].pop()
             del opened[depth:]
 
         def put(data: str) -> None:
@@ -123,17 +128,13 @@ class _Pages:
                 tag = tag.lower()
                 if tag in _CLOSES:
                     closes, within = _CLOSES[tag]
-                    depth = None
-                    for k in range(len(opened) - 1, -1, -1):
-                        name = tags[opened[k]]
-                        if name in within:
-                            break
-                        if name in closes:
-                            depth = k
-                    if depth is not None:
-                        close_to(depth)
+                    floor = max((depths[n][-1] for n in within if depths.get(n)), default=-1)
+                    above = [d[at_] for n in closes if (d := depths.get(n)) and (at_ := bisect_right(d, floor)) < len(d)]
+                    if above:
+                        close_to(min(above))
                 self._start(tag, markup.group(2), base, length)
-                if tag not in _VOID and len(opened) < _MAX_DEPTH:
+                if tag not in _VOID:
+                    depths[tag].append(len(opened))
                     opened.append(len(tags) - 1)
                     hidden += tag in _NO_TEXT
                 if tag in _RAW:
@@ -143,12 +144,11 @@ class _Pages:
                     at = until
             elif end:
                 end = end.lower()
-                for k in range(len(opened) - 1, -1, -1):
-                    if tags[opened[k]] == end:
-                        close_to(k)
-                        break
+                if depths.get(end):
+                    close_to(depths[end][-1])
         close_to(0)
-        self.texts.append("".join(text))
+        whole = "".join(text)
+        self.texts.append([whole[i:i + TEXT_PIECE] for i in range(0, length, TEXT_PIECE)])
         self.page_ends.append(len(tags))
         self.names.append([
             *set(tags[base:]), *{f".{c}" for c in self.classes[first_class:]},
@@ -197,7 +197,7 @@ class _Pages:
             "text_from": ints(self.text_from), "text_len": ints(self.text_len),
         }
         rows = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
-        return (strings(self.texts), pa.array(self.names, pa.list_(pa.string())),
+        return (pa.array(self.texts, pa.list_(pa.string())), pa.array(self.names, pa.list_(pa.string())),
                 pa.ListArray.from_arrays(ints(self.page_ends), rows))
 
 
@@ -212,11 +212,11 @@ def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for html in part.column(part.num_columns - 1).to_pylist():
                 pages.add(html)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], *pages.arrow()], names=[*part.schema.names[:-1], "doc_text", "names", "elements"])
+                [*part.columns[:-1], *pages.arrow()], names=[*part.schema.names[:-1], "text_pieces", "names", "elements"])
 
 
 def elements(captures: DataFrame, keep: Sequence[str] = ("url",), html: str = "html") -> DataFrame:
-    """``keep`` columns, ``doc_text``, ``names`` and ``elements`` of every capture with HTML.
+    """``keep`` columns, ``text_pieces``, ``names`` and ``elements`` of every capture with HTML.
 
     ``names`` are the tags, ``.classes`` and ``#ids`` that occur on the page; most
     selectors fail on those alone. The HTML itself is dropped here, as early as can be.
@@ -224,7 +224,7 @@ def elements(captures: DataFrame, keep: Sequence[str] = ("url",), html: str = "h
     source = captures.filter(F.col(html).isNotNull()).select(*keep, html)
     schema = T.StructType([
         *[source.schema[k] for k in keep],
-        T.StructField("doc_text", T.StringType()),
+        T.StructField("text_pieces", T.ArrayType(T.StringType())),
         T.StructField("names", T.ArrayType(T.StringType())),
         T.StructField("elements", T.ArrayType(ELEMENT)),
     ])

@@ -8,11 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagecatalog import defaults as D
 from pagecatalog.functions.ordering import first_n_within, rank_within
-
-# An array is one value in one task. Parents with more children than this are kept
-# whole as several rows, numbered by ``part``.
-MAX_CHILDREN_PER_ROW = 100_000
-
+from pagecatalog.operators.frontier import first_n
 
 def child_page_join(links: DataFrame, captures: DataFrame, link: str, url: str = "url") -> DataFrame:
     """Child links with their captures; links without a capture drop out.
@@ -23,54 +19,38 @@ def child_page_join(links: DataFrame, captures: DataFrame, link: str, url: str =
     return links.join(captures, F.col(link) == F.col(url), "inner")
 
 
-def _collected(children: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
-               name: str) -> DataFrame:
-    item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                    F.struct(*fields).alias("item"))
-    rows = F.sort_array(F.collect_list(item))
-    return children.groupBy(*keys).agg(F.transform(rows, lambda r: r["item"]).alias(name))
-
-
 def nest_children(parents: DataFrame, children: DataFrame, key: str, order: Sequence[str],
-                  fields: Sequence[str], name: str = "children",
-                  max_per_row: int | None = MAX_CHILDREN_PER_ROW) -> DataFrame:
-    """Parents with an array of their children in order; ``[]`` for none, orphans drop out.
+                  fields: Sequence[str], part_size: int | None, name: str = "children") -> DataFrame:
+    """Parents with arrays of their children in order; ``[]`` for none, orphans drop out.
 
-    ``part`` is 0, except for parents with more than ``max_per_row`` children, whose
-    children continue in parts 1, 2, ... Pass None where the data bounds the array
-    already, as a page bounds its links; that saves the count.
+    A parent has one row per ``part_size`` children, numbered by ``part`` from 0, so no
+    array outgrows a task, however many children a parent has. None, one row per parent,
+    is for children that something else bounds already, as a page bounds its links.
     """
-    hot = None
-    if max_per_row is not None:
-        hot = children.groupBy(key).agg(F.count(F.lit(1)).alias("n")) \
-            .filter(F.col("n") > max_per_row).select(key)
-        if hot.isEmpty():
-            hot = None
-
-    if hot is None:
-        nested = _collected(children, [key], order, fields, name).withColumn("part", F.lit(0))
+    if part_size is None:
+        numbered = children.withColumn("part", F.lit(0))
+        sort_by = F.struct(*order)
     else:
-        small = children.join(hot, key, "left_anti")
-        large = rank_within(children.join(hot, key, "left_semi"), [key], order, "_rank")
-        large = large.withColumn("part", F.floor((F.col("_rank") - 1) / max_per_row).cast("int"))
-        columns = [key, "part", name]
-        nested = _collected(small, [key], order, fields, name).withColumn("part", F.lit(0)) \
-            .select(columns).unionByName(
-                _collected(large, [key, "part"], order, fields, name).select(columns))
-
+        columns = dict.fromkeys([key, *order, *fields])
+        ranked = rank_within(children.select(*columns), [key], order, "_nth")
+        numbered = ranked.withColumn("part", F.floor((F.col("_nth") - 1) / part_size).cast("int"))
+        sort_by = F.col("_nth")
+    rows = F.sort_array(F.collect_list(F.struct(sort_by.alias("at"), F.struct(*fields).alias("item"))))
+    nested = numbered.groupBy(key, "part").agg(F.transform(rows, lambda r: r["item"]).alias(name))
     empty = F.array().cast(nested.schema[name].dataType)
-    # nested rows are large and already partitioned by key: never broadcast them
+    # nested rows are large: never broadcast them
     return parents.join(nested.hint("merge"), key, "left").select(
         *parents.columns,
         F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce(name, empty).alias(name))
 
 
-def rebuild_nested(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str,
-                   order: Sequence[str], fields: Sequence[str], name: str = "children") -> DataFrame:
+def rebuild_nested(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, order: Sequence[str],
+                   fields: Sequence[str], part_size: int | None, name: str = "children") -> DataFrame:
     """Nested records from a parent table and a child table kept apart."""
-    keyed = children.withColumnRenamed(child_key, parent_key) if child_key != parent_key else children
-    return nest_children(parents, keyed, parent_key, order, fields, name)
+    if child_key != parent_key:
+        children = children.withColumn(parent_key, F.col(child_key))
+    return nest_children(parents, children, parent_key, order, fields, part_size, name)
 
 
 def search_text(english_name: Column, manufacturer: Column) -> Column:
@@ -124,15 +104,14 @@ def enrich_first_n(records: DataFrame, order: Sequence[str], n: int | None, chan
                    key: Sequence[str]) -> DataFrame:
     """Apply ``changes`` to the first ``n`` records only; the rest pass through.
 
-    The ``n`` keys are found with a top-n, so the whole table is neither ranked nor
-    shuffled; they are at most ``n`` rows and are broadcast.
+    Only keys and order are ranked, never whole rows; whether the chosen keys are
+    broadcast is left to Spark, which knows their size.
     """
     if n is None:
         return records.withColumns(changes)
-    if n > 1_000_000:
-        raise ValueError("enrich_first_n broadcasts n keys; use None to change all records")
-    chosen = records.orderBy(*order).limit(n).select(*key).withColumn("_chosen", F.lit(True))
-    flagged = records.join(F.broadcast(chosen), list(key), "left")
+    ranked = records.select(*dict.fromkeys([*key, *order]))
+    chosen = first_n(ranked, n, *order).select(*key).withColumn("_chosen", F.lit(True))
+    flagged = records.join(chosen, list(key), "left")
     hit = F.coalesce("_chosen", F.lit(False))
     return flagged.withColumns({
         c: F.when(hit, v).otherwise(F.col(c)) if c in records.columns else F.when(hit, v)

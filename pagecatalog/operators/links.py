@@ -13,7 +13,7 @@ from pagecatalog.functions.ordering import first_n_within, running_totals
 from pagecatalog.operators.select import first_matching
 
 HREF_PATTERN = r'<a href="([^"]*)"'
-_PAGE_SUFFIX = r"^(.*)\?page=([1-9][0-9]{0,8})$"
+_PAGE_SUFFIX = r"^(.*)\?page=([1-9][0-9]*)$"
 
 
 def _hrefs(selectors: Sequence[str]) -> Column:
@@ -57,22 +57,24 @@ def pattern_hrefs(captures: DataFrame, keep: Sequence[str] = ("url",), html: str
     return captures.select(*keep, F.posexplode(found).alias("pos", "href"))
 
 
-def paginated_captures(groups: DataFrame, captures: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def paginated_captures(groups: DataFrame, captures: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
     """Captured pages ``group``, ``group?page=2`` .. ``group?page=max_pages`` of each group.
 
-    Only groups whose first page was captured count; missing later pages are skipped.
+    ``max_pages=None`` takes all. Only groups whose first page was captured count; missing later pages are skipped.
     The page number is read off the captured address, so the cost does not depend on
     ``max_pages`` and no address is generated for pages that do not exist.
     """
     groups = groups.select("group_url").distinct()
     stored = captures.select("url")
     live = groups.join(stored, F.col("group_url") == F.col("url"), "left_semi")
-    page_no = F.regexp_extract("url", _PAGE_SUFFIX, 2).try_cast("int")
+    page_no = F.regexp_extract("url", _PAGE_SUFFIX, 2).try_cast("bigint")
     later = stored.select(F.regexp_extract("url", _PAGE_SUFFIX, 1).alias("group_url"),
                           page_no.alias("page_no"), "url") \
-        .filter(F.col("page_no").between(2, max_pages)).distinct()
+        .filter(F.col("page_no") >= 2).distinct()
+    if max_pages is not None:
+        later = later.filter(F.col("page_no") <= max_pages)
     rest = later.join(live, "group_url")
-    head = live.select("group_url", F.lit(1).alias("page_no"), F.col("group_url").alias("url"))
+    head = live.select("group_url", F.lit(1).cast("bigint").alias("page_no"), F.col("group_url").alias("url"))
     return head.unionByName(rest)
 
 

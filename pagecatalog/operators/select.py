@@ -14,6 +14,7 @@ from pyspark.sql import Column, functions as F
 
 from pagecatalog.functions import clean
 from pagecatalog.functions.binding import bind
+from pagecatalog.operators.elements import TEXT_PIECE
 
 _PART = re.compile(
     r"""(?P<tag>[A-Za-z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)"""
@@ -59,18 +60,45 @@ def inside(e: Column, scope: Column) -> Column:
     return (e["ord"] > scope["ord"]) & (e["ord"] <= scope["last_ord"])
 
 
-def inside(e: Column, scope: Column) -> Column:
-    return (e["ord"] > scope["ord"]) & (e["ord"] <= scope["last_ord"])
+_BLOCK = 256
+
+
+def _outermost(scopes: Column) -> Column:
+    """The ranges, as ``struct<ord, last_ord>``, of the scopes that lie in no other one.
 
+    Scopes nest and come in document order, so one lies in another if an earlier one
+    reaches as far. Blocks of scopes are walked one by one, each with the reach of those
+    before it, which keeps the arrays that grow short.
+    """
+    def of_block(block: Column, reach: Column) -> Column:
+        start = F.struct(reach.alias("reach"), F.array().cast("array<struct<ord:int,last_ord:int>>").alias("kept"))
+        return F.aggregate(block, start, lambda acc, s: F.when(s["ord"] > acc["reach"], F.struct(
+            s["last_ord"].alias("reach"),
+            F.concat(acc["kept"], F.array(F.struct(s["ord"].alias("ord"), s["last_ord"].alias("last_ord")))).alias("kept")),
+        ).otherwise(acc), lambda acc: acc["kept"])
 
-def _below(outer: Column, step: Callable[[Column], Column], elements: Column) -> Column:
-    return bind(outer, lambda scopes: F.filter(
-        elements, lambda e: step(e) & F.exists(scopes, lambda s: inside(e, s))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(scopes) - 1) / _BLOCK).cast("int")),
+                         lambda b: F.slice(scopes, b * _BLOCK + 1, F.lit(_BLOCK)))
+    return bind(blocks, lambda parts: bind(
+        F.transform(parts, lambda p: F.array_max(F.transform(p, lambda s: s["last_ord"]))),
+        lambda ends: F.flatten(F.transform(parts, lambda p, i: of_block(
+            p, F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(-1)))))))
 
 
 def _below(outer: Column, step: Callable[[Column], Column]) -> Column:
-    return bind(outer, lambda scopes: F.filter(
-        "elements", lambda e: step(e) & F.exists(scopes, lambda s: inside(e, s))))
+    """Elements that ``step`` accepts and that lie below one of ``outer``, in document order.
+
+    An element's number is its place in the array; numbers below the outermost scopes and
+    numbers of accepted elements are intersected, which is linear in the page.
+    """
+    def numbers(scopes: Column) -> Column:
+        return F.flatten(F.transform(_outermost(scopes), lambda s: F.when(
+            s["last_ord"] > s["ord"], F.sequence(s["ord"] + 1, s["last_ord"])).otherwise(F.array().cast("array<int>"))))
+
+    accepted = F.transform(F.filter("elements", step), lambda e: e["ord"])
+    none = F.filter("elements", lambda e: F.lit(False))
+    return bind(outer, lambda scopes: F.when(F.size(scopes) > 0, F.transform(
+        F.array_intersect(accepted, numbers(scopes)), lambda n: F.get("elements", n))).otherwise(none))
 
 
 def matches(selector: str) -> Column:
@@ -98,7 +126,11 @@ def first(found: Column) -> Column:
 
 def text_of(e: Column) -> Column:
     """Trimmed text of an element, NULL for no element."""
-    return clean(F.substring("doc_text", e["text_from"] + 1, e["text_len"]))
+    first_piece = F.floor(e["text_from"] / TEXT_PIECE).cast("int")
+    skipped = e["text_from"] % TEXT_PIECE
+    pieces = F.ceil((skipped + e["text_len"]) / TEXT_PIECE).cast("int")
+    joined = F.array_join(F.slice("text_pieces", first_piece + 1, pieces), "")
+    return clean(F.substring(joined, skipped + 1, e["text_len"]))
 
 
 def first_matching(selectors: Sequence[str]) -> Column:

@@ -15,6 +15,10 @@ from pagecatalog.sources import writers
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
               "l_shipdate", "l_discount", "l_tax"]
 LINE_ORDER_SQL = ", ".join(LINE_ORDER)
+# children per nested row: small, so that parents with several rows occur
+PART_SIZE = 3
+NUMBERED_LINES = f"""numbered AS (SELECT *, (row_number() OVER (
+    PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}) - 1) // {PART_SIZE} AS part FROM lineitem)"""
 
 
 @query("""
@@ -30,14 +34,14 @@ def child_page_join(spark, folder):
 def nested_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    return E.nest_children(orders, lines, "o_orderkey", LINE_ORDER, ["l_partkey", "l_linenumber"], "lines")
+    return E.nest_children(orders, lines, "o_orderkey", LINE_ORDER, ["l_partkey", "l_linenumber"], PART_SIZE, "lines")
 
 
 @query(f"""
-WITH nested AS (SELECT l_orderkey, count(*) AS n_children,
+WITH {NUMBERED_LINES}, nested AS (SELECT l_orderkey, part, count(*) AS n_children,
     string_agg(l_partkey || ':' || l_linenumber, '; ' ORDER BY {LINE_ORDER_SQL}) AS children
-    FROM lineitem GROUP BY 1)
-SELECT o_orderkey, o_orderstatus, 0 AS part, coalesce(n_children, 0)::INTEGER AS n_children,
+    FROM numbered GROUP BY 1, 2)
+SELECT o_orderkey, o_orderstatus, coalesce(part, 0)::INTEGER AS part, coalesce(n_children, 0)::INTEGER AS n_children,
        coalesce(children, '') AS children
 FROM orders LEFT JOIN nested ON o_orderkey = l_orderkey""")
 def nest_children(spark, folder):
@@ -46,17 +50,17 @@ def nest_children(spark, folder):
         "o_orderkey", "o_orderstatus", "part", F.size("lines").alias("n_children"), join_array(text).alias("children"))
 
 
-@query("""
-SELECT c_custkey, c_name, coalesce(n_children, 0)::INTEGER AS n_children, coalesce(children, '') AS children
-FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_children,
-    string_agg(o_orderkey, '; ' ORDER BY o_orderkey) AS children
-    FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1) ON c_custkey = o_custkey""")
+@query(f"""
+WITH numbered AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // {PART_SIZE} AS part FROM orders)
+SELECT c_custkey, c_name, coalesce(part, 0)::INTEGER AS part, coalesce(n_children, 0)::INTEGER AS n_children,
+       coalesce(children, '') AS children
+FROM customer LEFT JOIN (SELECT o_custkey, part, count(*) AS n_children,
+    string_agg(o_orderkey, '; ' ORDER BY o_orderkey) AS children FROM numbered GROUP BY 1, 2) ON c_custkey = o_custkey""")
 def rebuild_nested(spark, folder):
-    children = table(spark, folder, "orders").filter(
-        (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
+    children = table(spark, folder, "orders")
     parents = table(spark, folder, "customer").select("c_custkey", "c_name")
-    nested = E.rebuild_nested(parents, children, "c_custkey", "o_custkey", ["o_orderkey"], ["o_orderkey"])
-    return nested.select("c_custkey", "c_name", F.size("children").alias("n_children"), join_array(
+    nested = E.rebuild_nested(parents, children, "c_custkey", "o_custkey", ["o_orderkey"], ["o_orderkey"], PART_SIZE)
+    return nested.select("c_custkey", "c_name", "part", F.size("children").alias("n_children"), join_array(
         F.transform("children", lambda c: c["o_orderkey"].cast("string"))).alias("children"))
 
 
@@ -76,7 +80,7 @@ def order_records(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("/", F.lit("https://shop.example/l"), "l_orderkey", "l_linenumber", "l_partkey").alias("url"),
         images.alias("image_url"))
     return E.nest_children(orders, lines, "id", LINE_ORDER,
-                           ["persian_name", "english_name", "manufacturer", "url", "image_url"])
+                           ["persian_name", "english_name", "manufacturer", "url", "image_url"], PART_SIZE)
 
 
 def order_catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,33 +114,34 @@ def rows_written(spark, folder):
     return spark.range(1).select(F.lit(n).cast("long").alias("rows_written"))
 
 
-PARTS_OF_ORDER = f"""parts AS (SELECT o_orderkey, coalesce(string_agg(l_partkey, '; ' ORDER BY {LINE_ORDER_SQL}), '') AS joined
-    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"""
+PARTS_OF_ORDER = f"""{NUMBERED_LINES}, parts AS (SELECT o_orderkey, coalesce(part, 0)::INTEGER AS part,
+    coalesce(string_agg(l_partkey, '; ' ORDER BY {LINE_ORDER_SQL}), '') AS joined
+    FROM orders LEFT JOIN numbered ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
 def _part_keys(spark, folder):
     keys = F.transform("lines", lambda c: c["l_partkey"].cast("string"))
-    return nested_orders(spark, folder).select("o_orderkey", keys.alias("keys"))
+    return nested_orders(spark, folder).select("o_orderkey", "part", keys.alias("keys"))
 
 
-@query(f"""WITH {PARTS_OF_ORDER} SELECT o_orderkey, joined,
+@query(f"""WITH {PARTS_OF_ORDER} SELECT o_orderkey, part, joined,
     CASE WHEN joined = '' THEN 0 ELSE len(string_split(joined, '; ')) END::INTEGER AS n_back,
     joined AS joined_again FROM parts""")
 def array_text_roundtrip(spark, folder):
-    joined = _part_keys(spark, folder).select("o_orderkey", join_array(F.col("keys")).alias("joined"))
+    joined = _part_keys(spark, folder).select("o_orderkey", "part", join_array(F.col("keys")).alias("joined"))
     back = joined.withColumn("back", split_text(F.col("joined")))
-    return back.select("o_orderkey", "joined", F.size("back").alias("n_back"),
+    return back.select("o_orderkey", "part", "joined", F.size("back").alias("n_back"),
                        join_array(F.col("back")).alias("joined_again"))
 
 
 @query(f"""WITH {PARTS_OF_ORDER}, texts AS (
-    SELECT o_orderkey, '["' || replace(joined, '; ', '","') || '"]' AS t, joined FROM parts)
-SELECT o_orderkey, CASE WHEN joined <> '' THEN t END AS json_or_null,
+    SELECT o_orderkey, part, '["' || replace(joined, '; ', '","') || '"]' AS t, joined FROM parts)
+SELECT o_orderkey, part, CASE WHEN joined <> '' THEN t END AS json_or_null,
        CASE WHEN joined <> '' THEN t ELSE '[]' END AS json_or_empty FROM texts""", name="array_to_json")
 def array_as_json(spark, folder):
     keys = F.col("keys")
     return _part_keys(spark, folder).select(
-        "o_orderkey", array_to_json(keys).alias("json_or_null"),
+        "o_orderkey", "part", array_to_json(keys).alias("json_or_null"),
         array_to_json(keys, empty_as_null=False).alias("json_or_empty"))
 
 
@@ -144,13 +149,13 @@ def array_as_json(spark, folder):
 HIT_ORDER_SQL = f"l_extendedprice DESC, l_orderkey, {LINE_ORDER_SQL}"
 HITS = f"""hits AS (SELECT p_name || ' ' || p_brand AS query, l_orderkey, l_suppkey, l_extendedprice,
     row_number() OVER (PARTITION BY p_name || ' ' || p_brand ORDER BY {HIT_ORDER_SQL}) AS rank
-    FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R')"""
+    FROM part JOIN lineitem ON l_partkey = p_partkey)"""
 
 
 def _hits(spark, folder):
     query_text = E.search_text(F.col("p_name"), F.col("p_brand")).alias("query")
     parts = table(spark, folder, "part").select("p_partkey", query_text)
-    lines = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R")
+    lines = table(spark, folder, "lineitem")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")) \
         .select("query", "l_orderkey", *LINE_ORDER)
 

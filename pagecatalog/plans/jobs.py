@@ -133,7 +133,7 @@ def nested_records(records: DataFrame, children: DataFrame) -> DataFrame:
                             "manufacturer", "url", "image_url")
     nested = E.nest_children(
         parents.withColumn("parent_url", F.col("url")), keyed, "parent_url", ["pos"],
-        schemas.CHILD.fieldNames(), max_per_row=None)
+        schemas.CHILD.fieldNames(), part_size=None)
     return nested.select(*schemas.RECORD.fieldNames())
 
 

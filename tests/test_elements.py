@@ -48,7 +48,7 @@ def agree(html):
     events.close()
     pages, tags = flat(html)
     assert tags == events.tags
-    assert pages.texts[0] == "".join(events.text)
+    assert "".join(pages.texts[0]) == "".join(events.text)
 
 
 def test_stored_pages_read_as_the_standard_library_reads_them(spark):
@@ -76,7 +76,7 @@ def test_generated_markup(pieces):
     pages, _ = flat(html)
     for i, (last, start, length) in enumerate(zip(pages.last_ord, pages.text_from, pages.text_len)):
         assert i <= last < len(pages.tag)
-        assert start + length <= len(pages.texts[0])
+        assert start + length <= len("".join(pages.texts[0]))
         # ranges nest
         assert all(pages.last_ord[j] <= last for j in range(i, last + 1))
 
@@ -90,7 +90,7 @@ def test_hostile_pages_take_linear_time(piece):
 
 def test_unended_markup_ends_the_page():
     pages, tags = flat("<b>x</b>rest<a href='")
-    assert [t for t, _ in tags] == ["b"] and pages.texts[0] == "xrest"
+    assert [t for t, _ in tags] == ["b"] and "".join(pages.texts[0]) == "xrest"
 
 
 PAGE = """<html><body class="Top"><div id=main class="card x"><a href="/1">one</a><span><a class="k" href="/2">two</a></span>
@@ -178,3 +178,46 @@ def test_list_field(spark, html, want):
 ])
 def test_label_value(spark, html, want):
     assert one(spark, html, X.field_after_label("dt", "Manufacturer", "dd")) == want
+
+
+def fields(spark, html, **columns):
+    docs = elements(spark.createDataFrame([("u", html)], "url string, html string"))
+    return docs.select(*[c.alias(n) for n, c in columns.items()]).first()
+
+
+def test_elements_of_any_depth_are_opened(spark):
+    row = fields(spark, "<div>" * 600 + "<h1>Deep</h1>" + "</div>" * 600, title=X.field_text("h1"))
+    assert row.title == "Deep"
+    nested = "<div class=outer>" + "<div>" * 520 + "x" + "</div>" * 520 + "<b>tail</b></div><b>after</b>"
+    row = fields(spark, nested, inner=X.field_text(".outer b"), n=F.size(S.matches(".outer div")), b=F.size(S.matches(".outer b")))
+    assert (row.inner, row.n, row.b) == ("tail", 520, 1)
+    began = time.perf_counter()
+    flat("<div><p>" * 100_000 + "</div>" * 100_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_descendants_of_nested_scopes(spark):
+    html = "<ul class=a><li>1<ul class=a><li>2</li></ul></li></ul><li>3</li>" + "<ul><li>4</li></ul>" * 300 + "<ul class=a><li>5</li></ul>"
+    row = fields(spark, html, one=F.transform(S.matches(".a li"), lambda e: S.text_of(e)), two=F.size(S.matches("ul ul li")),
+                 every=F.size(S.matches("ul li")), none=F.size(S.matches("li .a .a")))
+    assert row.one == ["12", "2", "5"] and (row.two, row.every, row.none) == (1, 303, 0)
+
+
+def test_text_across_pieces(spark):
+    html = "<p>" + "é" * 1020 + "</p><p>" + "b" * 5000 + "</p><p></p><p> tail </p>"
+    row = fields(spark, html, texts=F.transform(S.matches("p"), lambda e: S.text_of(e)))
+    assert row.texts == ["é" * 1020, "b" * 5000, "", "tail"]
+
+
+def test_long_pages_take_linear_time(spark):
+    blanks = "<h1>a" + " " * 100_000 + "b" + " " * 100_000 + "</h1>"
+    items = "<nav><ul>" + "".join(f"<li><a href='/{i}'>item {i}</a></li>" for i in range(50_000)) + "</ul></nav>"
+    pages = elements(spark.createDataFrame([(blanks,), (items,)], "html string"), keep=()).persist()
+    pages.count()
+    fields_of = [X.field_text("h1"), F.size(S.matches("nav ul li a")), F.size(X.field_list("nav"))]
+    pages.filter("false").select(*[F.max(c) for c in fields_of]).collect()
+    for column, want in zip(fields_of, ("a" + " " * 100_000 + "b", 50_000, 50_000)):
+        began = time.perf_counter()
+        assert pages.agg(F.max(column)).first()[0] == want
+        assert time.perf_counter() - began < 8  # quadratic: minutes
+    pages.unpersist()

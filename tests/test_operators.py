@@ -51,8 +51,7 @@ def test_first_n(spark, n, want):
     assert R.first_n(urls(spark, "a", "b", "c"), n, "pos").count() == want
 
 
-def test_first_n_of_many(spark, monkeypatch):
-    monkeypatch.setattr(R, "TOP_N_ROWS", 1)
+def test_first_n_of_many(spark):
     assert names(R.first_n(urls(spark, "a", "b", "c"), 2, "pos")) == ["a", "b"]
 
 
@@ -78,7 +77,7 @@ FIELDS = ["persian_name", "english_name", "manufacturer", "url", "image_url"]
 @pytest.mark.parametrize("limit", [None, 4, 100])
 def test_nesting_keeps_every_child_in_order(family, limit):
     parents, children = family
-    nested = E.nest_children(parents, children, "id", ["pos"], FIELDS, max_per_row=limit)
+    nested = E.nest_children(parents, children, "id", ["pos"], FIELDS, limit)
     rows = nested.orderBy("id", "part").collect()
     by_parent = {}
     for row in rows:
@@ -90,7 +89,7 @@ def test_nesting_keeps_every_child_in_order(family, limit):
 
 def test_flatten_of_nested_gives_the_children_back(family):
     parents, children = family
-    flat = C.flatten_children(E.nest_children(parents, children, "id", ["pos"], FIELDS, max_per_row=4))
+    flat = C.flatten_children(E.nest_children(parents, children, "id", ["pos"], FIELDS, 4))
     assert flat.schema.fieldNames() == schemas.CATALOG.fieldNames()
     got = sorted((r.generic_id, r.url, r.image_url) for r in flat.collect())
     want = sorted((r.id, r.url, r.image_url) for r in children.filter("id <> 'orphan'").collect())
