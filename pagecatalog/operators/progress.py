@@ -60,9 +60,14 @@ def _failed(max_attempts: int) -> Column:
 
 
 def progress_records(log: DataFrame, total_links: int, batch_size: int = D.BATCH_SIZE, batch: str = "batch_no",
-                     max_attempts: int = D.MAX_ATTEMPTS, start_index: int = 0) -> DataFrame:
+                     max_attempts: int = D.MAX_ATTEMPTS, start_index: int = 0, retries: Column | None = None,
+                     before: dict[str, int] | None = None) -> DataFrame:
     """One progress record per batch, counters running over the batches before.
 
+    ``retries`` counts a row's repeated attempts where the log has one row per URL;
+    ``before`` holds the counters of an earlier part of the run. Without times in the log
+    the times are NULL.
+
     ``batch_times`` holds this batch's time only: a list that repeats all earlier ones
     in every record would grow with the square of the run.
     """
@@ -70,11 +75,12 @@ def progress_records(log: DataFrame, total_links: int, batch_size: int = D.BATCH
     per_batch = log.groupBy(batch).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"),
         F.count_if(_failed(max_attempts)).alias("n_failed"),
-        F.count_if(_retried(max_attempts)).alias("n_retried"),
+        (F.count_if(_retried(max_attempts)) if retries is None else F.coalesce(F.sum(retries), F.lit(0))).alias("n_retried"),
         F.min(epoch).alias("started"), F.max(epoch + F.col("elapsed")).alias("ended"))
     totals = running_totals(per_batch, [batch], {
         "total_processed": F.col("n"), "successful": F.col("n_ok"),
         "failed": F.col("n_failed"), "retried": F.col("n_retried")})
+    totals = totals.withColumns({c: F.col(c) + (before or {}).get(c, 0) for c in ("total_processed", "successful", "failed", "retried")})
     return totals.select(
         F.col(batch).cast("long").alias("batch_no"),
         F.least((F.col(batch) + 1) * batch_size + start_index, F.lit(total_links)).cast("long").alias("current_index"),
@@ -160,11 +166,16 @@ FAILURE_DELAYS = {
 }
 UNEXPECTED_DELAY = 0.5
 RATE_LIMIT_DELAY = 1.5
+# The second source waits from 5 to 10 s.
+SECOND_SOURCE_DELAY = 5.0
+SECOND_SOURCE_MOST = 10.0
 
 
 def response_class(status: Column, failure: Column, second_source: bool = False) -> Column:
     """What a response counts as. The second source retries status 403."""
-    limited = status == 403 if second_source else status.isin(429, 503)
+    if second_source:  # only a refusal and a failed load make it wait; any other status gives a page
+        return F.when(status == 403, "retry_later").when(status.isNotNull(), "ok").otherwise("unexpected")
+    limited = status.isin(429, 503)
     return (F.when(status == 200, "ok")
             .when(limited, "retry_later")
             .when(status.isNotNull(), "http_error")
@@ -172,8 +183,10 @@ def response_class(status: Column, failure: Column, second_source: bool = False)
             .otherwise("unexpected"))
 
 
-def class_delay(kind: Column) -> Column:
-    """Seconds waited after a response of this class."""
+def class_delay(kind: Column, second_source: bool = False) -> Column:
+    """Seconds waited after a response of this class; of the second source, at least."""
+    if second_source:
+        return F.when(kind.isin("retry_later", "unexpected"), SECOND_SOURCE_DELAY).otherwise(0.0)
     delay = F.when(kind == "retry_later", RATE_LIMIT_DELAY).when(kind == "unexpected", UNEXPECTED_DELAY)
     for failure, seconds in FAILURE_DELAYS.items():
         delay = delay.when(kind == failure, seconds)
@@ -184,7 +197,7 @@ def response_classes(log: DataFrame, second_source: bool = False) -> DataFrame:
     """Responses per class, and the waiting they caused."""
     kind = response_class(F.col("status"), F.col("error"), second_source)
     counts = log.groupBy(kind.alias("response_class")).agg(F.count(F.lit(1)).alias("responses"))
-    return counts.withColumn("delay_seconds", F.col("responses") * class_delay(F.col("response_class")))
+    return counts.withColumn("delay_seconds", F.col("responses") * class_delay(F.col("response_class"), second_source))
 
 
 def rate_violations(log: DataFrame, per_window: int = D.REQUESTS_PER_SECOND, window: str = "1 second") -> DataFrame:

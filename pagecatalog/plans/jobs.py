@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pagecatalog import defaults as D, schemas
 from pagecatalog.functions import query_url, resolve_url
@@ -31,12 +31,27 @@ class Site:
 
 @dataclass(frozen=True)
 class Sources:
-    """What a run reads: captures ``(url, html)``, images found per search text, and how
-    image addresses answered, ``(url, status, content_type)``."""
+    """What a run reads: captures ``(url, html)``, images found per search text, how image
+    addresses answered, ``(url, status, content_type)``, and the log of requests.
+
+    Captures with ``fetched_at`` may hold a URL several times; the newest counts. With
+    ``as_of``, only captures younger than ``hours`` at that time are used.
+    """
 
     captures: DataFrame
     image_candidates: DataFrame | None = None
     image_responses: DataFrame | None = None
+    fetch_log: DataFrame | None = None
+    as_of: str | None = None
+    hours: int = D.CAPTURE_HOURS
+
+    def pages(self) -> DataFrame:
+        return self.captures if self.as_of is None else readers.fresh(self.captures, self.as_of, self.hours)
+
+    def log(self) -> DataFrame:
+        if self.fetch_log is not None:
+            return self.fetch_log
+        return readers.empty(self.captures.sparkSession, schemas.FETCH_LOG)
 
     def images(self) -> DataFrame:
         if self.image_candidates is not None:
@@ -45,18 +60,21 @@ class Sources:
 
 
 def _captured(urls: DataFrame, captures: DataFrame) -> DataFrame:
-    """Captures of the given URLs, each once.
+    """Captures of the given URLs, each URL's newest.
 
-    Callers write a computed list out first. Its size is then known when the join is
-    planned, and a short list is broadcast; otherwise the HTML would be shuffled before
-    the list turned out to be short.
+    The list is written out first. Its size is then known when the join is planned, and a
+    short list is broadcast; otherwise the HTML would be shuffled before the list turned
+    out to be short.
     """
-    return captures.select("url", "html").join(R.urls_to_read(urls), "url", "left_semi")
+    if "fetched_at" not in captures.columns:
+        return captures.select("url", "html").join(materialize(R.urls_to_read(urls), "wanted"), "url", "left_semi")
+    wanted = materialize(readers.newest(captures, also=urls), "wanted")
+    return captures.select("url", "html", "fetched_at").join(wanted, ["url", "fetched_at"], "left_semi").drop("fetched_at")
 
 
 def find_groups(start_urls: DataFrame, sources: Sources, site: Site, max_groups: int | None = None) -> DataFrame:
     """``(pos, group_url)`` of the groups that the index pages link to."""
-    docs = elements(_captured(start_urls, sources.captures))
+    docs = elements(_captured(start_urls, sources.pages()))
     found = L.group_links(docs, site.base, site.group_selectors)
     firsts = L.distinct_ordered(found, ["url", "pos"])
     capped = R.first_n(firsts, max_groups, "url", "pos")
@@ -66,9 +84,9 @@ def find_groups(start_urls: DataFrame, sources: Sources, site: Site, max_groups:
 
 def find_links(groups: DataFrame, sources: Sources, site: Site, max_pages: int = D.MAX_PAGES) -> DataFrame:
     """``(pos, url)`` of the distinct record links on the listing pages of the groups."""
-    listing = L.paginated_captures(groups, sources.captures, max_pages).join(groups, "group_url")
-    listing = materialize(listing, "listing")  # see _captured
-    pages = sources.captures.select("url", "html").join(
+    listing = L.paginated_captures(groups, sources.pages().select("url").distinct(), max_pages).join(groups, "group_url")
+    listing = materialize(listing, "listing")
+    pages = _captured(listing, sources.pages()).join(
         listing.select("url", F.col("pos").alias("group_pos"), "page_no"), "url")
     docs = elements(pages, ("group_pos", "page_no"))
     links = L.page_links(docs, site.base, site.record_selectors, ("group_pos", "page_no"))
@@ -84,14 +102,19 @@ def discover(spark: SparkSession, start_urls: DataFrame, sources: Sources, site:
     groups = materialize(find_groups(start_urls, sources, site, max_groups), "groups")
     writers.write_links(groups.withColumnRenamed("group_url", "url"), f"{root}/groups")
     writers.write_links(find_links(groups, sources, site, max_pages), f"{root}/links")
-    return readers.read_links(spark, f"{root}/links")
+    links = readers.read_links(spark, f"{root}/links")
+    asked = start_urls.select("url").union(groups.select(F.substring_index("group_url", "?", 1)))
+    spent = sources.log().withColumn("page", F.substring_index("url", "?", 1)).join(
+        asked.select(F.col("url").alias("page")).distinct(), "page", "left_semi")
+    P.discovery_summary(links, spent, "url").write.mode("overwrite").parquet(f"{root}/discovery")
+    return links
 
 
 def extract_records(urls: DataFrame, sources: Sources, site: Site) -> DataFrame:
     """Fields of every captured record page. Written out, as both the parents and their
     child links are read from it, and pages should be parsed once."""
-    docs = elements(_captured(urls, sources.captures))
-    records = X.record_fields(docs, site.base).withColumn("image_src", resolve_url(site.base, F.col("image_src")))
+    docs = elements(_captured(urls, sources.pages()))
+    records = X.record_fields(docs, site.base).dropDuplicates(["url"]).withColumn("image_src", resolve_url(site.base, F.col("image_src")))
     return materialize(records, "records")
 
 
@@ -111,8 +134,8 @@ def extract_children(records: DataFrame, sources: Sources) -> DataFrame:
         F.col("id").alias("generic_id"), F.col("english_name").alias("generic_english_name"),
         F.col("persian_name").alias("generic_persian_name"), F.col("url").alias("generic_url"),
         F.posexplode("child_urls").alias("pos", "child_url"))
-    pages = _captured(links.select(F.col("child_url").alias("url")), sources.captures)
-    children = X.child_fields(elements(pages)).withColumn(
+    pages = _captured(links.select(F.col("child_url").alias("url")), sources.pages())
+    children = X.child_fields(elements(pages)).dropDuplicates(["url"]).withColumn(
         "query", E.search_text(F.col("english_name"), F.col("manufacturer")))
     # images are looked up per child page, not per link
     children = E.top_images(children, sources.images()).drop("query")
@@ -137,45 +160,78 @@ def nested_records(records: DataFrame, children: DataFrame) -> DataFrame:
     return nested.select(*schemas.RECORD.fieldNames())
 
 
-def save_catalog(rows: DataFrame, root: str, fmt: str) -> DataFrame:
-    """Upsert by parent into the kept catalogue, and export it in the asked format."""
+def save_catalog(rows: DataFrame, records: DataFrame, root: str) -> DataFrame:
+    """Put the rows of the processed ``records`` in place of what the catalogue held of
+    them: a record that has lost its children loses its rows."""
     spark = rows.sparkSession
     old = readers.current_version(spark, f"{root}/catalog", schemas.CATALOG)
-    writers.publish(C.upsert(old, rows, ["generic_url"]), f"{root}/catalog")
-    kept = readers.current_version(spark, f"{root}/catalog", schemas.CATALOG)
-    writers.write_catalog(kept, fmt, f"{root}/export")
-    return kept
+    kept = R.pending(old, records.select(F.col("url").alias("generic_url")), "generic_url")
+    writers.publish(kept.unionByName(rows), f"{root}/catalog")
+    return readers.current_version(spark, f"{root}/catalog", schemas.CATALOG)
+
+
+def _accounted(batches: DataFrame, records: DataFrame, sources: Sources) -> DataFrame:
+    """One row per link: whether it gave a record, and what the request log knows of it."""
+    done = records.select("url").distinct().withColumn("ok", F.lit(True))
+    asked = sources.log().join(batches.select("url"), "url", "left_semi").groupBy("url").agg(
+        F.count(F.lit(1)).alias("attempts"), F.sum("elapsed").alias("elapsed"), F.min("ts").alias("ts"))
+    rows = batches.join(done, "url", "left").join(asked, "url", "left")
+    return rows.select("url", "batch_no", F.coalesce("ok", F.lit(False)).alias("ok"), F.lit(1).alias("attempt"),
+                       (F.coalesce("attempts", F.lit(1)) - 1).alias("retries"), "elapsed", "ts")
+
+
+#: One row per link that was processed.
+LOG = T.StructType([
+    T.StructField("url", T.StringType()), T.StructField("batch_no", T.LongType()), T.StructField("ok", T.BooleanType()),
+    T.StructField("attempt", T.IntegerType()), T.StructField("retries", T.LongType()),
+    T.StructField("elapsed", T.DoubleType()), T.StructField("ts", T.TimestampType())])
 
 
 def process(spark: SparkSession, sources: Sources, site: Site, root: str, batch_size: int = D.BATCH_SIZE,
-            start_index: int = 0, fmt: str = "json", as_of: str = "1970-01-01 00:00:00") -> DataFrame:
+            start_index: int = 0, fmt: str = "json", wave: int | None = None, stop_after: int | None = None) -> DataFrame:
     """Phase 2: the kept links from ``start_index`` on, into the catalogue.
 
-    Progress is recorded per batch and errors per URL. The links that are left are one
-    job whatever the batch size: batches are units of progress, not of work.
+    Batches are units of progress, not of work. ``wave`` batches are one job and are
+    committed together: rows, then errors, then progress, so that a run that dies is
+    resumed at the wave it was in. None is one wave for all. What a wave leaves is named by
+    its first link and replaced when it is done again; a run from the first link on
+    replaces all. ``stop_after`` ends the run after so many waves.
     """
-    links = readers.read_links(spark, f"{root}/links")
-    batches = P.assign_batches(links, ["pos"], batch_size, start_index)
-    batches = materialize(batches, "batches")
-    records = extract_records(batches, sources, site)
-    children = materialize(extract_children(records, sources), "children")
-    saved = save_catalog(catalog_rows(children), root, fmt)
-
-    writers.write_errors(X.without_record(batches, records), f"{root}/errors")
-    done = records.select("url").distinct().withColumn("ok", F.lit(True))
-    log = batches.join(done, "url", "left").select(
-        "url", "batch_no", F.coalesce("ok", F.lit(False)).alias("ok"), F.lit(1).alias("attempt"),
-        F.lit(0.0).alias("elapsed"), F.lit(as_of).cast("timestamp").alias("ts"))
-    progress = P.progress_records(log, links.count(), batch_size, max_attempts=1, start_index=start_index)
-    writers.write_progress(progress, f"{root}/progress")
+    links = materialize(P.assign_batches(readers.read_links(spark, f"{root}/links"), ["pos"], batch_size, start_index), "batches")
+    total = readers.read_links(spark, f"{root}/links").count()
+    last = links.agg(F.max("batch_no").alias("last")).first()["last"]
+    n_batches = 0 if last is None else last + 1
+    if start_index == 0:
+        for kept, schema in (("errors", schemas.ERROR), ("progress", schemas.PROGRESS), ("log", LOG)):
+            readers.empty(spark, schema).write.mode("overwrite").parquet(f"{root}/{kept}")
+    per_wave = wave or max(1, n_batches)
+    for first in range(0, n_batches, per_wave)[:stop_after]:
+        batches = links.filter(F.col("batch_no").between(first, first + per_wave - 1))
+        part = f"from-{start_index + first * batch_size:015d}"
+        records = extract_records(batches, sources, site)
+        children = materialize(extract_children(records, sources), "children")
+        save_catalog(catalog_rows(children), records, root)
+        writers.write_errors(X.without_record(batches, records), f"{root}/errors", part)
+        _accounted(batches, records, sources).write.mode("overwrite").parquet(f"{root}/log/{part}")
+        log = spark.read.schema(LOG).parquet(f"{root}/log/{part}")
+        before = readers.read_progress(spark, f"{root}/progress").filter(
+            F.col("current_index") <= start_index + first * batch_size).agg(F.max_by("stats", "current_index").alias("s")).first()["s"]
+        counters = {c: before[c] or 0 for c in ("total_processed", "successful", "failed", "retried")} if before else None
+        progress = P.progress_records(log, total, batch_size, max_attempts=1, start_index=start_index,
+                                      retries=F.col("retries"), before=counters)
+        writers.write_progress(progress, f"{root}/progress", part)
+    log = readers.read_table_files(spark, f"{root}/log", LOG, parts=True)
+    P.run_summary(log, max_attempts=1).write.mode("overwrite").parquet(f"{root}/summary")
+    saved = readers.current_version(spark, f"{root}/catalog", schemas.CATALOG)
+    writers.write_catalog(saved, fmt, f"{root}/export")
     return saved
 
 
 def resume(spark: SparkSession, sources: Sources, site: Site, root: str, batch_size: int = D.BATCH_SIZE,
-           fmt: str = "json", as_of: str = "1970-01-01 00:00:00") -> DataFrame:
+           fmt: str = "json", wave: int | None = None) -> DataFrame:
     """Go on from the largest stored index, from the beginning if there is none."""
     stored = P.resume_index(readers.read_progress(spark, f"{root}/progress"))
-    return process(spark, sources, site, root, batch_size, stored.first()["current_index"], fmt, as_of)
+    return process(spark, sources, site, root, batch_size, stored.first()["current_index"], fmt, wave)
 
 
 def full(spark: SparkSession, start_urls: DataFrame, sources: Sources, site: Site, root: str,
@@ -197,7 +253,7 @@ def full(spark: SparkSession, start_urls: DataFrame, sources: Sources, site: Sit
     todo = materialize(R.pending(frontier, attempted), "pending")
     records = extract_records(todo, sources, site)
     children = materialize(extract_children(records, sources), "children")
-    save_catalog(catalog_rows(children), root, fmt)
+    writers.write_catalog(save_catalog(catalog_rows(children), records, root), fmt, f"{root}/export")
     writers.write_state(frontier, todo, root)
     return nested_records(with_image_paths(records, sources, site), children)
 

@@ -145,6 +145,16 @@ def response_classes(spark, folder):
     return P.response_classes(fetch_log(spark, folder))
 
 
+@query(f"""WITH {LOG}, classed AS (SELECT CASE WHEN status = 403 THEN 'retry_later' WHEN status IS NOT NULL THEN 'ok'
+    ELSE 'unexpected' END AS response_class FROM (SELECT * REPLACE (CASE WHEN status = 429 THEN 403 ELSE status END AS status) FROM log))
+SELECT response_class, count(*) AS responses,
+    (count(*) * CASE WHEN response_class = 'ok' THEN 0.0 ELSE 5.0 END)::DOUBLE AS delay_seconds FROM classed GROUP BY 1""")
+def response_classes_second_source(spark, folder):
+    """The second source refuses with 403 where the first one says 429."""
+    log = fetch_log(spark, folder)
+    return P.response_classes(log.withColumn("status", F.when(F.col("status") == 429, 403).otherwise(F.col("status"))), second_source=True)
+
+
 @query(f"""WITH {LOG} SELECT epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS requests FROM log
 GROUP BY 1 HAVING count(*) > 20""")
 def rate_violations(spark, folder):

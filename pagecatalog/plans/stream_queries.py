@@ -44,14 +44,25 @@ def stream_frontier(spark, folder):
     return spark.read.parquet(path)
 
 
-@query(f"""WITH {UPDATE} SELECT c_custkey, c_name, c_acctbal, seq FROM update_rows
-QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY seq DESC) = 1""")
+@query(f"""WITH {UPDATE}, every AS (SELECT c_custkey, c_name, c_acctbal, NULL AS seq FROM customer
+    UNION ALL SELECT c_custkey, c_name, c_acctbal, seq FROM update_rows)
+SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY seq DESC NULLS LAST) = 1""")
 def stream_upsert(spark, folder):
-    _, update = _base_and_update(spark, folder)
-    arrivals = as_stream(spark, update.withColumn("sign", F.col("c_acctbal") < 0), "sign").drop("sign")
+    """Changes over the customers, compacted after the first half of them."""
+    base, update = _base_and_update(spark, folder)
     path = fresh_path(spark, "stream-upsert")
-    finished(S.to_sink(arrivals, S.upsert_sink(path), f"{path}/checkpoint"))
-    return S.read_upserted(spark, path, update.schema, ["c_custkey"], "seq")
+    key, seq = ["c_custkey"], "seq"
+    S.start_from(base.select("c_custkey", "c_name", "c_acctbal", F.lit(None).cast(update.schema["seq"].dataType).alias("seq")), path)
+    arrivals = as_stream(spark, update.withColumn("sign", F.col("c_acctbal") < 0), "sign").drop("sign")
+    changes = S.upsert_sink(path)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        changes(batch, batch_id)
+        if batch_id == 1:
+            S.compact(spark, path, update.schema, key, seq)
+
+    finished(S.to_sink(arrivals, sink, f"{path}/checkpoint"))
+    return S.read_upserted(spark, path, update.schema, key, seq)
 
 
 @query("SELECT c_custkey AS pos, 'c/' || c_custkey AS url FROM customer")
@@ -68,13 +79,17 @@ def stream_flush(spark, folder):
 
 @query(f"WITH {LINKS} SELECT DISTINCT link FROM links")
 def stream_snapshots(spark, folder):
-    # a pattern, as the streaming source takes a folder or a pattern, but not one file
-    pages = S.read_stream(spark, f"{folder}/pages.parque[t]", table(spark, folder, "pages").schema)
+    pages = table(spark, folder, "pages")
+    pages = as_stream(spark, pages.withColumn("name", F.length(F.regexp_extract("url", "//([^./]*)", 1)) % 9), "name", 9).drop("name")
     found = L.pattern_hrefs(pages, ("page_id", "url")).select(
         "page_id", "pos", resolve_url(site_root(F.col("url")), F.col("href")).alias("link"))
     path = fresh_path(spark, "stream-snapshots")
-    finished(S.to_sink(found, S.snapshot_sink(path, "link"), f"{path}/checkpoint"))
-    return L.distinct_links(spark.read.parquet(f"{path}/seen"))
+    sink = S.snapshot_sink(path, "link")
+    finished(S.to_sink(found, sink, f"{path}/checkpoint"))
+    # the end of the input closes a last interval
+    last = spark.read.parquet(f"{path}/seen").agg(F.max("batch_id")).first()[0]
+    S.take_snapshot(spark, path, "link", last)
+    return spark.read.parquet(f"{path}/snapshots").filter(F.col("at") == last).select("link")
 
 
 @query(f"WITH {LOG} SELECT DISTINCT url FROM log")

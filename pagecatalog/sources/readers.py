@@ -23,8 +23,9 @@ def _or_empty(read, spark: SparkSession, schema: T.StructType) -> DataFrame:
         raise
 
 
-def read_table_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _or_empty(lambda: spark.read.schema(schema).parquet(path), spark, schema)
+def read_table_files(spark: SparkSession, path: str, schema: T.StructType, parts: bool = False) -> DataFrame:
+    """Parquet files under ``path``; with ``parts``, in folders below it too."""
+    return _or_empty(lambda: spark.read.schema(schema).option("recursiveFileLookup", parts).parquet(path), spark, schema)
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +49,18 @@ def fresh(captures: DataFrame, as_of: Column | str, hours: int = CAPTURE_HOURS,
     return captures.filter(F.col(at) > as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
 
+def newest(captures: DataFrame, at: str = "fetched_at", also: DataFrame | None = None) -> DataFrame:
+    """``(url, fetched_at)`` of each URL's newest capture; of the URLs of ``also`` only.
+
+    Narrow columns only. A semi-join of the captures on both gives the pages, and leaves
+    their HTML where it is while the list is short.
+    """
+    times = captures.select("url", at)
+    if also is not None:
+        times = times.join(also.select("url").distinct(), "url", "left_semi")
+    return times.groupBy("url").agg(F.max(at).alias(at))
+
+
 def read_url_array(spark: SparkSession, path: str, array_per_line: bool = False) -> DataFrame:
     """JSON arrays of bare strings as ``(pos, url)``, one per file or one per line.
 
@@ -111,8 +124,8 @@ def read_state(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    return read_table_files(spark, path, schemas.PROGRESS)
+    return read_table_files(spark, path, schemas.PROGRESS, parts=True)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
-    return read_table_files(spark, path, schemas.ERROR)
+    return read_table_files(spark, path, schemas.ERROR, parts=True)

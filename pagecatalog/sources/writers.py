@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from pagecatalog import schemas
 from pagecatalog.functions import array_to_json, capture_key, join_array
@@ -76,16 +76,13 @@ def write_catalog(df: DataFrame, fmt: str, path: str, mode: str = "overwrite") -
 
 
 def fan_out(df: DataFrame, root: str, formats: tuple[str, ...] = ("json", "csv", "parquet")) -> bool:
-    """The same result in several formats, computed once; nothing if it is empty."""
-    df = df.persist()
-    try:
-        if df.isEmpty():
-            return False
-        for fmt in formats:
-            write_catalog(df, fmt, f"{root}/{fmt}")
-        return True
-    finally:
-        df.unpersist()
+    """The same result in several formats; nothing if it is empty. Write a costly ``df`` out
+    first: it is computed once per format."""
+    if df.isEmpty():
+        return False
+    for fmt in formats:
+        write_catalog(df, fmt, f"{root}/{fmt}")
+    return True
 
 
 def replace_all(df: DataFrame, root: str) -> None:
@@ -127,17 +124,19 @@ def write_state(frontier: DataFrame, attempted: DataFrame, root: str) -> None:
     attempted.select("url").write.mode("append").parquet(f"{root}/attempted")
 
 
-def write_progress(progress: DataFrame, path: str) -> None:
-    progress.select(*schemas.PROGRESS.fieldNames()).write.mode("append").parquet(path)
+def write_progress(progress: DataFrame, path: str, part: str | None = None) -> None:
+    """Append progress records; a named part replaces what it held, so a rerun adds nothing."""
+    rows = progress.select(*schemas.PROGRESS.fieldNames())
+    rows.write.mode("overwrite" if part else "append").parquet(f"{path}/{part}" if part else path)
 
 
-def write_errors(errors: DataFrame, path: str) -> bool:
-    """Append to the error ledger, if there are errors."""
-    errors = errors.select("url", "error")
-    if errors.isEmpty():
-        return False
-    errors.write.mode("append").parquet(path)
-    return True
+def write_errors(errors: DataFrame, path: str, part: str | None = None) -> bool:
+    """Append to the error ledger, or replace a part of it; True if there were errors, which
+    are counted as they are written."""
+    seen = Observation()
+    errors.select("url", "error").observe(seen, F.count(F.lit(1)).alias("rows")) \
+        .write.mode("overwrite" if part else "append").parquet(f"{path}/{part}" if part else path)
+    return seen.get["rows"] > 0
 
 
 def with_capture_key(captures: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pagecatalog import defaults as D
-from pagecatalog.operators.catalog import latest, upsert
+from pagecatalog.operators.catalog import latest
 from pagecatalog.operators.progress import backoff_seconds
-from pagecatalog.session import session_conf
-from pagecatalog.sources.readers import read_table_files
+from pagecatalog.session import materialize, session_conf
+from pagecatalog.sources.readers import current_version, read_table_files
 from pagecatalog.sources.writers import publish
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -60,28 +60,60 @@ def snapshot_sink(path: str, key: str, every: int = D.SNAPSHOT_EVERY) -> BatchSi
     def sink(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")
         if batch_id % every == 0:
-            seen = df.sparkSession.read.parquet(f"{path}/seen").filter(F.col("batch_id") <= batch_id)
-            seen.select(key).distinct().write.mode("overwrite").parquet(f"{path}/snapshots/at={batch_id}")
+            take_snapshot(df.sparkSession, path, key, batch_id)
 
     return sink
 
 
+def take_snapshot(spark: SparkSession, path: str, key: str, upto: int) -> None:
+    """The distinct keys of all batches up to this one: those of the snapshot before, and
+    of the batches since."""
+    at = T.StructType([T.StructField(key, T.StringType()), T.StructField("at", T.LongType())])
+    snapshots = read_table_files(spark, f"{path}/snapshots", at).filter(F.col("at") < upto)
+    last = snapshots.agg(F.max("at").alias("at")).first()["at"]
+    since = spark.read.parquet(f"{path}/seen").filter(F.col("batch_id").between((-1 if last is None else last) + 1, upto)).select(key)
+    kept = since if last is None else since.union(snapshots.filter(F.col("at") == last).select(key))
+    materialize(kept.distinct(), "snapshot").write.mode("overwrite").parquet(f"{path}/snapshots/at={upto}")
+
+
 def upsert_sink(path: str) -> BatchSink:
     """Records as they arrive. A batch is only written, not merged: rewriting the whole
     table per batch would cost the size of the table. See :func:`read_upserted`."""
     return batch_files(f"{path}/changes")
 
 
-def read_upserted(spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: str) -> DataFrame:
-    """The table as of now: per key the row of the largest ``seq``, of repeats the last to arrive."""
+_FOLDED = T.StructType([T.StructField("upto", T.LongType())])
+
+
+def _changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Changes that no compaction has folded in yet."""
+    folded = read_table_files(spark, f"{path}/folded", _FOLDED).agg(F.max("upto").alias("upto")).first()["upto"]
     changes = read_table_files(spark, f"{path}/changes", T.StructType(
         [*schema.fields, T.StructField("batch_id", T.LongType())]))
-    return latest(changes, key, [F.desc(seq), F.desc("batch_id")]).drop("batch_id")
+    return changes if folded is None else changes.filter(F.col("batch_id") > folded)
 
 
-def compact(spark: SparkSession, path: str, base: DataFrame, schema: T.StructType, key: list[str], seq: str) -> str:
-    """Fold the kept changes into ``base`` and publish the result as a new version."""
-    return publish(upsert(base, read_upserted(spark, path, schema, key, seq), key), f"{path}/table")
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: str) -> DataFrame:
+    """The table as of now: the compacted rows, and over them, per key, the change with the
+    largest ``seq``, of repeats the last to arrive. Folders of folded batches are not read."""
+    base = current_version(spark, f"{path}/table", schema)
+    new = latest(_changes(spark, path, schema), key, [F.desc(seq), F.desc("batch_id")]).drop("batch_id")
+    both = base.select("*", F.lit(0).alias("_new")).unionByName(new.select("*", F.lit(1).alias("_new")))
+    return latest(both, key, [F.desc_nulls_last(seq), F.desc("_new")]).drop("_new")
+
+
+def start_from(base: DataFrame, path: str) -> str:
+    """Make ``base`` the table that changes are laid over."""
+    return publish(base, f"{path}/table")
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: str) -> str:
+    """Fold the changes so far into a new version of the table, and note up to which batch."""
+    upto = _changes(spark, path, schema).agg(F.max("batch_id").alias("upto")).filter("upto is not null")
+    upto = materialize(upto, "upto")
+    version = publish(read_upserted(spark, path, schema, key, seq), f"{path}/table")
+    upto.write.mode("append").parquet(f"{path}/folded")
+    return version
 
 
 def pending_with_captures(frontier: DataFrame, attempted: DataFrame, captures: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def test_upsert_takes_later_rows_and_survives_replay(spark, place):
     now = S.read_upserted(spark, place, schema, ["id"], "seq")
     assert sorted(map(tuple, now.collect())) == [("a", 1, 1), ("b", 3, 3), ("c", 1, 1)]
     base = spark.createDataFrame([("a", 0, 0), ("z", 9, 0)], schema)
-    S.compact(spark, place, base, schema, ["id"], "seq")
+    S.start_from(base, place)
+    S.compact(spark, place, schema, ["id"], "seq")
     table = readers.current_version(spark, f"{place}/table", schema)
     assert sorted(map(tuple, table.collect())) == [("a", 1, 1), ("b", 3, 3), ("c", 1, 1), ("z", 9, 0)]
 
