@@ -56,19 +56,17 @@ PRODUCT_IMAGE_SELECTOR = "div.product-image img"
 REQUEST_DELAY = 0.5
 PAGE_DELAY = 0.3
 BATCH_DELAY = 1.0
-FLUSH_SECONDS = 300
 
 # Counts.
 MAX_ATTEMPTS = 3
-MAX_ATTEMPTS_SECOND_SOURCE = 5
 MAX_PAGES = 5
 BATCH_SIZE = 50
-GROUP_BATCH_SIZE = 25
 SNAPSHOT_EVERY = 4
 IMAGES_PER_CHILD = 5
 REQUESTS_PER_SECOND = 10
 CAPTURE_HOURS = 24
 
+# Texts that records and files hold.
 NO_RECORD_ERROR = "Extraction returned None"
 ARRAY_SEPARATOR = "; "
 UNKNOWN = "Unknown"

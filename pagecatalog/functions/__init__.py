@@ -1,5 +1,5 @@
 from pagecatalog.functions.arrays import array_to_json, join_array, split_text
-from pagecatalog.functions.text import clean, decode_named_entities
+from pagecatalog.functions.text import clean
 from pagecatalog.functions.urls import (
     capture_key,
     host_of,
@@ -10,6 +10,6 @@ from pagecatalog.functions.urls import (
 )
 
 __all__ = [
-    "array_to_json", "capture_key", "clean", "decode_named_entities", "host_of",
+    "array_to_json", "capture_key", "clean", "host_of",
     "join_array", "query_url", "record_id", "resolve_url", "site_root", "split_text",
 ]

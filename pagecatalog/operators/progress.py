@@ -206,10 +206,13 @@ def rate_violations(log: DataFrame, per_window: int = D.REQUESTS_PER_SECOND, win
     return counts.filter(F.col("requests") > per_window).select(F.col("w.start").alias("window_start"), "requests")
 
 
-def request_schedule(urls: DataFrame, host: str, order: Sequence[str], delay: float = D.PAGE_DELAY) -> DataFrame:
-    """Planned start of each request, in seconds after its host's first."""
+def request_schedule(urls: DataFrame, host: str, order: Sequence[str], delay: float = D.PAGE_DELAY,
+                     batch_size: int = D.BATCH_SIZE, batch_delay: float = D.BATCH_DELAY) -> DataFrame:
+    """Planned start of each request, in seconds after its host's first: ``delay`` apart,
+    and ``batch_delay`` more between batches. Pass ``REQUEST_DELAY`` for single records."""
     ranked = rank_within(urls, [host], order, "nth")
-    return ranked.withColumn("start_offset", (F.col("nth") - 1) * F.lit(delay))
+    earlier = F.col("nth") - 1
+    return ranked.withColumn("start_offset", earlier * F.lit(delay) + F.floor(earlier / batch_size) * F.lit(batch_delay))
 
 
 def resume_index(progress: DataFrame) -> DataFrame:

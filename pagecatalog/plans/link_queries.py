@@ -231,11 +231,12 @@ def missing_captures(spark, folder):
 
 
 @query("""
-SELECT page_id, host, ((row_number() OVER (PARTITION BY host ORDER BY page_id) - 1) * 0.3)::DOUBLE AS start_offset
-FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages)""")
+SELECT page_id, host, (nth * 0.3 + nth // 10 * 1.0)::DOUBLE AS start_offset FROM (
+    SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS nth
+    FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages))""")
 def request_schedule(spark, folder):
     urls = table(spark, folder, "pages").select("page_id", host_of(F.col("url")).alias("host"))
-    return P.request_schedule(urls, "host", ["page_id"]).select(
+    return P.request_schedule(urls, "host", ["page_id"], batch_size=10).select(
         "page_id", "host", F.round("start_offset", 3).alias("start_offset"))
 
 

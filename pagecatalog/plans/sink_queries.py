@@ -12,7 +12,7 @@ from pagecatalog.operators import links as L
 from pagecatalog.plans.enrich_queries import CATALOG_SQL, order_catalog, scalars
 from pagecatalog.plans.link_queries import ATTEMPTED, FRONTIER, LINKS, attempted, frontier, links
 from pagecatalog.plans.registry import query, table
-from pagecatalog.session import fresh_path
+from pagecatalog.session import fresh_path, materialize
 from pagecatalog.sources import readers, writers
 
 PART = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType())])
@@ -67,33 +67,41 @@ def overwrite_sink(spark, folder):
     return scalars(readers.current_version(spark, root, schemas.CATALOG))
 
 
-@query("""
-SELECT asked, written, n AS rows FROM (SELECT count(*) AS n FROM lineitem),
+CONTENTS_SQL = f"""contents AS (SELECT count(*) AS rows, sum(length(generic_url) + length(url))::BIGINT AS urls,
+    sum(length(coalesce(generic_persian_name, '')) + length(english_name) + length(manufacturer))::BIGINT AS names,
+    sum(length(image_url))::BIGINT AS images FROM ({CATALOG_SQL}))"""
+
+
+def _contents(catalog: DataFrame, **literals: str) -> DataFrame:
+    """Lengths of what a catalogue holds, per column kind."""
+    n = lambda *cols: F.sum(sum((F.length(F.coalesce(c, F.lit(""))) for c in cols), F.lit(0)))
+    return scalars(catalog).agg(
+        *[F.lit(v).alias(k) for k, v in literals.items()], F.count(F.lit(1)).alias("rows"),
+        n("generic_url", "url").alias("urls"), n("generic_persian_name", "english_name", "manufacturer").alias("names"),
+        n("image_url").alias("images"))
+
+
+@query(f"""
+WITH {CONTENTS_SQL} SELECT asked, written, rows, urls, names, images FROM contents,
     (VALUES ('JSON', 'json'), ('Csv', 'csv'), ('parquet', 'parquet'), ('xml?', 'json')) AS v(asked, written)""")
 def sink_dispatch(spark, folder):
-    catalog = order_catalog(spark, folder).persist()
-    read = {"json": readers.read_catalog_json, "csv": readers.read_catalog_csv,
-            "parquet": lambda s, p: s.read.parquet(p)}
+    catalog = materialize(order_catalog(spark, folder), "dispatched")
     counted = []
     for asked in ("JSON", "Csv", "parquet", "xml?"):
         path = fresh_path(spark, "dispatch")
         written = writers.write_catalog(catalog, asked, path)
-        counted.append(read[written](spark, path).agg(
-            F.lit(asked).alias("asked"), F.lit(written).alias("written"), F.count(F.lit(1)).alias("rows")))
-    catalog.unpersist()
+        counted.append(_contents(writers.load_catalog(spark, written, path), asked=asked, written=written))
     return L.union_links(*counted)
 
 
-@query("""
-SELECT format, n AS rows FROM (SELECT count(*) AS n FROM lineitem), (VALUES ('json'), ('csv'), ('parquet')) AS v(format)""")
+@query(f"""
+WITH {CONTENTS_SQL} SELECT format, rows, urls, names, images FROM contents, (VALUES ('json'), ('csv'), ('parquet')) AS v(format)""")
 def sink_fanout(spark, folder):
     root = fresh_path(spark, "fanout")
-    catalog = order_catalog(spark, folder)
+    catalog = materialize(order_catalog(spark, folder), "fanned-out")
     writers.fan_out(catalog, root)
     writers.fan_out(catalog.filter(F.col("url").isNull()), f"{root}/json")  # empty: writes nothing
-    read = {"json": readers.read_catalog_json(spark, f"{root}/json"), "csv": readers.read_catalog_csv(spark, f"{root}/csv"),
-            "parquet": spark.read.parquet(f"{root}/parquet")}
-    return L.union_links(*[df.agg(F.lit(fmt).alias("format"), F.count(F.lit(1)).alias("rows")) for fmt, df in read.items()])
+    return L.union_links(*[_contents(writers.load_catalog(spark, fmt, f"{root}/{fmt}"), format=fmt) for fmt in ("json", "csv", "parquet")])
 
 
 @query("SELECT p_partkey, p_name, true AS created, false AS created_again FROM part")
@@ -140,10 +148,16 @@ def captures_roundtrip(spark, folder):
 
 @query(CATALOG_SQL)
 def custom_sink(spark, folder):
+    """A format of the user's own, saved, loaded and merged into: older names are replaced."""
     def write_orc(df: DataFrame, path: str, mode: str) -> None:
         df.write.mode(mode).orc(path)
 
-    writers.register_sink("orc", write_orc)
+    def read_orc(session: SparkSession, path: str) -> DataFrame:
+        return session.read.schema(schemas.CATALOG).orc(path)
+
+    writers.register_sink("orc", write_orc, read_orc)
     path = fresh_path(spark, "orc")
-    writers.write_catalog(order_catalog(spark, folder), "ORC", path)
-    return scalars(spark.read.schema(schemas.CATALOG).orc(path))
+    catalog = order_catalog(spark, folder)
+    old = catalog.filter(F.col("persian_name") == "R").withColumn("english_name", F.lit("old"))
+    writers.write_catalog(old, "ORC", path)
+    return scalars(writers.merge_catalog(catalog, "orc", path))

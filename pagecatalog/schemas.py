@@ -26,7 +26,8 @@ RECORD = T.StructType([
     T.StructField("children", T.ArrayType(CHILD)),
 ])
 
-# One row per child, the parent's four columns first.
+# The column names of the flat record. One row per child, the parent's four
+# columns first.
 CATALOG = T.StructType([
     *_strings("generic_id", "generic_english_name", "generic_persian_name", "generic_url",
               "persian_name", "english_name", "manufacturer", "url"),

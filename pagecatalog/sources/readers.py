@@ -96,6 +96,13 @@ def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(read, spark, schemas.CATALOG)
 
 
+def read_catalog_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Catalogue as Parquet files, where arrays are JSON text and NULL stands for none."""
+    rows = read_table_files(spark, path, schemas.CATALOG_TEXT)
+    images = F.coalesce(F.from_json("image_url", "array<string>"), F.array().cast("array<string>"))
+    return rows.withColumn("image_url", images)
+
+
 def read_table(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
     """A table, or an empty one with ``schema`` if there is none by that name."""
     return spark.table(name) if spark.catalog.tableExists(name) else empty(spark, schema)

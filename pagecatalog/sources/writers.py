@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from pagecatalog import schemas
 from pagecatalog.functions import array_to_json, capture_key, join_array
+from pagecatalog.session import materialize
+from pagecatalog.sources import readers
 
 log = logging.getLogger(__name__)
 
@@ -55,9 +57,37 @@ SINKS: dict[str, Sink] = {
 }
 
 
-def register_sink(name: str, sink: Sink) -> None:
-    """Make ``sink(df, path, mode)`` selectable by name."""
+Load = Callable[[SparkSession, str], DataFrame]
+
+LOADS: dict[str, Load] = {
+    "json": readers.read_catalog_json,
+    "csv": readers.read_catalog_csv,
+    "parquet": readers.read_catalog_parquet,
+    "duckdb": readers.read_catalog_parquet,
+}
+
+
+def register_sink(name: str, sink: Sink, load: Load | None = None) -> None:
+    """Make ``sink(df, path, mode)`` selectable by name; with ``load(spark, path)``, what it
+    wrote can be read back and merged into."""
     SINKS[name.lower()] = sink
+    if load is not None:
+        LOADS[name.lower()] = load
+
+
+def load_catalog(spark: SparkSession, fmt: str, path: str) -> DataFrame:
+    """A catalogue in a format by name; nothing there reads as no rows."""
+    return LOADS[fmt.lower()](spark, path)
+
+
+def merge_catalog(df: DataFrame, fmt: str, path: str, key: tuple[str, ...] = ("generic_url",)) -> DataFrame:
+    """Write a catalogue over what the path holds: rows of the same ``key`` are replaced as a
+    whole, others stay. Returns what the path holds then."""
+    spark = df.sparkSession
+    kept = load_catalog(spark, fmt, path).join(df.select(*key).distinct(), list(key), "left_anti")
+    merged = materialize(kept.select(*df.columns).unionByName(df), "merged")  # the path is overwritten
+    SINKS[fmt.lower()](merged, path, "overwrite")
+    return load_catalog(spark, fmt, path)
 
 
 def write_catalog(df: DataFrame, fmt: str, path: str, mode: str = "overwrite") -> str:

@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from pagecatalog.functions import (
-    capture_key, clean, decode_named_entities, host_of, query_url, record_id, resolve_url, site_root)
+    capture_key, clean, host_of, query_url, record_id, resolve_url, site_root)
 
 BASES = ["https://a.example", "https://a.example/", "http://a.example/x/y.html?q=1#f", "http://a.example/x/y/"]
 HREFS = [
@@ -59,7 +59,7 @@ def test_query_url(spark):
     assert tuple(row) == ("http://a/s?s=two words&t=1", "http://a/s")
 
 
-def test_clean_and_entities(spark):
-    row = spark.createDataFrame([(" \n\t x  ", "&amp;quot; &copy;&middot;&quot;")], "a string, b string") \
-        .select(clean(F.col("a")), decode_named_entities(F.col("b"))).first()
-    assert tuple(row) == ("x", '&quot; ©·"')
+def test_clean(spark):
+    row = spark.createDataFrame([(" \n\t x  y\u2003\x1f", "\u3000")], "a string, b string") \
+        .select(clean(F.col("a")), clean(F.col("b"))).first()
+    assert tuple(row) == ("x  y", "")
