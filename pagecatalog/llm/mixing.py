@@ -63,8 +63,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEAT
     the virtual time at which its first copy is served in full, ``turn`` its place in the
     order of these times over all sources (null where nothing is taken).
     """
-    rows = materialize(docs.select("doc_id", *keys, "source", words(F.col("text")).alias("size"), F.xxhash64(
-        F.coalesce("doc_id", F.lit(-1)), F.lit("shuffle")).alias("_shuffled")), "queues")
+    rows = materialize(docs.select("doc_id", *keys, "source", words(F.col("text")).alias("size"), F.md5(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_shuffled")), "queues")
     shares = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     queue = ordered_slices(rows, ["source", "_shuffled", "doc_id", "size", *keys], "queues-sorted")
     pieces = queue.groupBy("source", "_slice").agg(F.sum("size").alias("_words"))

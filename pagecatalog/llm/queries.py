@@ -74,6 +74,28 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(documents(spark, folder), shards=8)
 
 
+ORACLES["op9_mixing"] = """
+WITH rows AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '')) AS shuffled FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM rows GROUP BY source),
+weighted AS (SELECT source, source_size, CASE (nth - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources),
+timed AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (dry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (dry ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS time
+    FROM weighted WINDOW dry AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST)),
+spent AS (SELECT (SELECT time FROM timed WHERE time * weight <= 3 * source_size
+    ORDER BY source_size::DOUBLE / weight, source NULLS LAST LIMIT 1) AS time),
+targets AS (SELECT source, source_size, weight, least(coalesce(spent.time * weight, 3 * source_size), 3 * source_size)::DOUBLE AS target
+    FROM weighted, spent),
+queued AS (SELECT doc_id, shuffled, size, source_size, target, weight, floor(target)::BIGINT AS cut,
+    (sum(size) OVER (PARTITION BY targets.source ORDER BY shuffled, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+    FROM rows JOIN targets ON rows.source IS NOT DISTINCT FROM targets.source),
+served AS (SELECT *, (start + size)::DOUBLE / weight AS finish,
+    least(cut, start + size) - least(cut, start) + least(cut, start + source_size + size) - least(cut, start + source_size)
+    + least(cut, start + 2 * source_size + size) - least(cut, start + 2 * source_size) AS taken FROM queued)
+SELECT doc_id, size, source_size, target, taken,
+    CASE WHEN taken > 0 THEN row_number() OVER (ORDER BY taken = 0, finish, shuffled, doc_id) - 1 END AS turn FROM served"""
+
+
 @query
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "turn")

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import pytest
+from oracle import connect, differences
 
 from pagecatalog.llm import mixing, queries, sharding, syncmers
 from pyspark.sql import functions as F
@@ -143,6 +144,11 @@ def test_mix(spark):
     assert [(r.target, r.taken) for r in none] == [(0.0, 0), (0.0, 0)]
 
 
+def test_mix_query_against_sql(spark):
+    found = differences(queries.QUERIES["op9_mixing"](spark, FOLDER), connect(FOLDER), queries.ORACLES["op9_mixing"])
+    assert found == []
+
+
 def test_mix_query(spark):
     docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     check_mix(queries.QUERIES["op9_mixing"](spark, FOLDER).collect(), docs)
