@@ -28,6 +28,24 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         secret_scan.listed(F.concat("base", "linked")).alias("spans"))
 
 
+ORACLES["op2_suffix_array"] = """
+WITH rows AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+strings AS (SELECT doc_id, pos, md5(bytes[pos + 1:pos + 400]) AS said
+    FROM (SELECT doc_id, bytes, unnest(range(octet_length(bytes) - 399)) AS pos FROM rows)),
+often AS (SELECT said FROM strings GROUP BY said HAVING count(*) > 1),
+repeats AS (SELECT doc_id, pos, pos - lag(pos, 1, -1000) OVER (PARTITION BY doc_id ORDER BY pos) > 400 AS opens
+    FROM strings SEMI JOIN often USING (said)),
+spans AS (SELECT doc_id, min(pos) AS start, max(pos) + 400 AS stop FROM (SELECT doc_id, pos,
+    count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM repeats) GROUP BY doc_id, nth),
+pieces AS (SELECT doc_id, start, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS since, stop FROM spans),
+kept AS (SELECT doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans, max(stop) AS last_stop,
+    string_agg(hex(bytes[since + 1:start]), '' ORDER BY start) AS head
+    FROM pieces JOIN rows USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(bytes)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(head, '') || hex(bytes[coalesce(last_stop, 0) + 1:]))) AS kept_sha256
+FROM rows LEFT JOIN kept USING (doc_id)"""
+
+
 @query
 def op2_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(documents(spark, folder), length=400, texts=False)
@@ -40,6 +58,20 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+ORACLES["op4_substring"] = """
+WITH rows AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+windows AS (SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS said
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM rows)),
+firsts AS (SELECT said, min(doc_id) AS first_id FROM windows GROUP BY said HAVING count(*) > 1),
+repeats AS (SELECT doc_id, pos, doc_id > first_id AS repeated FROM windows JOIN firsts USING (said)),
+gone AS (SELECT DISTINCT doc_id, pos + step AS pos FROM (SELECT doc_id, pos FROM repeats WHERE repeated), range(50) AS steps(step)),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM rows),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS kept
+    FROM placed ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256 FROM rows LEFT JOIN kept USING (doc_id)"""
+
+
 @query
 def op4_substring(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.remove_repeats(documents(spark, folder), window=50, texts=False)

@@ -6,9 +6,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from oracle import connect, differences
 
-from pagecatalog.llm import substring_dedup, suffix_dedup
+from pagecatalog.llm import queries, substring_dedup, suffix_dedup
 
+FOLDER = "/root/testdata/sf0.01"
 SCHEMA = "doc_id bigint, text string, first string, seed int"
 
 
@@ -115,3 +117,8 @@ def test_repeated_starts_of_many_random_stretches():
         got = suffix_dedup.repeated_starts(stretches, length)
         for s, found in zip(stretches, got):
             assert found.tolist() == [i for i in range(len(s) - length + 1) if times[s[i:i + length]] > 1]
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_array", "op4_substring"])
+def test_queries_against_sql(spark, name):
+    assert differences(queries.QUERIES[name](spark, FOLDER), connect(FOLDER), queries.ORACLES[name]) == []
