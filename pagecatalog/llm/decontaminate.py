@@ -21,8 +21,8 @@ The items reach executors in passes of at most ``PASS_ITEMS`` items; that bounds
 holds. Documents are never shuffled.
 
 Cases: null texts and items, and items without words, match nothing; repeated documents match
-alike, repeated items each for themselves; case and ASCII punctuation do not count; an empty
-table on either side gives no rows.
+alike, repeated items each for themselves, an item without id under a null id; case and ASCII
+punctuation do not count; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -203,7 +203,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     found = []
     for p in range(passes):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-        shards, checks = index(sorted((r["item_id"], r["text"]) for r in some.collect()))
+        listed = sorted(((r["item_id"], r["text"]) for r in some.collect()), key=lambda i: (i[0] is None, i[0] or 0, i[1]))
+        shards, checks = index(listed)
 
         def of(batches: Iterator[pd.DataFrame], shards=shards, checks=checks) -> Iterator[pd.DataFrame]:
             def solved(held: list[tuple]) -> pd.DataFrame:

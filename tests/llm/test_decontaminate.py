@@ -61,6 +61,9 @@ def test_against_plain(spark):
     assert {(82, 3), (82, 64), (85, 60)} <= set(want)
     assert decontaminate.leaks(keyed(frame), bench.filter("false")).count() == 0
     assert decontaminate.leaks(keyed(frame).filter("false"), bench).count() == 0
+    nameless = spark.createDataFrame([(None, items[3][1]), (7, "two words")], "item_id bigint, text string")
+    found = decontaminate.leaks(keyed(frame).filter("doc_id >= 80"), nameless, 0.5, 0.5).collect()
+    assert {(r.doc_id, r.item_id) for r in found} >= {(82, None), (84, 7)}
 
 
 def test_query_finds_every_whole_passage(spark):
