@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagecatalog.llm import (
-    decontaminate, language_id, mixing, quality, secret_scan, sharding, simhash_dedup, substring_dedup, suffix_dedup, syncmers)
+    decontaminate, filter_audit, hard_negatives, language_id, mixing, quality, secret_scan, sharding, simhash_dedup,
+    substring_dedup, suffix_dedup, syncmers, token_counts)
 from pagecatalog.llm.common import documents, keyed, remainder, unsigned_hex
 from pagecatalog.plans.registry import table
 
@@ -139,3 +140,65 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").filter(remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
     scored = quality.score(docs, quality.learn(docs, labels), "doc_id", "held_out")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+@query
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(documents(spark, folder), public_tokenizers.path(token_counts.MODEL))
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH vectors AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS id, list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ranked AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), every=100, label=moved)
+
+
+ORACLES["op13_filter_audit"] = """
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+copies AS (SELECT md5(text) AS said, min(doc_id) AS first FROM texts GROUP BY said),
+measured AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),
+masks AS (SELECT doc_id, part, (len(words) < 200)::INTEGER + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INTEGER
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INTEGER
+    + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(doc_id > first, false)::INTEGER AS mask
+    FROM measured JOIN copies ON md5(text) = said),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+prefixes(prefix, letter, bit, before, step) AS (SELECT '', '', 0, 0, 0 UNION ALL
+    SELECT prefix || l.letter, l.letter, l.bit, before | p.bit, step + 1 FROM prefixes p JOIN letters l ON (before | p.bit) & l.bit = 0),
+metrics AS (SELECT part, prefix, letter, step, sum(n) FILTER (mask & (before | bit) = 0) AS kept,
+    sum(n) FILTER (mask & before = 0 AND mask & bit > 0) AS removed, sum(n) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant,
+    sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & before = 0 AND mask & bit > 0) AS good_lost,
+    sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0) AS toxic_lost
+    FROM prefixes CROSS JOIN cells WHERE step > 0 GROUP BY part, prefix, letter, step),
+steps AS (SELECT part, o.prefix AS filter_order, m.* EXCLUDE (part, prefix) FROM metrics m
+    JOIN (SELECT prefix FROM prefixes WHERE step = 5) o ON m.prefix = left(o.prefix, m.step::BIGINT))
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+    coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+    coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+    sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM steps"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, folder), table(spark, folder, "labels"))

@@ -1,0 +1,85 @@
+"""Token counts against the library on whole texts."""
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from pagecatalog.llm import queries, token_counts
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id bigint, text string, n_tokens string, one string, chars int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "clash", "clash", 3) for i, t in rows], SCHEMA)
+
+
+def plain(text):
+    return len(token_counts.encoder(PATH)[0](text or "")[0])
+
+
+def check(spark, rows, **sizes):
+    got = token_counts.count_tokens(frame(spark, rows), PATH, **sizes)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens"]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    want = sorted(((i, len((t or "").encode()), plain(t)) for i, t in rows), key=key)
+    assert sorted(map(tuple, got.collect()), key=key) == want
+
+
+def prose(seed, words):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["the", "tokens", "Überlänge", "été", "12345", "中文", "\n\n", "😀", "x" * 9, "ing"]) for _ in range(words))
+
+
+def test_cases(spark):
+    rows = [(1, None), (2, ""), (3, " "), (None, "no id"), (None, None), (4, "<s> special </s>"), (5, "a\u0000b ▁ ▁▁x"),
+            (6, prose(1, 900)), (7, prose(1, 900)), (7, prose(1, 900)), (8, "x" * 5000), (9, "一二三" * 900), (10, " " * 3000), (11, prose(2, 40))]
+    check(spark, rows)
+    check(spark, rows, chunk=200, overlap=8)
+    check(spark, rows, chunk=64, overlap=32)
+    assert token_counts.count_tokens(frame(spark, []), PATH).count() == 0
+
+
+def test_widening_settles_what_does_not_align(spark):
+    never = "".join(random.Random(3).choice("ab") for _ in range(3000))
+    check(spark, [(1, "ab" * 2000), (2, never), (3, "😀" * 700), (4, "z" * 4096 + " end")], chunk=50, overlap=3)
+
+
+def test_encoder_without_boundaries(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    text = prose(5, 300)
+    got = token_counts.count_tokens(frame(spark, [(1, text), (2, "short")]), path, chunk=100, overlap=10).collect()
+    whole = Tokenizer.from_file(path)
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(whole.encode(t, add_special_tokens=False).ids) for i, t in ((1, text), (2, "short"))}
+
+
+LETTERS = st.sampled_from(["a", "b", " ", "  ", "the", "ing", "\n", "1", "é", "́", "中", "😀", "▁", "X", "tion", "x" * 17])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(LETTERS, min_size=10, max_size=120), st.integers(8, 40), st.integers(2, 12))
+def test_every_common_boundary_is_stable(parts, chunk, overlap):
+    text = "".join(parts)
+    encode, whole = token_counts.encoder(PATH)
+    pieces = [(s, encode(text[s:e])) for s, e in token_counts.cuts(len(text), chunk, overlap)]
+    ends = set(encode(text)[1].tolist())
+    for (s, one), (t, two) in zip(pieces, pieces[1:]):
+        left = set(zip(*(x.tolist() for x in token_counts.boundaries(*one, whole, chunk, chunk + overlap)[:3])))
+        right = set(zip(*(x.tolist() for x in token_counts.boundaries(*two, whole, 0, overlap)[:3])))
+        for at in {(a + s, x, y) for a, x, y in left} & {(a + t, x, y) for a, x, y in right}:
+            assert at[0] in ends
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001"])
+def test_query(spark, folder):
+    got = queries.QUERIES["op11_token_counts"](spark, folder).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").toPandas()
+    assert len(got) == len(docs)
+    for doc_id, text in zip(docs.doc_id, docs.text):
+        assert got.n_tokens[doc_id] == plain(text) and got.over_limit[doc_id] == (plain(text) > 4096)
+    assert got.n_bytes.dtype == np.int64
