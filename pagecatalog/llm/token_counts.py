@@ -7,7 +7,7 @@ boundary lies before, the token that ends there, the one that starts there, and
 tokens stand before. The count is what lies between splices, summed.
 
 Two neighbours are spliced at the first boundary of their overlap that both have, with the
-same token on either side. That such a boundary is stable follows from how byte pair
+same token on either side. That the result is the encoding of the whole follows from how byte pair
 encoding merges: a sequence of pieces is the encoding of its text if every two adjacent
 pieces stand side by side in an encoding of some text, because the first merge across a
 boundary would have happened there too. Left of the splice all neighbours come from one
