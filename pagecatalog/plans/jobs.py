@@ -258,27 +258,30 @@ def full(spark: SparkSession, start_urls: DataFrame, sources: Sources, site: Sit
     return nested_records(with_image_paths(records, sources, site), children)
 
 
-def source_items(start_urls: DataFrame, captures: DataFrame, base: str, max_letters: int | None,
+def source_items(start_urls: DataFrame, sources: Sources, base: str, max_letters: int | None,
                  per_letter: int) -> DataFrame:
     """``(letter_pos, nth, url)``: up to ``per_letter`` items of each letter page."""
+    captures = sources.pages()
     index = elements(_captured(start_urls, captures))
     letters = L.distinct_ordered(L.group_links(index, base, D.LETTER_SELECTORS), ["url", "pos"])
     letters = R.first_n(letters, max_letters, "url", "pos")
     letters = global_index(letters.select("link", "url", F.col("pos").alias("was")), ["url", "was"], "letter_pos")
-    letters = materialize(letters, "letters")
-    pages = captures.select("url", "html").join(
-        letters.select(F.col("link").alias("url"), "letter_pos"), "url")
+    letters = materialize(letters.select(F.col("link").alias("url"), "letter_pos"), "letters")
+    pages = _captured(letters, captures).join(letters, "url")
     items = L.page_links(elements(pages, ("letter_pos",)), base, D.ITEM_SELECTORS, ("letter_pos",))
+    items = items.dropDuplicates(["letter_pos", "pos", "link"])  # of a page captured twice at one time
     chosen = L.top_links_per_group(items, ["letter_pos"], ["pos"], per_letter)
     return chosen.select("letter_pos", F.col("rank").alias("nth"), F.col("link").alias("url"))
 
 
-def enrich(spark: SparkSession, start_urls: DataFrame, captures: DataFrame, base: str, second_base: str,
+def enrich(spark: SparkSession, start_urls: DataFrame, sources: Sources, base: str, second_base: str,
            root: str, per_letter: int = D.BATCH_SIZE, max_letters: int | None = 5,
            enrich_first: int | None = 10) -> DataFrame:
-    """Records of one source, their gaps filled from another, written in three formats."""
-    items = materialize(source_items(start_urls, captures, base, max_letters, per_letter), "items")
-    fields = X.source_fields(elements(_captured(items, captures)), base)
+    """Records of one source, their gaps filled from another, written in three formats. Of
+    repeated captures each page's newest is read, and with ``as_of`` only fresh ones."""
+    captures = sources.pages()
+    items = materialize(source_items(start_urls, sources, base, max_letters, per_letter), "items")
+    fields = X.source_fields(elements(_captured(items, captures)), base).dropDuplicates(["url"])
     keyed = fields.join(items, "url").select("letter_pos", "nth", "english_name", "manufacturer",
                                              "description", "image_url")
     records = C.surrogate_key(materialize(keyed, "items"), ["letter_pos", "nth"], "id")
@@ -287,9 +290,9 @@ def enrich(spark: SparkSession, start_urls: DataFrame, captures: DataFrame, base
     search = query_url(f"{second_base}/search", {"s": F.col("english_name")})
     records = materialize(records.withColumn("search_url", search), "records")
     searched = records.select(F.col("search_url").alias("url"))
-    hits = materialize(X.hit_fields(elements(_captured(searched, captures)), second_base), "hits")
+    hits = materialize(X.hit_fields(elements(_captured(searched, captures)), second_base).dropDuplicates(["url"]), "hits")
     products = X.product_fields(
-        elements(_captured(hits.select(F.col("product_url").alias("url")), captures)), second_base)
+        elements(_captured(hits.select(F.col("product_url").alias("url")), captures)), second_base).dropDuplicates(["url"])
     hits = E.second_hop_lookup(hits.withColumnRenamed("url", "search_url"), products, "product_url", "url") \
         .drop("url", "product_url")
 

@@ -11,7 +11,7 @@ from pagecatalog.plans.link_queries import ATTEMPTED, LINKS, attempted
 from pagecatalog.plans.progress_queries import LOG, fetch_log
 from pagecatalog.plans.registry import query, table
 from pagecatalog.session import fresh_path
-from pagecatalog.streaming import streams as S
+from pagecatalog.streaming import retries as R, streams as S
 
 
 def as_stream(spark: SparkSession, df: DataFrame, by: str, batches: int = 4) -> DataFrame:
@@ -100,19 +100,32 @@ def stream_dedup(spark, folder):
     return spark.read.parquet(path)
 
 
-@query(f"""WITH {LOG}, standing AS (SELECT url, count(*) AS attempts, bool_or(ok) AS done,
+RETRIES = f"""WITH {LOG}, standing AS (SELECT url, count(*) AS attempts, bool_or(ok) AS done,
     arg_max(error, ts) AS error, max(epoch_us(ts)) AS last_us FROM log GROUP BY url)
 SELECT url, attempts, CASE WHEN done THEN 'done' WHEN attempts < 3 THEN 'retry' ELSE 'dead' END AS state,
     CASE WHEN NOT done AND attempts >= 3 THEN error END AS error,
     CASE WHEN NOT done AND attempts < 3 THEN last_us + (500000 * 2 ** (attempts - 1))::BIGINT END AS retry_at_us
-FROM standing""")
-def stream_retry(spark, folder):
+FROM standing"""
+
+
+def _retries(spark, folder, standing_of):
     log = fetch_log(spark, folder).select("url", "ok", "error", "ts")
     path = fresh_path(spark, "stream-retry")
     with S.with_rocksdb(spark):
-        standing = S.track_retries(as_stream(spark, log, "ok"))
-        finished(S.to_sink(standing, S.batch_files(path), f"{path}-checkpoint", mode="update"))
-    return S.latest(spark.read.parquet(path), ["url"], [F.desc("batch_id")]).drop("batch_id")
+        finished(S.to_sink(standing_of(as_stream(spark, log, "ok")), S.batch_files(path), f"{path}-checkpoint", mode="update"))
+    return S.latest(spark.read.parquet(path).filter("state <> 'due'"), ["url"], [F.desc("batch_id")]).drop("batch_id")
+
+
+@query(RETRIES)
+def stream_retry(spark, folder):
+    """As an aggregation, which keeps every URL."""
+    return _retries(spark, folder, S.track_retries)
+
+
+@query(RETRIES)
+def stream_retry_timers(spark, folder):
+    """As keyed state with timers; the horizon is longer than the log, so no URL is forgotten."""
+    return _retries(spark, folder, lambda log: R.retry_standing(log, horizon="90 days", late="60 days"))
 
 
 @query("""

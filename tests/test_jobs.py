@@ -185,7 +185,7 @@ def shop(spark):
 
 def test_enrich(spark, shop, root):
     first = spark.createDataFrame([(f"{FIRST}/az",)], "url string")
-    got = jobs.enrich(spark, first, shop, FIRST, SECOND, root, per_letter=3)
+    got = jobs.enrich(spark, first, jobs.Sources(shop), FIRST, SECOND, root, per_letter=3)
     rows = {r.english_name: r for r in got.collect()}
     assert {n: r.id for n, r in rows.items()} == {"Alpha": 1, "Another": 2, "Beta": 3}
     assert (rows["Alpha"].persian_name, rows["Alpha"].manufacturer, rows["Alpha"].image_url) == (
@@ -200,12 +200,25 @@ def test_enrich(spark, shop, root):
 
 def test_enrich_limits(spark, shop, root):
     first = spark.createDataFrame([(f"{FIRST}/az",)], "url string")
-    got = jobs.enrich(spark, first, shop, FIRST, SECOND, root, per_letter=2, max_letters=1, enrich_first=1)
+    got = jobs.enrich(spark, first, jobs.Sources(shop), FIRST, SECOND, root, per_letter=2, max_letters=1, enrich_first=1)
     assert {r.english_name: r.persian_name for r in got.collect()} == {"Alpha": "آلفا", "Another": ""}
 
 
 def test_enrich_nothing(spark, shop, root):
     nowhere = spark.createDataFrame([("http://nowhere.example",)], "url string")
-    assert jobs.enrich(spark, nowhere, shop, FIRST, SECOND, root).count() == 0
+    assert jobs.enrich(spark, nowhere, jobs.Sources(shop), FIRST, SECOND, root).count() == 0
     with pytest.raises(Exception):
         spark.read.text(f"{root}/export/csv")
+
+
+def test_enrich_reads_the_newest_of_repeated_captures(spark, shop, root):
+    first = spark.createDataFrame([(f"{FIRST}/az",)], "url string")
+    at = lambda t: F.lit(t).cast("timestamp").alias("fetched_at")
+    newest = shop.select("url", "html", at("2024-01-03"))
+    old = shop.select("url", F.concat(F.lit("<ul><li><a href='/drug/old'>o</a></li></ul>"), "html").alias("html"), at("2024-01-01"))
+    once = jobs.enrich(spark, first, jobs.Sources(newest), FIRST, SECOND, f"{root}/once", per_letter=3)
+    again = jobs.Sources(newest.unionByName(old).unionByName(newest), as_of="2024-01-03 06:00:00")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(jobs.enrich(spark, first, again, FIRST, SECOND, f"{root}/again", per_letter=3)) == rows(once)
+    stale = jobs.Sources(newest, as_of="2024-02-01 00:00:00")
+    assert jobs.enrich(spark, first, stale, FIRST, SECOND, f"{root}/stale").count() == 0

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pagecatalog.operators import progress as P
 from pagecatalog.session import fresh_path
 from pagecatalog.sources import readers
-from pagecatalog.streaming import streams as S
+from pagecatalog.streaming import retries as R, streams as S
 
 
 def write(df, path):
@@ -108,6 +108,42 @@ def test_retry_standing_over_batches_equals_the_batch_operators(spark, place, on
     assert due == "2024-01-01 00:00:02.5"
 
 
+def test_dedup_forgets_after_the_horizon(spark, place):
+    """A key is dropped from state once a batch ends with the watermark past its horizon."""
+    days = (1, 2, 3, 4, 9, 10)
+    for day in days:
+        write(stamped(spark, ("a", True, None, f"2024-01-{day:02d} 00:00:00"), (f"only {day}", True, None, f"2024-01-{day:02d} 00:00:00")), f"{place}/in")
+    stream = S.read_stream(spark, f"{place}/in", spark.read.parquet(f"{place}/in").schema, files_per_batch=1)
+    S.to_files(S.seen_once(stream, "url", "ts", "26 hours").select("url"), f"{place}/out", f"{place}/cp").awaitTermination()
+    counts = {r.url: r["count"] for r in spark.read.parquet(f"{place}/out").groupBy("url").count().collect()}
+    assert counts == {"a": 2, **{f"only {d}": 1 for d in days}}  # the first day's, and the last's
+
+
+def test_retry_state_ends_and_says_what_is_due(spark, place):
+    """``late`` is long after every retry, so what is due says so, and what is old is gone."""
+    arrivals = [
+        [("done", False, "e1", "2024-01-01 00:00:00"), ("done", True, None, "2024-01-01 00:00:01"), ("again", False, "e", "2024-01-01 00:00:10")],
+        [("dead", False, f"e{i}", f"2024-01-01 00:01:0{i}") for i in range(3)],
+        [("later", False, "x", "2024-01-01 01:00:00")],
+        [("between", True, None, "2024-01-01 01:10:00")],
+        [("again", False, "e2", "2024-01-01 01:30:00"), ("newest", True, None, "2024-01-01 06:00:00")],
+        [("done", False, "back", "2024-01-01 07:00:00")],
+        [("last", True, None, "2024-01-01 08:00:00")]]
+    for rows in arrivals:
+        write(stamped(spark, *rows), f"{place}/in")
+    with S.with_rocksdb(spark):
+        stream = S.read_stream(spark, f"{place}/in", spark.read.parquet(f"{place}/in").schema, files_per_batch=1)
+        standing = R.retry_standing(stream, horizon="2 hours", late="30 minutes")
+        S.to_sink(standing, S.batch_files(f"{place}/out"), f"{place}/cp", mode="update").awaitTermination()
+        held = {r.url: r.attempts for r in R.remembered(spark, f"{place}/cp").collect()}
+    rows = [(r.url, r.state, r.attempts, r.error) for r in spark.read.parquet(f"{place}/out").orderBy("batch_id", "url").collect()]
+    assert ("done", "done", 2, None) in rows and ("dead", "dead", 3, "e2") in rows
+    assert [r for r in rows if r[0] == "again" and r[1] == "due"] == [("again", "due", 1, None), ("again", "due", 2, None)]
+    assert ("later", "due", 1, None) in rows and ("dead", "due", 3, None) not in rows
+    assert ("done", "retry", 1, None) in rows  # came back after its horizon and was not known
+    assert held == {"newest": 1, "done": 1, "last": 1}
+
+
 def test_rate_counts_late_rows_within_the_delay(spark, place):
     write(stamped(spark, *[("a", True, None, f"2024-01-01 00:{m:02d}:00") for m in (1, 2, 20)]), f"{place}/in")
     write(stamped(spark, ("late", True, None, "2024-01-01 00:03:00")), f"{place}/in")
