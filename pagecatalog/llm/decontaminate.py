@@ -3,22 +3,26 @@
 Test items are indexed; every passage of every document is a query. Passages are windows of
 ``2 * STRIDE`` words that start every ``STRIDE`` words, so every word is in two. An item's
 score is divided by what it scores against itself: 1 when the passage has all its words. All
-items at or above ``threshold`` are retrieved, however many.
+items at or above ``threshold`` are retrieved, however many. Long items are indexed in parts
+of at most ``PART`` words.
 
-As the threshold is fixed, WAND needs no heap: an item can be skipped as soon as the largest
-contributions of the passage's words cannot reach the threshold. Items lie in blocks of
-``BLOCK`` and the index holds the largest contribution of each word per block. Words that
-together cannot give any item ``SLACK`` are not looked up at all; their bound is added
-instead. The bounds of all passages of a batch are summed at once; only blocks that can
-reach the threshold are scored, in full.
+As the threshold is fixed, WAND needs no heap: a part can be skipped as soon as the largest
+contributions of the passage's words cannot reach the threshold. Of each part only the rarest
+words are posted, so many that what is left can give at most ``SLACK``. Posting lists go by
+blocks of ``BLOCK`` parts and hold the largest contribution in the block. The bounds of a
+passage are the sums over its words, plus what the block's parts hold back; blocks whose
+bound stays below the threshold are skipped, the parts of the others scored in full.
 
 A retrieved item is kept if the text around the passage holds at least ``overlap`` of the
 five-word shingles of its question and of its answer. The answer is the last sentences with
 five words or more, the question what stands before; an item too short for both is checked as
-a whole. Long items are indexed in parts of at most ``PART`` words.
+a whole.
 
-The items reach executors in passes of at most ``PASS_ITEMS`` items; that bounds what a task
-holds. Documents are never shuffled.
+Number of parts, mean length and document frequency of words are those of the whole
+benchmark, computed in Spark. Parts are dealt to indexes of about ``PASS_PARTS`` parts by a
+hash, and each is built in a task and written out. The documents are read once for every
+index, which the driver loads and broadcasts one at a time; so an index bounds what driver and
+tasks hold, and how many there are changes no result. Documents are never shuffled.
 
 Cases: null texts and items, and items without words, match nothing; repeated documents match
 alike, repeated items each for themselves, an item without id under a null id; case and ASCII
@@ -28,10 +32,11 @@ punctuation do not count; an empty table on either side gives no rows.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
 
@@ -39,17 +44,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from pagecatalog.session import materialize
+
 STRIDE = 32
 THRESHOLD = 0.5
 OVERLAP = 0.5
 SHINGLE = 5
 PART = 64
 BLOCK = 8
-SHARD_ITEMS = 512
-PASS_ITEMS = 20_000
-SLACK = 0.15
+PASS_PARTS = 20_000
+SLACK = 0.3
 K1, B = 1.2, 0.75
 _BATCH_WORDS = 200_000
+_CELLS = 1 << 22  # of a table of bounds
+_ROUNDING = 1e-9
 
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -75,153 +83,206 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return question, answer
 
 
+def contribution(times: int, spread: int, size: int, parts: int, mean: float) -> float:
+    """BM25 of a word that is ``times`` in a part of ``size`` words and in ``spread`` of all parts."""
+    return math.log(1 + (parts - spread + 0.5) / (spread + 0.5)) * times * (K1 + 1) / (times + K1 * (1 - B + B * size / mean))
+
+
+def parts_of(text: str | None) -> list[list[bytes]]:
+    words = words_of(text)
+    n = -(-len(words) // PART)
+    return [words[i * len(words) // n:(i + 1) * len(words) // n] for i in range(n)]
+
+
 @dataclass
-class Shard:
-    """An index of a few hundred parts of items, in blocks."""
+class Index:
+    """Posting lists of a few thousand parts, and what their items are checked by."""
 
-    items: list[int]  # of each part, the number of its item
     vocabulary: dict[bytes, int]
-    ceilings: np.ndarray  # words x blocks: largest contribution
-    looked_up: np.ndarray  # per word: not covered by the slack
-    rows: dict[int, np.ndarray] = field(repr=False)  # word * blocks + block: contributions
-
-
-def weights_of(parts: list[list[bytes]]) -> list[dict[bytes, float]]:
-    """BM25 contribution of each word to each part, as a share of the part's own score."""
-    n, lengths = len(parts), [len(p) for p in parts]
-    mean = sum(lengths) / n
-    spread = Counter(w for p in parts for w in set(p))
-    rare = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in spread.items()}
-    out = []
-    for words, length in zip(parts, lengths):
-        raw = {w: rare[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for w, f in Counter(words).items()}
-        whole = sum(raw.values())
-        out.append({w: x / whole for w, x in raw.items()})
-    return out
-
-
-def shard_of(items: list[int], weights: list[dict[bytes, float]]) -> Shard:
-    vocabulary: dict[bytes, int] = {}
-    for w in weights:
-        for word in w:
-            vocabulary.setdefault(word, len(vocabulary))
-    blocks = -(-len(items) // BLOCK)
-    dense = np.zeros((len(vocabulary), blocks * BLOCK), np.float32)
-    for i, w in enumerate(weights):
-        dense[[vocabulary[x] for x in w], i] = list(w.values())
-    cut = dense.reshape(len(vocabulary), blocks, BLOCK)
-    ceilings = cut.max(axis=2)
-    held, looked_up = np.zeros(blocks * BLOCK), np.ones(len(vocabulary), bool)
-    for t in np.argsort(-(dense > 0).sum(axis=1), kind="stable"):
-        if (held + dense[t]).max() > SLACK:
-            break
-        held += dense[t]
-        looked_up[t] = False
-    rows = {int(t) * blocks + int(b): cut[t, b] for t, b in zip(*np.nonzero(ceilings))}
-    return Shard(items, vocabulary, ceilings, looked_up, rows)
-
-
-def retrieve(shard: Shard, documents: list[list[bytes]], threshold: float) -> list[tuple[int, int, int, float]]:
-    """``(document, first word, part, score)`` for all passages that reach the threshold."""
-    ids = [np.fromiter(map(shard.vocabulary.get, d, repeat(-1)), np.int64, len(d)) for d in documents]
-    halves = [-(-len(d) // STRIDE) for d in documents]
-    begin = np.concatenate([[0], np.cumsum(halves)])[:-1]
-    owner = np.concatenate([b + np.arange(len(d)) // STRIDE for b, d in zip(begin, documents)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    every = np.concatenate(ids or [np.zeros(0, np.int64)])
-    counts = every >= 0
-    counts[counts] = shard.looked_up[every[counts]]
-    at, words = owner[counts], every[counts]
-    if not len(at):
-        return []
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    bound = np.zeros((sum(halves) + 1, shard.ceilings.shape[1]), np.float32)
-    bound[at[first]] = np.add.reduceat(shard.ceilings[words], first, axis=0)
-    last_half = np.zeros(sum(halves) + 1, bool)
-    last_half[np.array([b + h - 1 for b, h in zip(begin, halves) if h], np.int64)] = True
-    bound[:-1] += np.where(last_half[:-1, None], 0, bound[1:])
-    found = []
-    blocks = shard.ceilings.shape[1]
-    starts = begin.tolist()
-    seen: dict[int, list[int]] = {}
-    for half, block in zip(*np.nonzero(bound >= threshold - SLACK)):
-        half, block = int(half), int(block)
-        d = np.searchsorted(begin, half, side="right") - 1
-        while not halves[d]:
-            d -= 1
-        start = (half - starts[d]) * STRIDE
-        if half not in seen:
-            seen = {half: np.unique(ids[d][start:start + 2 * STRIDE]).tolist()}
-        rows = [shard.rows[k] for t in seen[half] if t >= 0 and (k := t * blocks + block) in shard.rows]
-        scores = np.sum(rows, axis=0) if rows else np.zeros(BLOCK)
-        for i in np.flatnonzero(scores >= threshold):
-            found.append((int(d), start, block * BLOCK + int(i), float(scores[i])))
-    return found
-
-
-def index(items: list[tuple[int, str]]) -> tuple[list[Shard], list[tuple[int, set, set, int]]]:
-    """Shards, and of each item: id, shingles of question and answer, number of words."""
-    checks, parts, owners = [], [], []
+    owner: np.ndarray  # of each part, its item
+    part_at: np.ndarray  # where each part's words begin
+    part_word: np.ndarray
+    part_weight: np.ndarray
+    list_at: np.ndarray  # where each word's posting list begins
+    list_block: np.ndarray
+    list_ceiling: np.ndarray  # largest contribution of the word in the block
+    held: np.ndarray  # per block: what the words that are not posted can add
+    checks: list[tuple[int | None, set, set, int]]  # item id, shingles of question and answer, words
+
+
+def index_of(items: list[tuple[int | None, str]], owner: list[int], parts: list[list[tuple[bytes, float]]]) -> Index:
+    """``parts`` holds each part's words with their contributions, ``owner`` the number of its item."""
+    checks = []
     for item_id, text in items:
-        words = words_of(text)
-        if not words:
-            continue
         question, answer = question_and_answer(text)
-        n = -(-len(words) // PART)
-        for i in range(n):
-            parts.append(words[i * len(words) // n:(i + 1) * len(words) // n])
-            owners.append(len(checks))
-        checks.append((item_id, set(shingles(question)), set(shingles(answer)), len(words)))
-    if not parts:
-        return [], []
-    weights = weights_of(parts)
-    shards = [shard_of(owners[i:i + SHARD_ITEMS], weights[i:i + SHARD_ITEMS]) for i in range(0, len(parts), SHARD_ITEMS)]
-    return shards, checks
-
-
-def matches(shards: list[Shard], checks: list[tuple], documents: list[list[bytes]], threshold: float, overlap: float) -> Iterator[tuple]:
-    """``(document, item id, score, question overlap, answer overlap)`` of what is kept."""
+        checks.append((item_id, set(shingles(question)), set(shingles(answer)), len(words_of(text))))
+    spread = Counter(word for p in parts for word, _ in p)
+    vocabulary = {word: i for i, word in enumerate(sorted(spread, key=lambda w: (spread[w], w)))}  # the rarest first
+    ids, weights, posted, held = [], [], [], []
+    for p in parts:
+        word = np.array([vocabulary[w] for w, _ in p], np.int64)
+        weight = np.array([x for _, x in p])
+        by = np.argsort(word)
+        ids.append(word[by])
+        weights.append(weight[by] / weight.sum())
+        left = 1 - np.cumsum(weights[-1])  # of the words after each
+        last = int(np.argmax(left <= SLACK + _ROUNDING))
+        posted.append(last + 1)
+        held.append(max(0.0, left[last]))
+    sizes = np.array([len(x) for x in ids], np.int64)
+    part_word, part_weight = np.concatenate(ids), np.concatenate(weights)
+    number = np.repeat(np.arange(len(parts)), sizes)
+    nth = np.arange(len(part_word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    is_posted = nth < np.array(posted)[number]
+    key = part_word[is_posted] * len(parts) + number[is_posted] // BLOCK
+    entry, at = np.unique(key, return_inverse=True)
+    ceiling = np.zeros(len(entry))
+    np.maximum.at(ceiling, at, part_weight[is_posted])
+    blocks = -(-len(parts) // BLOCK)
+    most = np.zeros(blocks * BLOCK)
+    most[:len(parts)] = held
+    return Index(vocabulary, np.array(owner, np.int64), np.concatenate([[0], np.cumsum(sizes)]), part_word, part_weight,
+                 np.searchsorted(entry // len(parts), np.arange(len(vocabulary) + 1)), entry % len(parts), ceiling,
+                 most.reshape(blocks, BLOCK).max(axis=1), checks)
+
+
+def spread_out(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(owner, place)`` of all elements of ranges that begin at ``starts``."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
+
+
+def retrieve(index: Index, documents: list[list[bytes]], threshold: float) -> Iterator[tuple[int, int, int, float]]:
+    """``(document, first word, part, score)`` for all passages that reach the threshold."""
+    halves = np.array([-(-len(d) // STRIDE) for d in documents], np.int64)
+    begin = np.cumsum(halves) - halves
+    lengths = np.array([len(d) for d in documents], np.int64)
+    owner, place = spread_out(np.zeros(len(documents), np.int64), lengths)
+    word = np.fromiter((i for d in documents for i in map(index.vocabulary.get, d, repeat(-1))), np.int64, int(lengths.sum()))
+    known = word >= 0
+    words = len(index.vocabulary)
+    said = np.unique((begin[owner[known]] + place[known] // STRIDE) * words + word[known])  # words of each half, once
+    half, word = said // words, said % words
+    total, blocks = int(halves.sum()), len(index.held)
+    goes_on = np.ones(total, bool)  # a passage is a half and the next one
+    goes_on[(begin + halves - 1)[halves > 0]] = False
+    document = np.repeat(np.arange(len(documents)), halves)
+    step = max(1, _CELLS // blocks)
+    for low in range(0, total, step):
+        rows = min(step, total - low) + 1
+        a, b = np.searchsorted(half, [low, low + rows])
+        sizes = index.list_at[word[a:b] + 1] - index.list_at[word[a:b]]
+        of, at = spread_out(index.list_at[word[a:b]], sizes)
+        bound = np.bincount((half[a:b][of] - low) * blocks + index.list_block[at], index.list_ceiling[at], rows * blocks).reshape(rows, blocks)
+        bound[:-1][goes_on[low:low + rows - 1]] += bound[1:][goes_on[low:low + rows - 1]]
+        passage, block = np.nonzero(bound[:-1] + index.held >= threshold - _ROUNDING)
+        part = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        passage = np.repeat(passage + low, BLOCK)[part < len(index.owner)]
+        part = part[part < len(index.owner)]
+        for i in range(0, len(part), _CELLS // PART):
+            some, of_passage = part[i:i + _CELLS // PART], passage[i:i + _CELLS // PART]
+            of, at = spread_out(index.part_at[some], index.part_at[some + 1] - index.part_at[some])
+            wanted = of_passage[of] * words + index.part_word[at]
+            here = _among(said, wanted)
+            also = goes_on[of_passage[of]] & ~here
+            here[also] = _among(said, wanted[also] + words)
+            score = np.bincount(of, index.part_weight[at] * here, len(some))
+            for k in np.flatnonzero(score >= threshold):
+                d = int(document[of_passage[k]])
+                yield d, int(of_passage[k] - begin[d]) * STRIDE, int(some[k]), float(score[k])
+
+
+def _among(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(wanted), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)] == wanted
+
+
+def matches(index: Index, documents: list[list[bytes]], threshold: float, overlap: float) -> Iterator[tuple]:
+    """``(document, item, score, question overlap, answer overlap)`` of what is kept."""
     best: dict[tuple[int, int], tuple] = {}
-    for shard in shards:
-        for d, start, part, score in retrieve(shard, documents, threshold):
-            item_id, question, answer, length = checks[shard.items[part]]
-            around = documents[d][max(0, start - length):start + 2 * STRIDE + length]
-            here = {b" ".join(around[i:i + n]) for n in {min(SHINGLE, length)} for i in range(len(around) - n + 1)}
-            asked, answered = len(question & here) / len(question), len(answer & here) / len(answer)
-            if asked >= overlap and answered >= overlap:
-                key, row = (d, shard.items[part]), (score, asked, answered)
-                best[key] = tuple(map(max, row, best[key])) if key in best else row
+    for d, start, part, score in retrieve(index, documents, threshold):
+        item = int(index.owner[part])
+        _, question, answer, length = index.checks[item]
+        around = documents[d][max(0, start - length):start + 2 * STRIDE + length]
+        here = {b" ".join(around[i:i + n]) for n in {min(SHINGLE, length)} for i in range(len(around) - n + 1)}
+        asked, answered = len(question & here) / len(question), len(answer & here) / len(answer)
+        if asked >= overlap and answered >= overlap:
+            row = (score, asked, answered)
+            best[d, item] = tuple(map(max, row, best[d, item])) if (d, item) in best else row
     for (d, item), row in best.items():
-        yield d, checks[item][0], *row
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+        yield d, item, *row
+
+
+def indexes(benchmark: DataFrame, pass_parts: int = PASS_PARTS) -> DataFrame:
+    """``(pass, index)``: all items of ``benchmark (item_id, text)``, as pickled indexes."""
+    def words_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(uid, n, len(part), word, times) for uid, text in zip(batch["uid"], batch["text"])
+                    for n, part in enumerate(parts_of(text)) for word, times in Counter(part).items()]
+            yield pd.DataFrame(rows, columns=["uid", "part", "size", "word", "times"])
+
+    items = materialize(benchmark.filter("text is not null").select(
+        F.monotonically_increasing_id().alias("uid"), F.col("item_id").cast("bigint").alias("item_id"), "text"), "items")
+    said = materialize(items.select("uid", "text").mapInPandas(
+        words_in, "uid bigint, part int, size int, word binary, times int"), "item-words")
+    whole = said.groupBy("uid", "part").agg(F.first("size").alias("size")).agg(
+        F.count("*").alias("parts"), F.avg("size").alias("mean")).first()
+    parts, mean = whole["parts"], float(whole["mean"] or 1)
+    passes = max(1, -(-parts // pass_parts))
+    spread = said.groupBy("word").agg(F.count("*").alias("spread"))
+    listed = said.join(spread, "word").groupBy("uid", "part", "size").agg(F.collect_list(F.struct("word", "times", "spread")).alias("words"))
+    dealt = listed.withColumn("pass", F.pmod(F.xxhash64("uid", "part"), F.lit(passes)).cast("int")).join(items, "uid")
+
+    def built(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["uid", "part"])
+        first = rows.drop_duplicates("uid")
+        number = {uid: i for i, uid in enumerate(first["uid"])}
+        weighted = [sorted((bytes(w["word"]), contribution(w["times"], w["spread"], size, parts, mean)) for w in words)
+                    for size, words in zip(rows["size"], rows["words"])]
+        index = index_of([(None if pd.isna(i) else int(i), t) for i, t in zip(first["item_id"], first["text"])],
+                         [number[u] for u in rows["uid"]], weighted)
+        return pd.DataFrame({"pass": [key[0]], "uids": [first["uid"].to_numpy()], "index": [pickle.dumps(vars(index))]})
+
+    return materialize(dealt.groupBy("pass").applyInPandas(built, "pass int, uids array<bigint>, index binary"), "indexes")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
+          pass_parts: int = PASS_PARTS) -> DataFrame:
     """``(doc_id, rid, th, item_id, score, question_overlap, answer_overlap)``: one row per row of
     ``docs (doc_id, rid, th, text)`` and item of ``benchmark (item_id, text)`` that it leaks."""
-    schema = "doc_id bigint, rid bigint, th bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    items = benchmark.filter("text is not null").select("item_id", "text")
-    passes = max(1, -(-items.count() // PASS_ITEMS))
+    schema = ("doc_id bigint, rid bigint, th bigint, nth bigint, uid bigint, item_id bigint, score double, "
+              "question_overlap double, answer_overlap double")
+    built = indexes(benchmark, pass_parts)
+    # a row's place in the scan tells repeated rows apart where several indexes find the same item
+    rows = docs.select("doc_id", "rid", "th", "text", F.monotonically_increasing_id().alias("nth"))
     found = []
-    for p in range(passes):
-        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-        listed = sorted(((r["item_id"], r["text"]) for r in some.collect()), key=lambda i: (i[0] is None, i[0] or 0, i[1]))
-        shards, checks = index(listed)
+    for number in sorted(r["pass"] for r in built.select("pass").collect()):
+        one = built.filter(F.col("pass") == number).first()
+        pickled, uids = bytes(one["index"]), one["uids"]
+
+        def of(batches: Iterator[pd.DataFrame], pickled=pickled, uids=uids) -> Iterator[pd.DataFrame]:
+            index = Index(**pickle.loads(pickled))
 
-        def of(batches: Iterator[pd.DataFrame], shards=shards, checks=checks) -> Iterator[pd.DataFrame]:
             def solved(held: list[tuple]) -> pd.DataFrame:
-                rows = [(*held[d][:3], *row) for d, *row in matches(shards, checks, [h[3] for h in held], threshold, overlap)]
-                names = ["doc_id", "rid", "th", "item_id", "score", "question_overlap", "answer_overlap"]
-                return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
+                out = [(*held[d][:4], uids[item], index.checks[item][0], *row)
+                       for d, item, *row in matches(index, [h[4] for h in held], threshold, overlap)]
+                names = ["doc_id", "rid", "th", "nth", "uid", "item_id", "score", "question_overlap", "answer_overlap"]
+                return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
             held, size = [], 0
             for batch in batches:
-                for doc_id, rid, th, text in zip(batch["doc_id"], batch["rid"], batch["th"], batch["text"]):
-                    held.append((doc_id, rid, th, words_of(text)))
-                    size += len(held[-1][3])
+                for *row, text in zip(*(batch[c] for c in ("doc_id", "rid", "th", "nth", "text"))):
+                    held.append((*row, words_of(text)))
+                    size += len(held[-1][4])
                     if size >= _BATCH_WORDS:
                         yield solved(held)
                         held, size = [], 0
             if held:
                 yield solved(held)
 
-        found.append(docs.select("doc_id", "rid", "th", "text").mapInPandas(of, schema))
-    return reduce(DataFrame.union, found)
+        found.append(materialize(rows.mapInPandas(of, schema), "leaks"))
+    if not found:
+        return rows.filter("false").mapInPandas(lambda batches: iter(()), schema).drop("nth", "uid")
+    best = [F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")]
+    return reduce(DataFrame.union, found).groupBy("doc_id", "rid", "th", "nth", "uid", "item_id").agg(*best).drop("nth", "uid")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pagecatalog.llm import decontaminate, queries
 from pagecatalog.llm.common import keyed
@@ -6,6 +7,13 @@ from pagecatalog.llm.common import keyed
 FOLDER = "/root/testdata/sf0.01"
 
 
+def weights_of(parts):
+    n, mean = len(parts), sum(map(len, parts)) / len(parts)
+    spread = Counter(w for p in parts for w in set(p))
+    raw = [{w: decontaminate.contribution(f, spread[w], len(p), n, mean) for w, f in Counter(p).items()} for p in parts]
+    return [{w: x / sum(p.values()) for w, x in p.items()} for p in raw]
+
+
 def plain(docs, items):
     """Every passage against every item, scored in full, and every pair checked."""
     parts, owner, checks = [], [], []
@@ -19,7 +27,7 @@ def plain(docs, items):
             owner.append(len(checks))
         question, answer = decontaminate.question_and_answer(text)
         checks.append((item_id, set(decontaminate.shingles(question)), set(decontaminate.shingles(answer)), len(words)))
-    weights = decontaminate.weights_of(parts) if parts else []
+    weights = weights_of(parts) if parts else []
     found = {}
     for doc_id, text in docs:
         words = decontaminate.words_of(text)
@@ -57,6 +65,9 @@ def test_against_plain(spark):
     want = plain(docs, [x for x in items if x[0] is not None])
     assert {(r.doc_id, r.item_id) for r in got} == set(want) and len(want) > 10
     assert all(abs(r.score - want[r.doc_id, r.item_id]) < 1e-5 for r in got)
+    for passes in (7, 61):  # indexes of the whole in several passes change nothing
+        again = decontaminate.leaks(keyed(frame), bench.filter("item_id is not null"), pass_parts=passes).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
     assert sum(r.doc_id == 82 for r in got) == 2 * sum(d == 82 for d, _ in want)
     assert {(82, 3), (82, 64), (85, 60)} <= set(want)
     assert decontaminate.leaks(keyed(frame), bench.filter("false")).count() == 0
@@ -73,3 +84,24 @@ def test_query_finds_every_whole_passage(spark):
     joined = {d: b" ".join(decontaminate.words_of(t)) for d, t in docs}
     assert got >= {(d, i) for i, t in items for d, text in joined.items() if b" ".join(decontaminate.words_of(t)) in text}
     assert got == set(plain(docs, items))
+
+
+def test_bounds_are_never_below_scores():
+    """Blocks are skipped only where no part of theirs reaches the threshold."""
+    rng = random.Random(2)
+    words = [b"w%d" % i for i in range(60)]
+    parts = [[rng.choice(words) for _ in range(rng.randint(1, 30))] for _ in range(90)]
+    weights = weights_of(parts)
+    index = decontaminate.index_of([(i, "x") for i in range(90)], list(range(90)), [sorted(w.items()) for w in weights])
+    docs = [[rng.choice(words + [b"other"] * 60) for _ in range(n)] for n in (0, 1, 31, 32, 33, 64, 65, 200, 0, 500)]
+    for threshold in (0.05, 0.3, 0.5, 0.8):
+        got = {(d, start, part): round(score, 9) for d, start, part, score in decontaminate.retrieve(index, docs, threshold)}
+        want = {}
+        for d, doc in enumerate(docs):
+            for start in range(0, len(doc), decontaminate.STRIDE):
+                passage = set(doc[start:start + 2 * decontaminate.STRIDE])
+                for part, w in enumerate(weights):
+                    score = sum(x for word, x in w.items() if word in passage)
+                    if score >= threshold:
+                        want[d, start, part] = round(score, 9)
+        assert got == want
