@@ -111,29 +111,30 @@ class Index:
 
 
 def index_of(items: list[tuple[int | None, str]], owner: list[int], parts: list[list[tuple[bytes, float]]]) -> Index:
-    """``parts`` holds each part's words with their contributions, ``owner`` the number of its item."""
+    """``parts`` holds each part's words, in order, with their contributions, ``owner`` the number of
+    its item. Scores add up in the order of words, so they do not depend on the other parts."""
     checks = []
     for item_id, text in items:
         question, answer = question_and_answer(text)
         checks.append((item_id, set(shingles(question)), set(shingles(answer)), len(words_of(text))))
     spread = Counter(word for p in parts for word, _ in p)
-    vocabulary = {word: i for i, word in enumerate(sorted(spread, key=lambda w: (spread[w], w)))}  # the rarest first
+    vocabulary = {word: i for i, word in enumerate(sorted(spread))}
+    rarity = np.array([spread[w] for w in vocabulary], np.int64)
     ids, weights, posted, held = [], [], [], []
     for p in parts:
         word = np.array([vocabulary[w] for w, _ in p], np.int64)
         weight = np.array([x for _, x in p])
-        by = np.argsort(word)
-        ids.append(word[by])
-        weights.append(weight[by] / weight.sum())
-        left = 1 - np.cumsum(weights[-1])  # of the words after each
+        weight /= weight.sum()
+        rarest = np.argsort(rarity[word], kind="stable")
+        left = 1 - np.cumsum(weight[rarest])  # of the words after each
         last = int(np.argmax(left <= SLACK + _ROUNDING))
-        posted.append(last + 1)
+        ids.append(word)
+        weights.append(weight)
+        posted.append(np.isin(np.arange(len(word)), rarest[:last + 1]))
         held.append(max(0.0, left[last]))
     sizes = np.array([len(x) for x in ids], np.int64)
-    part_word, part_weight = np.concatenate(ids), np.concatenate(weights)
+    part_word, part_weight, is_posted = np.concatenate(ids), np.concatenate(weights), np.concatenate(posted)
     number = np.repeat(np.arange(len(parts)), sizes)
-    nth = np.arange(len(part_word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    is_posted = nth < np.array(posted)[number]
     key = part_word[is_posted] * len(parts) + number[is_posted] // BLOCK
     entry, at = np.unique(key, return_inverse=True)
     ceiling = np.zeros(len(entry))
