@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,16 +53,49 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/pagecatalog/{tag}-{uuid.uuid4().hex}"
 
 
+#: Where materialized tables lie, and the lists of the open :func:`scratch` blocks.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_OPEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, tag: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
     Cuts the lineage in a way that survives the loss of executors, and lets later
-    steps read only the columns they need.
+    steps read only the columns they need. See :func:`discard` and :func:`scratch`.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _PATHS[written] = path
+    return written
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder in any file system that Spark reaches; False if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables. What was made of them has to be written out already."""
+    for table in tables:
+        remove_path(table.sparkSession, _PATHS.pop(table))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete what is materialized inside the block when it ends, by an error too: for work
+    whose results are written elsewhere by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove_path(spark, path)
 
 
 @contextlib.contextmanager
