@@ -13,16 +13,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """``rid`` and ``th`` of a row, never null; a null id is an id of its own."""
+    known = (F.coalesce(doc_id, F.lit(-1)), doc_id.isNull())
+    return F.xxhash64(*known, text, F.lit(1)), F.xxhash64(text, *known, F.lit(2))
+
+
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id``, ``text`` and a key of the row, ``rid`` and ``th``, that is never null.
+    """``doc_id``, ``text`` and a key of the row, ``rid`` and ``th``.
 
     Rows that repeat an id and its text share the key, and so share every result. Other
     columns of the table are left behind, so none can clash with an operator's own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), *more,
-                       F.xxhash64(F.coalesce("doc_id", F.lit(-1)), text, F.lit(1)).alias("rid"),
-                       F.xxhash64(text, F.coalesce("doc_id", F.lit(-1)), F.lit(2)).alias("th"))
+    rid, th = row_key(F.col("doc_id"), text)
+    return docs.select("doc_id", text.alias("text"), *more, rid.alias("rid"), th.alias("th"))
 
 
 def unsigned_hex(value: Column) -> Column:

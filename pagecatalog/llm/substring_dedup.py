@@ -6,7 +6,8 @@ hash, the first of equals. Two equal windows pick the same one, so occurrences o
 shared. A seed's *reach* is the run of windows that pick it: the words it can be extended
 over, to the left and to the right.
 
-1. Seeds of all documents are joined on their hash; one that no two documents hold is dropped.
+1. Seeds of all documents are counted by hash, and those that occur again joined on it; one
+   that no two documents hold is dropped.
 2. Seeds are extended both ways to the end of their reach. Those that agree all the way
    (one class) repeat each other's windows, all of them.
 3. Of classes that share a seed but part before the ends, one document each, the first, is
@@ -15,10 +16,12 @@ over, to the left and to the right.
 4. Windows found twice are joined to maximal runs, and their words are removed wherever a
    document with a smaller id has them.
 
-Only hashes of seeds (about one for 15 words) and the texts of documents with classes that
+Only hashes of seeds (about one for 20 words) and the texts of documents with classes that
 part are shuffled, and texts once more at the end. Every step that brings equal things
 together is an aggregation with map-side partials or a join with one row per key on one
-side, so a passage that a third of the documents hold is not gathered in one task.
+side, so a passage that a third of the documents hold is not gathered in one task. A row
+is known by its id and the hash of its text, and what is written out between the steps is
+discarded as soon as the next step is.
 
 Cases: a null text has no words; an id that is null is not smaller than any, and nothing is
 removed from its row; rows that repeat an id are one document; a text shorter than a window
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pagecatalog.llm.common import keyed
-from pagecatalog.session import materialize
+from pagecatalog.session import discard, materialize
 
 _U = np.uint64
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -115,7 +118,19 @@ def seeds_of(text: str, window: int, k: int) -> tuple[np.ndarray, ...]:
         return first, last, mixed(grams[place]), mixed(spans ^ shape)
 
 
-_SEED_ROWS = "doc_id bigint, rid bigint, th bigint, first int, last int, seed bigint, class bigint"
+ROW = ("doc_id", "th")
+_SPAN_BITS = 31
+_SEED_ROWS = "doc_id bigint, th bigint, span bigint, seed bigint, class bigint"
+
+
+def as_span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """First and last window in one number: half the width of a row that is shuffled."""
+    return (first.astype(np.int64) << _SPAN_BITS) | (last - first)
+
+
+def of_span(span: int) -> tuple[int, int]:
+    first = span >> _SPAN_BITS
+    return first, first + (span & ((1 << _SPAN_BITS) - 1))
 
 
 def seed_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
@@ -123,52 +138,57 @@ def seed_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
         for batch in batches:
             parts = [seeds_of(t, window, k) for t in batch["text"]]
             n = [len(p[0]) for p in parts]
-            out = {c: np.repeat(batch[c].to_numpy(), n) for c in ("doc_id", "rid", "th")}
-            for i, c in enumerate(("first", "last")):
-                out[c] = np.concatenate([p[i] for p in parts]).astype(np.int32)
+            out = {c: np.repeat(batch[c].to_numpy(), n) for c in ROW}
+            out["span"] = np.concatenate([as_span(p[0], p[1]) for p in parts])
             for i, c in enumerate(("seed", "class"), 2):
                 out[c] = np.concatenate([p[i] for p in parts]).view(np.int64)
             yield pd.DataFrame(out)
 
-    return rows.filter("doc_id is not null").select("doc_id", "rid", "th", "text").mapInPandas(of, _SEED_ROWS)
+    return rows.filter("doc_id is not null").select(*ROW, "text").mapInPandas(of, _SEED_ROWS)
 
 
 def extended_windows(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Of each wanted seed, its windows with a hash of the words left and right of it."""
+    """Of each wanted seed, its windows, each with a hash of all its words; equal windows hold
+    the seed at the same place, so that is all there is to compare."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, rid, th, text, runs in zip(*(batch[c] for c in ("doc_id", "rid", "th", "text", "runs"))):
+            for doc_id, th, text, spans in zip(*(batch[c] for c in (*ROW, "text", "spans"))):
                 words = word_hashes(text)
-                one, two = gram_hashes(words, window), gram_hashes(words, window, _M2)
-                runs = [(r["first"], r["last"], r["seed"]) for r in runs]
-                at = np.concatenate([np.arange(a, b + 1) for a, b, _ in runs])
-                seed = np.repeat([s for _, _, s in runs], [b - a + 1 for a, b, _ in runs])
-                yield pd.DataFrame({"doc_id": doc_id, "rid": rid, "th": th, "first": at.astype(np.int32), "seed": seed,
-                                    "one": mixed(one[at]).view(np.int64), "two": mixed(two[at]).view(np.int64)})
+                at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in map(of_span, map(int, spans))]))
+                one, two = gram_hashes(words, window)[at], gram_hashes(words, window, _M2)[at]
+                yield pd.DataFrame({"doc_id": doc_id, "th": th, "span": as_span(at, at),
+                                    "one": mixed(one).view(np.int64), "two": mixed(two).view(np.int64)})
 
-    runs = wanted.groupBy("rid", "th").agg(F.collect_set(F.struct("first", "last", "seed")).alias("runs"))
-    return rows.join(runs, ["rid", "th"]).mapInPandas(
-        of, "doc_id bigint, rid bigint, th bigint, first int, seed bigint, one bigint, two bigint")
+    spans = wanted.groupBy(*ROW).agg(F.collect_set("span").alias("spans"))
+    return rows.select(*ROW, "text").join(spans, list(ROW)).mapInPandas(
+        of, "doc_id bigint, th bigint, span bigint, one bigint, two bigint")
 
 
-def repeated_runs(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """``(rid, th, first, last)``: runs of windows that a document with a smaller id has too."""
+def repeated_spans(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """``(doc_id, th, span)``: runs of windows that a document with a smaller id has too."""
     seeds = materialize(seed_rows(rows, window, k), "seeds")
     # small sides are written out, so that a seed that very many rows share can be split in the joins
-    shared = materialize(seeds.groupBy("seed").agg(
-        F.min("doc_id").alias("seed_doc"), F.max("doc_id").alias("_most"),
-        (F.min("class") != F.max("class")).alias("parts")).filter("seed_doc < _most").drop("_most"), "seeds-shared")
-    met = materialize(seeds.join(shared, "seed"), "seeds-met")
-    classes = materialize(met.groupBy("seed", "class").agg(F.min("doc_id").alias("class_doc")), "seed-classes")
-    met = met.join(classes, ["seed", "class"])
-    whole = met.filter("doc_id > class_doc").select("rid", "th", "first", "last")
-    parting = met.filter("parts and doc_id = class_doc").select("rid", "th", "first", "last", "seed")
-    windows = materialize(extended_windows(rows, parting, window), "seed-windows")
-    key = ["seed", "one", "two"]
+    often = materialize(seeds.groupBy("seed").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed"), "seeds-often")
+    met = materialize(seeds.join(often, "seed"), "seeds-met")
+    discard(seeds, often)
+    classes = met.groupBy("seed", "class").agg(F.min("doc_id").alias("class_doc"), F.max("doc_id").alias("_last"))
+    classes = materialize(classes, "seed-classes")
+    shared = materialize(classes.groupBy("seed").agg(
+        F.min("class_doc").alias("_least"), F.max("_last").alias("_most"), (F.count("*") > 1).alias("parts")).filter(
+        "_least < _most").select("seed", "parts"), "seeds-shared")
+    compared = materialize(classes.join(shared, "seed").drop("_last"), "seed-classes-shared")
+    judged = materialize(met.join(compared, ["seed", "class"]).select(
+        *ROW, "span", "parts", (F.col("doc_id") > F.col("class_doc")).alias("repeats")).filter("repeats or parts"), "seeds-judged")
+    discard(met, classes, shared, compared)
+    whole = judged.filter("repeats").select(*ROW, "span")
+    windows = materialize(extended_windows(rows, judged.filter("parts and not repeats"), window), "seed-windows")
+    key = ["one", "two"]
     earliest = materialize(windows.groupBy(*key).agg(
         F.min("doc_id").alias("window_doc"), F.max("doc_id").alias("_most")).filter("window_doc < _most").drop("_most"), "window-docs")
-    again = windows.join(earliest, key).filter("doc_id > window_doc")
-    return whole.union(again.select("rid", "th", "first", F.col("first").alias("last")))
+    again = windows.join(earliest, key).filter("doc_id > window_doc").select(*ROW, "span")
+    found = materialize(whole.union(again).groupBy(*ROW).agg(F.collect_set("span").alias("spans")), "repeats")
+    discard(judged, windows, earliest)
+    return found
 
 
 def covered(runs: list, window: int, n: int) -> list[tuple[int, int]]:
@@ -185,20 +205,19 @@ def covered(runs: list, window: int, n: int) -> list[tuple[int, int]]:
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, k: int = 20, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, k: int = 12, texts: bool = True) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` and ``kept``,
     the remaining words joined by one space (null unless ``texts``)."""
     rows = keyed(docs)
-    runs = repeated_runs(rows, window, k).groupBy("rid", "th").agg(
-        F.collect_set(F.struct("first", "last")).alias("runs"))
+    spans = repeated_spans(rows, window, k)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["runs"]):
+            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["spans"]):
                 words = text.encode("utf-8", "surrogatepass").split()
                 kept, at = [], 0
-                found = [] if found is None else [(r["first"], r["last"]) for r in found]
+                found = [] if found is None else [of_span(int(x)) for x in found]
                 for start, end in covered(found, window, len(words)):
                     kept += words[at:start]
                     at = end
@@ -209,4 +228,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = 20, texts: bool =
             frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return rows.join(runs, ["rid", "th"], "left").mapInPandas(of, _RESULT)
+    return rows.select(*ROW, "text").join(spans, list(ROW), "left").mapInPandas(of, _RESULT)

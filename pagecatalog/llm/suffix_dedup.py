@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pagecatalog.llm.common import keyed
-from pagecatalog.llm.substring_dedup import anchors, covered, gram_hashes, mixed
-from pagecatalog.session import materialize
+from pagecatalog.llm.substring_dedup import _SPAN_BITS, anchors, as_span, covered, gram_hashes, mixed, of_span
+from pagecatalog.session import discard, materialize
 
 _U = np.uint64
 _BYTE = mixed(np.arange(1, 257, dtype=_U))
@@ -137,17 +137,16 @@ def seeds_of(raw: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
 def seed_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [seeds_of(t.encode(), length, k) for t in batch["text"]]
+            parts = [seeds_of(t.encode("utf-8", "surrogatepass"), length, k) for t in batch["text"]]
             n = [len(p[0]) for p in parts]
             out = {c: np.repeat(batch[c].to_numpy(), n) for c in ("rid", "th")}
-            for i, c in enumerate(("first", "last")):
-                out[c] = np.concatenate([p[i] for p in parts]).astype(np.int32)
+            out["span"] = np.concatenate([as_span(p[0], p[1]) for p in parts])
             for i, c in enumerate(("seed", "class"), 2):
                 out[c] = np.concatenate([p[i] for p in parts]).view(np.int64)
             yield pd.DataFrame(out)
 
     return rows.select("rid", "th", "text").mapInPandas(
-        of, "rid bigint, th bigint, first int, last int, seed bigint, class bigint")
+        of, "rid bigint, th bigint, span bigint, seed bigint, class bigint")
 
 
 def stretches_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -155,28 +154,29 @@ def stretches_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rid, th, text, runs in zip(batch["rid"], batch["th"], batch["text"], batch["runs"]):
-                raw, out = text.encode(), []
+                raw, out = text.encode("utf-8", "surrogatepass"), []
                 for r in runs:
-                    first, last, seed = r["first"], r["last"], r["seed"]
+                    (first, last), seed = of_span(int(r["span"])), r["seed"]
                     if r["crowded"]:
                         out += [(seed, True, i, xxhash.xxh3_128_digest(raw[i:i + length])) for i in range(first, last + 1)]
                     else:
                         out.append((seed, False, first, raw[first:last + length]))
                 yield pd.DataFrame(out, columns=["seed", "crowded", "first", "body"]).assign(rid=rid, th=th)
 
-    runs = wanted.groupBy("rid", "th").agg(F.collect_set(F.struct("first", "last", "seed", "crowded")).alias("runs"))
-    return rows.join(runs, ["rid", "th"]).mapInPandas(
+    runs = wanted.groupBy("rid", "th").agg(F.collect_set(F.struct("span", "seed", "crowded")).alias("runs"))
+    return rows.select("rid", "th", "text").join(runs, ["rid", "th"]).mapInPandas(
         of, "seed bigint, crowded boolean, first int, body binary, rid bigint, th bigint")
 
 
 def expanded(stretches: DataFrame, length: int) -> DataFrame:
-    """``(rid, th, first, last)``: runs of strings that repeat among the stretches of a seed."""
+    """``(rid, th, span)``: runs of strings that repeat among the stretches of a seed."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solved(part: pd.DataFrame) -> pd.DataFrame:
             out = []
             for rid, th, first, places in zip(part["rid"], part["th"], part["first"], repeated_starts(list(part["body"]), length)):
                 out += [(rid, th, first + a, first + b) for a, b in as_runs(places)]
-            return pd.DataFrame(out, columns=["rid", "th", "first", "last"])
+            found = pd.DataFrame(out, columns=["rid", "th", "first", "last"], dtype=np.int64)
+            return found[["rid", "th"]].assign(span=as_span(found["first"].to_numpy(), found["last"].to_numpy()))
 
         held: list[pd.DataFrame] = []
         size = 0
@@ -193,25 +193,32 @@ def expanded(stretches: DataFrame, length: int) -> DataFrame:
 
     return (stretches.filter("not crowded").select("seed", "rid", "th", "first", "body")
             .repartition("seed").sortWithinPartitions("seed")
-            .mapInPandas(of, "rid bigint, th bigint, first int, last int"))
+            .mapInPandas(of, "rid bigint, th bigint, span bigint"))
 
 
-def repeated_runs(rows: DataFrame, length: int, k: int, crowd: int) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int, k: int, crowd: int) -> DataFrame:
+    """``(rid, th, spans)``: of every row that holds some, its runs of strings that repeat."""
     seeds = materialize(seed_rows(rows, length, k), "byte-seeds")
     # written out, so that a seed that very many rows share can be split in the join
     often = materialize(seeds.groupBy("seed").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed"), "byte-seeds-often")
     met = materialize(seeds.join(often, "seed"), "byte-seeds-met")
+    discard(seeds, often)
     classes = materialize(met.groupBy("seed", "class").agg(
-        F.count("*").alias("times"), F.min(F.struct("rid", "th", "first", "last")).alias("at")), "byte-classes")
-    whole = met.join(classes.filter("times > 1").select("seed", "class"), ["seed", "class"]).select("rid", "th", "first", "last")
+        F.count("*").alias("times"), F.min(F.struct("rid", "th", "span")).alias("at")), "byte-classes")
+    twice = materialize(classes.filter("times > 1").select("seed", "class"), "byte-classes-twice")
+    whole = materialize(met.join(twice, ["seed", "class"]).select("rid", "th", "span"), "byte-repeats-whole")
     unequal = classes.groupBy("seed").agg(F.count("*").alias("_kinds"), F.min("times").alias("_least")).filter(
         "_kinds > 1 and _least = 1").select("seed", (F.col("_kinds") > crowd).alias("crowded"))
-    wanted = classes.join(unequal, "seed").select("at.*", "seed", "crowded")
+    wanted = materialize(classes.join(materialize(unequal, "byte-seeds-unequal"), "seed").select("at.*", "seed", "crowded"), "byte-wanted")
+    discard(met, twice, classes)
     stretches = materialize(stretches_of(rows, wanted, length), "stretches")
     single = stretches.filter("crowded")
-    twice = materialize(single.groupBy("seed", "body").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed", "body"), "strings-twice")
-    again = single.join(twice, ["seed", "body"]).select("rid", "th", "first", F.col("first").alias("last"))
-    return whole.union(expanded(stretches, length)).union(again)
+    again = materialize(single.groupBy("seed", "body").agg(F.count("*").alias("_n")).filter("_n > 1").select("seed", "body"), "strings-twice")
+    again = single.join(again, ["seed", "body"]).select("rid", "th", F.shiftleft(F.col("first").cast("long"), _SPAN_BITS).alias("span"))
+    found = whole.union(expanded(stretches, length)).union(again)
+    found = materialize(found.groupBy("rid", "th").agg(F.collect_set("span").alias("spans")), "byte-repeats")
+    discard(whole, wanted, stretches)
+    return found
 
 
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -221,19 +228,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 128, crowd: int
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and
     ``kept``, the remaining bytes (null unless ``texts``; a cut may split a character)."""
     rows = keyed(docs)
-    runs = repeated_runs(rows, length, k, crowd).groupBy("rid", "th").agg(
-        F.collect_set(F.struct("first", "last")).alias("runs"))
+    spans = repeated_spans(rows, length, k, crowd)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["runs"]):
-                raw = text.encode()
-                spans = covered([] if found is None else [(r["first"], r["last"]) for r in found], length, len(raw))
-                ends = [0, *(x for span in spans for x in span), len(raw)]
+            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["spans"]):
+                raw = text.encode("utf-8", "surrogatepass")
+                runs = covered([] if found is None else [of_span(int(x)) for x in found], length, len(raw))
+                ends = [0, *(x for run in runs for x in run), len(raw)]
                 left = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
-                out.append((doc_id, len(raw), len(raw) - len(left), len(spans), sha256(left).hexdigest(), left if texts else None))
+                out.append((doc_id, len(raw), len(raw) - len(left), len(runs), sha256(left).hexdigest(), left if texts else None))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return rows.join(runs, ["rid", "th"], "left").mapInPandas(of, _RESULT)
+    return rows.join(spans, ["rid", "th"], "left").mapInPandas(of, _RESULT)

@@ -68,7 +68,7 @@ def corpus(rng, words, n=40):
     texts = [t for _, t in rows]
     rows += [(500 + i, t) for i, t in enumerate(texts[:10])]
     rows += [(600 + i, t[:len(t) // 2] + " changed " + t[len(t) // 2:]) for i, t in enumerate(texts[:10])]
-    return rows + [(700, None), (701, ""), (702, " \n"), (703, "a " * 300), (704, "ab" * 900), (706, "one two three four five six seven eight nine ten eleven"), (705, "ab" * 450), (None, texts[1])]
+    return rows + [(700, None), (701, ""), (702, " \n"), (703, "a " * 300), (704, "ab" * 900), (706, "one two three four five six seven eight nine ten eleven"), (705, "ab" * 450), (None, texts[1]), (-1, texts[1]), (-5, texts[1])]
 
 
 @pytest.mark.parametrize("vocabulary", [3, 300])
