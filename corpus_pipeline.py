@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagecatalog.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
-from pagecatalog.llm.common import keyed, remainder
+from pagecatalog.llm.common import keyed, remainder, row_key
 from pagecatalog.plans.registry import table
 from pagecatalog.session import materialize
 
@@ -24,9 +24,9 @@ def _with_key(docs: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
     columns = docs.columns
-    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.coalesce("doc_id", F.lit(-1))
     names = [mark + k for k in KEY]
-    return docs.withColumns({names[0]: F.xxhash64(doc_id, text, F.lit(1)), names[1]: F.xxhash64(text, doc_id, F.lit(2))}), names, columns
+    key = row_key(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumns(dict(zip(names, key))), names, columns
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
