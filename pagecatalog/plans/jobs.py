@@ -15,8 +15,9 @@ from pagecatalog.functions import query_url, resolve_url
 from pagecatalog.functions.ordering import global_index
 from pagecatalog.operators import catalog as C, enrich as E, extract as X, frontier as R, links as L, progress as P
 from pagecatalog.operators.elements import elements
-from pagecatalog.session import materialize
+from pagecatalog.session import materialize, scratch
 from pagecatalog.sources import readers, writers
+from pagecatalog.sources.keyed import KeyedTable
 
 
 @dataclass(frozen=True)
@@ -99,14 +100,15 @@ def find_links(groups: DataFrame, sources: Sources, site: Site, max_pages: int =
 def discover(spark: SparkSession, start_urls: DataFrame, sources: Sources, site: Site, root: str,
              max_groups: int | None = None, max_pages: int = D.MAX_PAGES) -> DataFrame:
     """Phase 1: find the record links and keep them, with the list of groups."""
-    groups = materialize(find_groups(start_urls, sources, site, max_groups), "groups")
-    writers.write_links(groups.withColumnRenamed("group_url", "url"), f"{root}/groups")
-    writers.write_links(find_links(groups, sources, site, max_pages), f"{root}/links")
-    links = readers.read_links(spark, f"{root}/links")
-    asked = start_urls.select("url").union(groups.select(F.substring_index("group_url", "?", 1)))
-    spent = sources.log().withColumn("page", F.substring_index("url", "?", 1)).join(
-        asked.select(F.col("url").alias("page")).distinct(), "page", "left_semi")
-    P.discovery_summary(links, spent, "url").write.mode("overwrite").parquet(f"{root}/discovery")
+    with scratch(spark):
+        groups = materialize(find_groups(start_urls, sources, site, max_groups), "groups")
+        writers.write_links(groups.withColumnRenamed("group_url", "url"), f"{root}/groups")
+        writers.write_links(find_links(groups, sources, site, max_pages), f"{root}/links")
+        links = readers.read_links(spark, f"{root}/links")
+        asked = start_urls.select("url").union(groups.select(F.substring_index("group_url", "?", 1)))
+        spent = sources.log().withColumn("page", F.substring_index("url", "?", 1)).join(
+            asked.select(F.col("url").alias("page")).distinct(), "page", "left_semi")
+        P.discovery_summary(links, spent, "url").write.mode("overwrite").parquet(f"{root}/discovery")
     return links
 
 
@@ -160,14 +162,17 @@ def nested_records(records: DataFrame, children: DataFrame) -> DataFrame:
     return nested.select(*schemas.RECORD.fieldNames())
 
 
+def catalog_table(spark: SparkSession, root: str) -> KeyedTable:
+    """The catalogue of a work folder, keyed by record."""
+    return KeyedTable(spark, f"{root}/catalog", schemas.CATALOG, ("generic_url",))
+
+
 def save_catalog(rows: DataFrame, records: DataFrame, root: str) -> DataFrame:
     """Put the rows of the processed ``records`` in place of what the catalogue held of
-    them: a record that has lost its children loses its rows."""
-    spark = rows.sparkSession
-    old = readers.current_version(spark, f"{root}/catalog", schemas.CATALOG)
-    kept = R.pending(old, records.select(F.col("url").alias("generic_url")), "generic_url")
-    writers.publish(kept.unionByName(rows), f"{root}/catalog")
-    return readers.current_version(spark, f"{root}/catalog", schemas.CATALOG)
+    them: a record that has lost its children loses its rows. Costs what the records touch."""
+    catalog = catalog_table(rows.sparkSession, root)
+    catalog.save(rows, records.select(F.col("url").alias("generic_url")))
+    return catalog.read()
 
 
 def _accounted(batches: DataFrame, records: DataFrame, sources: Sources) -> DataFrame:
@@ -188,45 +193,56 @@ LOG = T.StructType([
 
 
 def process(spark: SparkSession, sources: Sources, site: Site, root: str, batch_size: int = D.BATCH_SIZE,
-            start_index: int = 0, fmt: str = "json", wave: int | None = None, stop_after: int | None = None) -> DataFrame:
+            start_index: int = 0, fmt: str = "json", wave: int | None = None, stop_after: int | None = None,
+            keep: int = 2) -> DataFrame:
     """Phase 2: the kept links from ``start_index`` on, into the catalogue.
 
     Batches are units of progress, not of work. ``wave`` batches are one job and are
     committed together: rows, then errors, then progress, so that a run that dies is
     resumed at the wave it was in. None is one wave for all. What a wave leaves is named by
     its first link and replaced when it is done again; a run from the first link on
-    replaces all. ``stop_after`` ends the run after so many waves.
+    replaces all. ``stop_after`` ends the run after so many waves. At its end, versions of the
+    catalogue older than the newest ``keep`` are deleted, but for pinned ones.
     """
-    links = materialize(P.assign_batches(readers.read_links(spark, f"{root}/links"), ["pos"], batch_size, start_index), "batches")
-    total = readers.read_links(spark, f"{root}/links").count()
-    last = links.agg(F.max("batch_no").alias("last")).first()["last"]
-    n_batches = 0 if last is None else last + 1
-    if start_index == 0:
-        for kept, schema in (("errors", schemas.ERROR), ("progress", schemas.PROGRESS), ("log", LOG)):
-            readers.empty(spark, schema).write.mode("overwrite").parquet(f"{root}/{kept}")
-    per_wave = wave or max(1, n_batches)
-    for first in range(0, n_batches, per_wave)[:stop_after]:
-        batches = links.filter(F.col("batch_no").between(first, first + per_wave - 1))
-        part = f"from-{start_index + first * batch_size:015d}"
-        records = extract_records(batches, sources, site)
-        children = materialize(extract_children(records, sources), "children")
-        save_catalog(catalog_rows(children), records, root)
-        writers.write_errors(X.without_record(batches, records), f"{root}/errors", part)
-        _accounted(batches, records, sources).write.mode("overwrite").parquet(f"{root}/log/{part}")
-        log = spark.read.schema(LOG).parquet(f"{root}/log/{part}")
-        before = readers.read_progress(spark, f"{root}/progress").filter(
-            F.col("current_index") <= start_index + first * batch_size).agg(F.max_by("stats", "current_index").alias("s")).first()["s"]
-        counters = {c: before[c] or 0 for c in ("total_processed", "successful", "failed", "retried")} if before else None
-        progress = P.progress_records(log, total, batch_size, max_attempts=1, start_index=start_index,
-                                      retries=F.col("retries"), before=counters)
-        writers.write_progress(progress, f"{root}/progress", part)
-    log = readers.read_table_files(spark, f"{root}/log", LOG, parts=True)
-    P.run_summary(log, max_attempts=1).write.mode("overwrite").parquet(f"{root}/summary")
-    saved = readers.current_version(spark, f"{root}/catalog", schemas.CATALOG)
-    writers.write_catalog(saved, fmt, f"{root}/export")
+    with scratch(spark):
+        links = materialize(P.assign_batches(readers.read_links(spark, f"{root}/links"), ["pos"], batch_size, start_index), "batches")
+        total = readers.read_links(spark, f"{root}/links").count()
+        last = links.agg(F.max("batch_no").alias("last")).first()["last"]
+        n_batches = 0 if last is None else last + 1
+        if start_index == 0:
+            for kept, schema in (("errors", schemas.ERROR), ("progress", schemas.PROGRESS), ("log", LOG)):
+                readers.empty(spark, schema).write.mode("overwrite").parquet(f"{root}/{kept}")
+        per_wave = wave or max(1, n_batches)
+        for first in range(0, n_batches, per_wave)[:stop_after]:
+            batches = links.filter(F.col("batch_no").between(first, first + per_wave - 1))
+            with scratch(spark):
+                _process_wave(spark, batches, sources, site, root, batch_size, start_index, start_index + first * batch_size, total)
+        log = readers.read_table_files(spark, f"{root}/log", LOG, parts=True)
+        P.run_summary(log, max_attempts=1).write.mode("overwrite").parquet(f"{root}/summary")
+        catalog = catalog_table(spark, root)
+        saved = catalog.read()
+        writers.write_catalog(saved, fmt, f"{root}/export")
+        catalog.retire(keep)
     return saved
 
 
+def _process_wave(spark: SparkSession, batches: DataFrame, sources: Sources, site: Site, root: str, batch_size: int,
+                  start_index: int, first: int, total: int) -> None:
+    part = f"from-{first:015d}"
+    records = extract_records(batches, sources, site)
+    children = materialize(extract_children(records, sources), "children")
+    save_catalog(catalog_rows(children), records, root)
+    writers.write_errors(X.without_record(batches, records), f"{root}/errors", part)
+    _accounted(batches, records, sources).write.mode("overwrite").parquet(f"{root}/log/{part}")
+    log = spark.read.schema(LOG).parquet(f"{root}/log/{part}")
+    before = readers.read_progress(spark, f"{root}/progress").filter(
+        F.col("current_index") <= first).agg(F.max_by("stats", "current_index").alias("s")).first()["s"]
+    counters = {c: before[c] or 0 for c in ("total_processed", "successful", "failed", "retried")} if before else None
+    progress = P.progress_records(log, total, batch_size, max_attempts=1, start_index=start_index,
+                                  retries=F.col("retries"), before=counters)
+    writers.write_progress(progress, f"{root}/progress", part)
+
+
 def resume(spark: SparkSession, sources: Sources, site: Site, root: str, batch_size: int = D.BATCH_SIZE,
            fmt: str = "json", wave: int | None = None) -> DataFrame:
     """Go on from the largest stored index, from the beginning if there is none."""

@@ -52,7 +52,7 @@ def stream_upsert(spark, folder):
     base, update = _base_and_update(spark, folder)
     path = fresh_path(spark, "stream-upsert")
     key, seq = ["c_custkey"], "seq"
-    S.start_from(base.select("c_custkey", "c_name", "c_acctbal", F.lit(None).cast(update.schema["seq"].dataType).alias("seq")), path)
+    S.start_from(base.select("c_custkey", "c_name", "c_acctbal", F.lit(None).cast(update.schema["seq"].dataType).alias("seq")), path, key)
     arrivals = as_stream(spark, update.withColumn("sign", F.col("c_acctbal") < 0), "sign").drop("sign")
     changes = S.upsert_sink(path)
 

@@ -80,6 +80,14 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a file or folder; False if there is none, or ``to`` exists."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = spark._jvm.org.apache.hadoop.fs.Path(to)
+    return files.exists(place) and not files.exists(there) and files.rename(place, there)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables. What was made of them has to be written out already."""
     for table in tables:

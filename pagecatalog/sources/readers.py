@@ -115,10 +115,13 @@ def read_catalog_table(spark: SparkSession, name: str) -> DataFrame:
     return rows.withColumn("image_url", images)
 
 
+#: Pointers to the versions of a table, the newest has the largest ``seq``.
+VERSIONS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("path", T.StringType())])
+
+
 def current_version(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """The table version published last under ``root``, see ``writers.publish``."""
-    versions = read_table_files(spark, f"{root}/versions", T.StructType([
-        T.StructField("seq", T.LongType()), T.StructField("path", T.StringType())]))
+    versions = read_table_files(spark, f"{root}/versions", VERSIONS)
     path = versions.agg(F.max_by("path", "seq").alias("path")).first()["path"]
     return spark.read.schema(schema).parquet(path) if path else empty(spark, schema)
 

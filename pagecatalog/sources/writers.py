@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from pagecatalog import schemas
 from pagecatalog.functions import array_to_json, capture_key, join_array
-from pagecatalog.session import materialize
+from pagecatalog.session import move_path, remove_path
 from pagecatalog.sources import readers
 
 log = logging.getLogger(__name__)
@@ -77,16 +77,29 @@ def register_sink(name: str, sink: Sink, load: Load | None = None) -> None:
 
 def load_catalog(spark: SparkSession, fmt: str, path: str) -> DataFrame:
     """A catalogue in a format by name; nothing there reads as no rows."""
+    move_path(spark, _aside(path), path)  # a merge that died between its two renames
     return LOADS[fmt.lower()](spark, path)
 
 
+def _aside(path: str) -> str:
+    return f"{path.rstrip('/')}.before"
+
+
 def merge_catalog(df: DataFrame, fmt: str, path: str, key: tuple[str, ...] = ("generic_url",)) -> DataFrame:
     """Write a catalogue over what the path holds: rows of the same ``key`` are replaced as a
-    whole, others stay. Returns what the path holds then."""
+    whole, others stay. Returns what the path holds then.
+
+    The merged rows are written beside the path and take its place by renaming, so a run that
+    dies leaves the old rows or the new ones.
+    """
     spark = df.sparkSession
     kept = load_catalog(spark, fmt, path).join(df.select(*key).distinct(), list(key), "left_anti")
-    merged = materialize(kept.select(*df.columns).unionByName(df), "merged")  # the path is overwritten
-    SINKS[fmt.lower()](merged, path, "overwrite")
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    SINKS[fmt.lower()](kept.select(*df.columns).unionByName(df), fresh, "overwrite")
+    remove_path(spark, _aside(path))
+    move_path(spark, path, _aside(path))
+    move_path(spark, fresh, path)
+    remove_path(spark, _aside(path))
     return load_catalog(spark, fmt, path)
 
 
@@ -143,6 +156,26 @@ def publish(df: DataFrame, root: str, version: str | None = None) -> str:
     return path
 
 
+def retire_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete all but the newest ``keep`` versions that :func:`publish` wrote; returns how many went."""
+    pointers = readers.read_table_files(spark, f"{root}/versions", readers.VERSIONS)
+    newest = pointers.groupBy("path").agg(F.max("seq").alias("seq")).orderBy(F.desc("seq"))
+    old = [r["path"] for r in newest.collect()[keep:]]
+    return sum(remove_path(spark, path) for path in old)
+
+
+def retire_captures(spark: SparkSession, path: str) -> list[str]:
+    """Delete the fetch dates of :func:`write_captures` of which every capture was superseded by a
+    later one of its URL; returns these dates. Reads addresses and times, no HTML."""
+    times = spark.read.parquet(path).select("url", "fetched_at", "fetch_date")
+    needed = times.groupBy("url").agg(F.max_by("fetch_date", "fetched_at").alias("fetch_date")).select("fetch_date").distinct()
+    gone = times.select("fetch_date").distinct().join(needed, "fetch_date", "left_anti")
+    dates = [str(r["fetch_date"]) for r in gone.orderBy("fetch_date").collect()]
+    for date in dates:
+        remove_path(spark, f"{path}/fetch_date={date}")
+    return dates
+
+
 def write_links(links: DataFrame, path: str) -> None:
     """A list of links with their positions."""
     links.select(F.col("pos").cast("long").alias("pos"), "url").write.mode("overwrite").parquet(path)

@@ -14,9 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pagecatalog import defaults as D
 from pagecatalog.operators.catalog import latest
 from pagecatalog.operators.progress import backoff_seconds
-from pagecatalog.session import materialize, session_conf
-from pagecatalog.sources.readers import current_version, read_table_files
-from pagecatalog.sources.writers import publish
+from pagecatalog.session import materialize, remove_path, scratch, session_conf
+from pagecatalog.sources.keyed import KeyedTable
+from pagecatalog.sources.readers import read_table_files
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -96,23 +96,47 @@ def _changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def read_upserted(spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: str) -> DataFrame:
     """The table as of now: the compacted rows, and over them, per key, the change with the
     largest ``seq``, of repeats the last to arrive. Folders of folded batches are not read."""
-    base = current_version(spark, f"{path}/table", schema)
+    base = _table(spark, path, schema, key).read()
     new = latest(_changes(spark, path, schema), key, [F.desc(seq), F.desc("batch_id")]).drop("batch_id")
+    return _laid_over(base, new, key, seq)
+
+
+def _table(spark: SparkSession, path: str, schema: T.StructType, key: list[str]) -> KeyedTable:
+    return KeyedTable(spark, f"{path}/table", schema, tuple(key))
+
+
+def _laid_over(base: DataFrame, new: DataFrame, key: list[str], seq: str) -> DataFrame:
     both = base.select("*", F.lit(0).alias("_new")).unionByName(new.select("*", F.lit(1).alias("_new")))
     return latest(both, key, [F.desc_nulls_last(seq), F.desc("_new")]).drop("_new")
 
 
-def start_from(base: DataFrame, path: str) -> str:
+def start_from(base: DataFrame, path: str, key: list[str]) -> int:
     """Make ``base`` the table that changes are laid over."""
-    return publish(base, f"{path}/table")
+    return _table(base.sparkSession, path, base.schema, key).save(base)
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: str) -> str:
-    """Fold the changes so far into a new version of the table, and note up to which batch."""
-    upto = _changes(spark, path, schema).agg(F.max("batch_id").alias("upto")).filter("upto is not null")
-    upto = materialize(upto, "upto")
-    version = publish(read_upserted(spark, path, schema, key, seq), f"{path}/table")
-    upto.write.mode("append").parquet(f"{path}/folded")
+def compact(spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: str) -> int:
+    """Fold the changes so far into the table, and note up to which batch; returns the table's
+    version. Only rows of changed keys are written. Batches that the compaction before folded
+    are deleted; those of this one stay for readers that have them open."""
+    folded = read_table_files(spark, f"{path}/folded", _FOLDED).agg(F.max("upto").alias("upto")).first()["upto"]
+    changes = _changes(spark, path, schema)
+    upto = changes.agg(F.max("batch_id").alias("upto")).first()["upto"]
+    table = _table(spark, path, schema, key)
+    if upto is None:
+        return table.version()
+    with scratch(spark):
+        new = materialize(latest(changes.filter(F.col("batch_id") <= upto), key, [F.desc(seq), F.desc("batch_id")]).drop("batch_id"), "changed")
+        changed = new.select(*[F.col(k).alias(f"_{k}") for k in key])
+        base = table.read()
+        met = base.join(changed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left_semi")
+        version = table.save(materialize(_laid_over(met, new, key, seq), "folded"))
+    spark.createDataFrame([(upto,)], _FOLDED).coalesce(1).write.mode("append").parquet(f"{path}/folded")
+    if folded is not None:
+        for batch in (r["batch_id"] for r in spark.read.parquet(f"{path}/changes").select("batch_id").distinct().collect()):
+            if batch <= folded:
+                remove_path(spark, f"{path}/changes/batch_id={batch}")
+    table.retire()
     return version
 
 

@@ -101,8 +101,7 @@ def test_process(spark, sources, root):
 
 def test_resume_adds_to_the_kept_catalogue(spark, sources, root):
     jobs.discover(spark, start(spark), sources, SITE, root)
-    writers.publish(readers.empty(spark, schemas.CATALOG).unionByName(spark.createDataFrame(
-        [("k", "e", "p", BASE + "/kept", "", "", "", "u", [])], schemas.CATALOG)), f"{root}/catalog")
+    jobs.catalog_table(spark, root).save(spark.createDataFrame([("k", "e", "p", BASE + "/kept", "", "", "", "u", [])], schemas.CATALOG))
     spark.createDataFrame([(0, 2)], "batch_no long, current_index long").write.parquet(f"{root}/progress")
     got = catalog(jobs.resume(spark, sources, SITE, root, batch_size=2, fmt="CSV"))
     assert got == sorted([("k", "/kept", "", "", "", "u", 0), *[r for r in CATALOG if r[1] != "/G-1/X"]])
@@ -136,7 +135,7 @@ def test_full_run(spark, sources, root):
     assert attempted.count() == len(LINKS)  # the missing page was tried too
     # nothing is left, so the next run returns nothing and keeps the catalogue
     assert jobs.full(spark, start(spark), sources, SITE, root).count() == 0
-    assert catalog(readers.current_version(spark, f"{root}/catalog", schemas.CATALOG)) == CATALOG
+    assert catalog(jobs.catalog_table(spark, root).read()) == CATALOG
 
 
 def test_full_run_from_a_list_does_not_discover(spark, sources, root):

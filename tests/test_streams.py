@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pagecatalog.operators import progress as P
 from pagecatalog.session import fresh_path
-from pagecatalog.sources import readers
+from pagecatalog.sources.keyed import KeyedTable
 from pagecatalog.streaming import retries as R, streams as S
 
 
@@ -39,12 +39,29 @@ def test_upsert_takes_later_rows_and_survives_replay(spark, place):
     now = S.read_upserted(spark, place, schema, ["id"], "seq")
     assert sorted(map(tuple, now.collect())) == [("a", 1, 1), ("b", 3, 3), ("c", 1, 1)]
     base = spark.createDataFrame([("a", 0, 0), ("z", 9, 0)], schema)
-    S.start_from(base, place)
+    S.start_from(base, place, ["id"])
     S.compact(spark, place, schema, ["id"], "seq")
-    table = readers.current_version(spark, f"{place}/table", schema)
+    table = KeyedTable(spark, f"{place}/table", schema, ("id",)).read()
     assert sorted(map(tuple, table.collect())) == [("a", 1, 1), ("b", 3, 3), ("c", 1, 1), ("z", 9, 0)]
 
 
+def test_compaction_writes_what_changed_and_retires_what_it_folded(spark, place):
+    schema = spark.createDataFrame([], "id int, v int, seq long").schema
+    S.start_from(spark.range(4000).selectExpr("cast(id as int) id", "0 v", "cast(0 as long) seq"), place, ["id"])
+    sink = S.upsert_sink(place)
+    sizes = []
+    for batch_id in range(6):
+        sink(spark.createDataFrame([(batch_id, batch_id + 1, batch_id + 1), (99, batch_id, -1 if batch_id else 5), (5000 + batch_id, 1, 1)], schema), batch_id)
+        before = S.read_upserted(spark, place, schema, ["id"], "seq")
+        S.compact(spark, place, schema, ["id"], "seq")
+        assert before.count() == 4000 + batch_id + 1  # opened before the compaction
+        sizes.append(sum(s.n_rows for s in KeyedTable(spark, f"{place}/table", schema, ("id",)).manifest()[1] if s.seq == batch_id + 2))
+    now = {r.id: r.v for r in S.read_upserted(spark, place, schema, ["id"], "seq").collect()}
+    assert len(now) == 4006 and now[99] == 0 and all(now[i] == i + 1 for i in range(6)) and now[7] == 0
+    assert sizes == [3] * 6
+    assert spark.read.parquet(f"{place}/changes").select("batch_id").distinct().count() == 1
+
+
 def test_a_restarted_stream_goes_on_where_it_stopped(spark, place):
     def run():
         stream = S.read_stream(spark, f"{place}/in", urls(spark).schema, files_per_batch=1)
