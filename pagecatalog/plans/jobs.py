@@ -65,12 +65,16 @@ def _captured(urls: DataFrame, captures: DataFrame) -> DataFrame:
 
     The list is written out first. Its size is then known when the join is planned, and a
     short list is broadcast; otherwise the HTML would be shuffled before the list turned
-    out to be short.
+    out to be short. A list that is too long for that is dealt to the buckets of captures that
+    are a table in buckets (``writers.write_capture_table``), and their HTML stays where it is:
+    the join is on the URL alone, which is what the buckets go by.
     """
     if "fetched_at" not in captures.columns:
         return captures.select("url", "html").join(materialize(R.urls_to_read(urls), "wanted"), "url", "left_semi")
-    wanted = materialize(readers.newest(captures, also=urls), "wanted")
-    return captures.select("url", "html", "fetched_at").join(wanted, ["url", "fetched_at"], "left_semi").drop("fetched_at")
+    wanted = materialize(readers.newest(captures, also=urls).withColumnRenamed("fetched_at", "_newest"), "wanted")
+    met = captures.select("url", "html", "fetched_at").join(wanted, "url")
+    # none is newer than the newest; as an equality this would become a second join key
+    return met.filter(F.col("fetched_at") >= F.col("_newest")).select("url", "html")
 
 
 def find_groups(start_urls: DataFrame, sources: Sources, site: Site, max_groups: int | None = None) -> DataFrame:

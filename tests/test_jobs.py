@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagecatalog import schemas
 from pagecatalog.plans import jobs
-from pagecatalog.session import fresh_path
+from pagecatalog.session import fresh_path, session_conf
 from pagecatalog.sources import readers, writers
 
 BASE = "http://site.example"
@@ -99,6 +99,32 @@ def test_process(spark, sources, root):
     assert catalog(jobs.process(spark, sources, SITE, root, batch_size=4)) == CATALOG
 
 
+def exchanged_html(df):
+    """The exchanges of a plan that move HTML."""
+    plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [node for node in plan.split("\n\n") if "Exchange" in node.split("\n")[0] and "html#" in node]
+
+
+@pytest.mark.parametrize("dated", [False, True])
+def test_long_lists_come_to_bucketed_captures(spark, root, dated):
+    pages = spark.range(500).selectExpr("concat('u', id) url", "concat('<h1>', id, '</h1>') html", "timestamp '2024-01-01' fetched_at")
+    if dated:
+        pages = pages.union(pages.filter("url like '%7'").selectExpr("url", "'<h1>new</h1>' html", "timestamp '2024-01-02' fetched_at"))
+    else:
+        pages = pages.drop("fetched_at")
+    name = "captures_" + root.rsplit("-", 1)[-1]
+    writers.write_capture_table(pages, name, 8, f"{root}/captures")
+    urls = spark.range(0, 500, 2).selectExpr("concat('u', id) url", "id pos").union(spark.range(7, 8).selectExpr("'u7' url", "7 pos"))
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__enabled=False):
+        got = jobs._captured(urls, spark.table(name))
+        again = got.join(urls, "url")  # as links are joined to the pages that hold them
+        assert exchanged_html(got) == [] == exchanged_html(again) and got.count() == again.count() == 251
+        assert got.filter("html = '<h1>new</h1>'").count() == (1 if dated else 0)
+        plain = jobs._captured(urls, spark.read.parquet(f"{root}/captures"))
+        assert len(exchanged_html(plain)) == 1
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_resume_adds_to_the_kept_catalogue(spark, sources, root):
     jobs.discover(spark, start(spark), sources, SITE, root)
     jobs.catalog_table(spark, root).save(spark.createDataFrame([("k", "e", "p", BASE + "/kept", "", "", "", "u", [])], schemas.CATALOG))
