@@ -9,8 +9,10 @@ is no letter becomes a space. A long text is compressed in pieces of ``PIECE`` c
 whose sizes add up: it would otherwise soon be compressed by its own beginning. Pieces
 cover the whole text.
 
-The bound on learning: ``SAMPLE_ROWS`` rows per language, the first in a fixed shuffled
-order, ``SAMPLE_CHARS`` characters of each. All other steps read every text whole.
+The bound on learning: ``SAMPLE_ROWS`` ids per language, the first in a fixed shuffled order,
+one text of each, the one with the least hash. Of a long text, ``SAMPLE_PIECES`` pieces spread
+evenly over the whole of it make up its ``SAMPLE_CHARS`` characters. All other steps read every
+text whole.
 
 Cases: a null or empty text, or one with no letter, is ``und`` with score 0 and rejected.
 Repeated rows get equal answers; ties go to the language that sorts first. With no labelled
@@ -25,10 +27,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SAMPLE_ROWS = 60
 SAMPLE_CHARS = 4000
+SAMPLE_PIECES = 20
 PIECE = 2048
 #: Of zstandard. Levels below match too coarsely for short texts, levels above cost far more for less.
 LEVEL = 9
@@ -43,18 +46,28 @@ def letters(text: str | None) -> str:
     return _NO_LETTERS.sub(" ", (text or "").lower()).strip()
 
 
+def spread_sample(text: Column) -> Column:
+    """A text of at most ``SAMPLE_CHARS`` characters, or as many from places all over it."""
+    size = SAMPLE_CHARS // SAMPLE_PIECES
+    room = F.length(text).cast("double") - size
+    pieces = [F.substring(text, (F.floor(room * i / (SAMPLE_PIECES - 1)) + 1).cast("int"), F.lit(size)) for i in range(SAMPLE_PIECES)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def learn(labelled: DataFrame) -> dict[str, bytes]:
     """A dictionary per language of ``labelled (doc_id, text, lang)``.
 
-    The driver holds ``SAMPLE_ROWS * SAMPLE_CHARS`` characters per language. Which rows to
-    take is decided on ids alone; Spark keeps the first of each language in every task
-    before it compares them across tasks.
+    The driver holds ``SAMPLE_ROWS * SAMPLE_CHARS`` characters per language, however often an
+    id repeats. Which rows to take is decided on ids and hashes alone; Spark keeps the first of
+    each language in every task before it compares them across tasks.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang")
+    said = F.xxhash64("text")
+    chosen = (labelled.filter("lang is not null and doc_id is not null").groupBy("lang", "doc_id").agg(F.min(said).alias("_said"))
               .withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= SAMPLE_ROWS))
-    sample = labelled.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("sample")).join(
-        F.broadcast(chosen.distinct()), ["doc_id", "lang"])  # SAMPLE_ROWS per language
+    sample = labelled.select("doc_id", "lang", said.alias("_said"), spread_sample(F.col("text")).alias("sample")).join(
+        F.broadcast(chosen), ["doc_id", "lang", "_said"])  # SAMPLE_ROWS per language
+    sample = sample.groupBy("lang", "_place").agg(F.min("sample").alias("sample"))  # rows that repeat as a whole
     found: dict[str, list[tuple[int, str]]] = {}
     for row in sample.select("lang", "_place", "sample").collect():
         found.setdefault(row["lang"], []).append((row["_place"], letters(row["sample"])))

@@ -5,9 +5,10 @@ word that repeats one of the two before it counts as a feature of its own beside
 is the mean of its vectors; a softmax layer on top gives the probability of each label.
 Table and layer are learned together by stochastic gradient descent in numpy.
 
-The bound on learning: ``TRAIN_ROWS`` labelled rows, the first in a fixed shuffled order.
-Their texts are read whole, in tasks; what reaches the driver is, per row, the share of each
-of at most ``BUCKETS`` features. Every other row is scored whole.
+The bound on learning: ``TRAIN_ROWS`` labelled ids, the first in a fixed shuffled order, one
+label (the smaller) and one text (that with the least hash) of each. These texts are read
+whole, in tasks; what reaches the driver is, per id, the share of each of at most ``BUCKETS``
+features. Every other row is scored whole.
 
 To score, the layer is applied to the table once, which leaves two numbers per feature; the
 mean of these over a text is what the layer makes of its mean vector.
@@ -126,8 +127,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1, epochs:
 
 
 def counted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Feature counts of the first ``rows`` rows of ``labels (doc_id, label)``, which are
-    chosen before any text is read."""
+    """Feature counts of the first ``rows`` ids of ``labels (doc_id, label)``, which are
+    chosen before any text is read. One row per id, however often it repeats."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -140,10 +141,14 @@ def counted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataF
                             (total[ids] / max(1, total.sum())).astype("<f4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "label", "ids", "shares"])
 
-    usable = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
-    first = usable.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "label").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").mapInPandas(
+    usable = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"))
+    first = usable.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(rows)
+    said = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_said"))
+    one = said.join(F.broadcast(first), "doc_id").groupBy("doc_id", "label").agg(F.min("_said").alias("_said"))
+    found = said.join(F.broadcast(one), ["doc_id", "_said"]).select("doc_id", "text", "label").mapInPandas(
         of, "doc_id bigint, label int, ids binary, shares binary")
+    # rows that repeat as a whole give the same counts
+    return found.groupBy("doc_id").agg(F.min(F.struct("label", "ids", "shares")).alias("_row")).select("doc_id", "_row.*")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:

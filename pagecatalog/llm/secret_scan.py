@@ -2,9 +2,10 @@
 
 Certain findings (the base) are assignments to a secret-like name, access ids and long runs
 of hex digits. Weak candidates prove nothing alone: a long mixed token, an account or client
-id, an endpoint. They are parts of a credential, and are linked by an interval join within
-their scope, ``REACH`` characters to both sides: a weak candidate is reported only when the
-parts that complete it lie in reach:
+id, an endpoint. A token is a run of 32 letters, digits and ``+/_-`` or more, of any length, with
+both cases and a digit; it may stand straight after ``=``. Candidates are parts of a credential,
+and are linked by an interval join within their scope, ``REACH`` characters to both sides: a
+weak candidate is reported only when the parts that complete it lie in reach:
 
 =========  =========================================================
 token      an access id or account id, or an endpoint
@@ -38,8 +39,9 @@ LEAST_VALUE = 6
 
 #: Weak candidates: kind and pattern.
 WEAK = {
-    "token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])"
-             r"[A-Za-z0-9+/_-]{32,200}={0,2}(?![A-Za-z0-9+/_=-])",
+    # from the start of a run on, so each run is looked at once however long it is
+    "token": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])"
+             r"[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])",
     "account": r"(?i:account|client|user|tenant)[_-]?(?i:id)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9._@-]{4,}",
     "endpoint": r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?",
 }
@@ -80,7 +82,7 @@ def spans(text: Column, pattern: str, kind: str, value: int | None = None) -> Co
         every, lambda s, i: F.length(F.get(v, i)) >= value))
 
 
-def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, rid, th, base, weak)``: arrays of spans, sorted, before any linking."""
     rows = keyed(docs)
     text = F.col("text")
@@ -116,7 +118,7 @@ def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     A span is ``struct<start, kind, end>``, ``kind`` an index of ``KINDS``.
     """
-    found = materialize(scan(docs, reach), "secrets")
+    found = materialize(scan(docs), "secrets")
     return found.join(link(found, reach), ["rid", "th"], "left").select("doc_id", "base", F.coalesce(
         F.col("linked"), F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("linked"))
 

@@ -1,6 +1,7 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has ``CELLS`` cells; each shard owns ``virtual`` of them. A row's cell follows from
+The ring has ``CELLS`` cells, or as many more as leave four for each virtual node; each shard
+owns ``virtual`` of them. A finer ring keeps every place of a coarser one. A row's cell follows from
 the hash of its text, and its first choice is the first owned cell from there on. A shard
 holds so many rows and no more: rows of an arc beyond that go on clockwise, to the next
 shard with room. Capacities add up to the number of rows and are at most one apart, so the
@@ -34,15 +35,18 @@ CELLS = 1 << 12
 LAW = "rows"
 
 
+def ring_bits(shards: int, virtual: int) -> int:
+    return max(CELLS.bit_length() - 1, (4 * shards * virtual - 1).bit_length())
+
+
 def owned_cells(shards: int, virtual: int) -> list[tuple[int, int]]:
     """``(cell, shard)`` in ring order; a cell that is taken already is tried anew."""
-    if shards * virtual > CELLS // 2:
-        raise ValueError(f"{shards} shards with {virtual} virtual nodes need more than {CELLS} cells")
+    bits = ring_bits(shards, virtual)
     cells: dict[int, int] = {}
     for shard in range(shards):
         for v in range(virtual):
             turn = 0
-            while (cell := xxhash.xxh64_intdigest(f"{shard}/{v}/{turn}", seed=7) % CELLS) in cells:
+            while (cell := xxhash.xxh64_intdigest(f"{shard}/{v}/{turn}", seed=7) >> (64 - bits)) in cells:
                 turn += 1
             cells[cell] = shard
     return sorted(cells.items())
@@ -83,10 +87,10 @@ def bounded_loads(counts: list[int], owners: list[int], shards: int) -> list[tup
 def assign(docs: DataFrame, shards: int = 8, virtual: int = 64) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for every row of ``docs``."""
     spark = docs.sparkSession
-    owned = owned_cells(shards, virtual)
+    owned, bits = owned_cells(shards, virtual), ring_bits(shards, virtual)
     owners = [s for _, s in owned] + [owned[0][1]]  # past the last owned cell, the first one's
     arc_of, arc = [], 0
-    for cell in range(CELLS):
+    for cell in range(1 << bits):
         while arc < len(owned) and owned[arc][0] < cell:
             arc += 1
         arc_of.append(arc)
@@ -94,7 +98,7 @@ def assign(docs: DataFrame, shards: int = 8, virtual: int = 64) -> DataFrame:
     arcs = F.split(F.lit(",".join(map(str, arc_of))), ",")
     rows = docs.select(
         "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text, F.lit("ring")), 64 - CELLS.bit_length() + 1).cast("int").alias("cell"),
+        F.shiftrightunsigned(F.xxhash64(text, F.lit("ring")), 64 - bits).cast("int").alias("cell"),
         F.xxhash64(text, F.lit("order")).alias("_text"))
     rows = materialize(rows, "ring")
     placed = global_index(rows, ["cell", "_text", "size", "doc_id"], "_at").withColumn(

@@ -1,6 +1,7 @@
 """Syncmers, sharding and mixing."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -82,6 +83,63 @@ def test_shards(spark, rows):
     assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
 
 
+def plain_ring(cells, shards, virtual):
+    """Shard of each row, served one by one: its own shard first, the next one with room after."""
+    owned = sharding.owned_cells(shards, virtual)
+    room = sharding.capacities(len(cells), shards)
+    arcs: dict = {}
+    for row, cell in enumerate(cells):
+        arc = next((i for i, (c, _) in enumerate(owned) if c >= cell), len(owned))
+        arcs.setdefault(arc, []).append(row)
+    out, left, turn = {}, dict(arcs), 0
+    tried = {arc: [] for arc in arcs}
+    while left:
+        for arc in sorted(left):
+            walk = [owned[(arc + i) % len(owned)][1] if arc < len(owned) else owned[i % len(owned)][1] for i in range(len(owned) + 1)]
+            shard = next(s for s in walk if s not in tried[arc])
+            tried[arc].append(shard)
+            taken, left[arc] = left[arc][:room[shard]], left[arc][room[shard]:]
+            room[shard] -= len(taken)
+            out.update(dict.fromkeys(taken, shard))
+        left = {a: rows for a, rows in left.items() if rows}
+    return [out[i] for i in range(len(cells))]
+
+
+@pytest.mark.parametrize("shards,virtual,hot", [(3, 4, 0), (8, 16, 0), (8, 16, 900), (33, 64, 300)])
+def test_loads_equal_a_plain_ring(shards, virtual, hot):
+    rng = random.Random(shards + hot)
+    top = 1 << sharding.ring_bits(shards, virtual)
+    cells = sorted([rng.randrange(top) for _ in range(1500)] + [top // 3] * hot)
+    owned = sharding.owned_cells(shards, virtual)
+    assert len(owned) == shards * virtual and all(0 <= c < top for c, _ in owned)
+    owners = [s for _, s in owned] + [owned[0][1]]
+    counts = [0] * len(owners)
+    for cell in cells:
+        counts[next((i for i, (c, _) in enumerate(owned) if c >= cell), len(owned))] += 1
+    got = []
+    for arc, start, end, shard, _ in sorted(sharding.bounded_loads(counts, owners, shards)):
+        got += [shard] * (end - start)
+    assert got == plain_ring(cells, shards, virtual)
+
+
+def test_many_shards(spark):
+    got = sharding.assign(frame(spark, ROWS), shards=33).collect()
+    assert sorted(len([r for r in got if r.shard == s]) for s in range(33)) == sorted(sharding.capacities(len(ROWS), 33))
+
+
+def test_sharding_query(spark):
+    got = queries.QUERIES["op8_sharding"](spark, FOLDER).toPandas()
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").toPandas().set_index("doc_id")
+    assert len(got) == len(docs) and set(got.law) == {"rows"} and got.grown_shard.isna().all()
+    for r in got.itertuples():
+        raw = (docs.text[r.doc_id] or "").encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)
+    for _, one in got.groupby("shard"):
+        assert sorted(one.slot) == list(range(len(one)))
+    counts = got.shard.value_counts()
+    assert len(counts) == 8 and counts.max() - counts.min() <= 1
+
+
 def test_few_rows_move_when_a_shard_is_added():
     import random
     rng = random.Random(3)

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 
 from pagecatalog.llm import language_id, quality, queries
+from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -46,6 +47,29 @@ def test_language_cases(spark):
     assert language_id.identify("abc def abc", tools)[2]
 
 
+def test_repeated_ids_do_not_enlarge_what_is_learned(spark):
+    long = "".join("abcdefgh"[i % 8] + " " * (i % 5 == 0) for i in range(3000))
+    rows = [(i, long + str(i), "a") for i in range(60)] + [(3, long + str(i % 250), "a") for i in range(500)] + [(7, "wörter", "b")] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    dictionaries = language_id.learn(docs)
+    assert len(dictionaries["a"]) <= language_id.SAMPLE_ROWS * (language_id.SAMPLE_CHARS + 1) and dictionaries["b"] == "wörter".encode()
+    assert len(dictionaries["a"].split(b"\n")) == 60
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1)] * 40 + [(3, 0)], "doc_id bigint, label int")
+    found = quality.counted(docs, labels, rows=10).collect()
+    assert len(found) == 10 == len({r.doc_id for r in found})
+    every = {r.doc_id: r.label for r in quality.counted(docs, labels).collect()}
+    assert len(every) == 60 and every[3] == 0
+
+
+def test_sample_of_a_long_text_is_spread_over_it(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(15_000))
+    got = spark.createDataFrame([(text,), ("short",), (None,)], "text string").select(language_id.spread_sample(F.col("text")).alias("s")).collect()
+    assert got[1].s == "short" and got[2].s == ""
+    places = [ord(c) - 0x4E00 for c in got[0].s.replace(" ", "")]
+    assert len(places) == language_id.SAMPLE_CHARS and places[0] == 0 and places[-1] == 14_999
+    assert max(b - a for a, b in zip(places, places[1:])) < 1000
+
+
 def test_long_text_is_read_to_its_end():
     rng = random.Random(4)
     one, two = ([("".join(rng.choices(abc, k=6))) for _ in range(300)] for abc in ("abcdefgh", "rstuvwxy"))
