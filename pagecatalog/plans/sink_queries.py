@@ -12,8 +12,9 @@ from pagecatalog.operators import links as L
 from pagecatalog.plans.enrich_queries import CATALOG_SQL, order_catalog, scalars
 from pagecatalog.plans.link_queries import ATTEMPTED, FRONTIER, LINKS, attempted, frontier, links
 from pagecatalog.plans.registry import query, table
-from pagecatalog.session import fresh_path, materialize
+from pagecatalog.session import fresh_path, materialize, session_conf
 from pagecatalog.sources import readers, writers
+from pagecatalog.sources.committed import CommittedSink, read_committed
 
 PART = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType())])
 
@@ -37,6 +38,19 @@ def url_array_scan(spark, folder):
     return readers.read_url_array(spark, path, array_per_line=True)
 
 
+@query(f"WITH {LINKS} SELECT row_number() OVER (ORDER BY page_id, pos) - 1 AS pos, link AS url FROM links")
+def url_array_file(spark, folder):
+    """All links as one array in one file, read in splits."""
+    path = fresh_path(spark, "url-array")
+    found = materialize(links(spark, folder).select("page_id", "pos", "link"), "links")
+    lines = found.select("page_id", "pos", F.concat(F.to_json(F.array("link")).substr(F.lit(2), F.length(F.to_json(F.array("link"))) - 2), F.lit(",")).alias("line"))
+    ends = spark.createDataFrame([(-1, -1, "["), (None, None, "null]")], "page_id long, pos long, line string")
+    lines.unionByName(ends).orderBy(F.asc_nulls_last("page_id"), "pos").coalesce(1).select("line").write.text(path)
+    with session_conf(spark, spark__sql__files__maxPartitionBytes=256 * 1024):
+        read = readers.read_url_array(spark, path)
+    return read.filter("url is not null")
+
+
 @query(CATALOG_SQL)
 def catalog_json_roundtrip(spark, folder):
     path = fresh_path(spark, "json")
@@ -161,3 +175,14 @@ def custom_sink(spark, folder):
     old = catalog.filter(F.col("persian_name") == "R").withColumn("english_name", F.lit("old"))
     writers.write_catalog(old, "ORC", path)
     return scalars(writers.merge_catalog(catalog, "orc", path))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal IS NOT NULL")
+def committed_sink(spark, folder):
+    """Two named writes through the sink with commit; the second is run again and changes nothing."""
+    spark.dataSource.register(CommittedSink)
+    path = fresh_path(spark, "committed")
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    for name, part in (("debts", rows.filter("c_acctbal < 0")), ("others", rows.filter("c_acctbal >= 0")), ("others", rows)):
+        part.write.format("committed").mode("append").option("commit", name).save(path)
+    return read_committed(spark, path, rows.schema)

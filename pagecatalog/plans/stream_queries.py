@@ -11,14 +11,17 @@ from pagecatalog.plans.link_queries import ATTEMPTED, LINKS, attempted
 from pagecatalog.plans.progress_queries import LOG, fetch_log
 from pagecatalog.plans.registry import query, table
 from pagecatalog.session import fresh_path
-from pagecatalog.streaming import retries as R, streams as S
+from pagecatalog.sources import readers
+from pagecatalog.streaming import metrics as M, retries as R, streams as S
 
 
-def as_stream(spark: SparkSession, df: DataFrame, by: str, batches: int = 4) -> DataFrame:
+def as_stream(spark: SparkSession, df: DataFrame, by: str, batches: int = 4, end: DataFrame | None = None) -> DataFrame:
     """``df`` written out, in folders by a column of few values, and read as a stream in a
-    few micro-batches, however many files there are."""
+    few micro-batches, however many files there are; the rows of ``end`` come last."""
     path = fresh_path(spark, "stream-input")
     df.withColumn("_part", F.col(by)).write.partitionBy("_part").parquet(path)
+    if end is not None:
+        end.withColumn("_part", F.col(by)).write.mode("append").partitionBy("_part").parquet(path)
     written = spark.read.parquet(path)
     per_batch = max(1, len(written.inputFiles()) // batches)
     return S.read_stream(spark, path, written.schema, per_batch).drop("_part")
@@ -139,3 +142,46 @@ def stream_rate(spark, folder):
     finished(S.to_files(S.request_rate(arrivals, "1 hour"), path, f"{path}-checkpoint"))
     return spark.read.parquet(path).filter(F.col("requests") > 20).select(
         F.unix_micros("window_start").alias("window_us"), "requests")
+
+
+@query(f"""WITH {ATTEMPTED}, listed AS (SELECT c_custkey AS pos, 'c/' || c_custkey AS url, c_name, c_acctbal > 0 AS stored, c_custkey % 7 AS hours
+    FROM customer WHERE 'c/' || c_custkey NOT IN (SELECT url FROM attempted))
+SELECT pos, url, '<h1>' || c_name || '</h1>' AS html, NULL AS error FROM listed WHERE stored AND hours <= 4
+UNION ALL SELECT NULL, url, NULL, 'no capture' FROM listed WHERE NOT stored OR hours > 4""")
+def stream_frontier_late(spark, folder):
+    """Both sides streamed: captures come up to 6 hours after their URL was listed, 4 are waited for."""
+    listed_at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("c_custkey") % 86_400 * 1_000_000)
+    rows = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("pos"), F.concat(F.lit("c/"), "c_custkey").alias("url"), listed_at.alias("listed_at"),
+        F.concat(F.lit("<h1>"), "c_name", F.lit("</h1>")).alias("html"), (F.col("c_acctbal") > 0).alias("stored"), "c_mktsegment")
+    fetched_at = F.col("listed_at") + F.make_dt_interval(F.lit(0), (F.col("pos") % 7).cast("int"))
+    frontier = rows.select("pos", "url", "listed_at", "c_mktsegment")
+    captures = rows.filter("stored").select("url", "html", fetched_at.alias("fetched_at"), "c_mktsegment")
+    # the ends of both inputs, long after the last row, close all that is waiting
+    end = spark.range(1).select(F.lit(None).cast("long").alias("pos"), F.lit("end").alias("url"), F.lit("").alias("html"),
+                                F.lit("2100-01-01").cast("timestamp").alias("at"), F.lit("END").alias("c_mktsegment"))
+    ends = (end.select("pos", "url", F.col("at").alias("listed_at"), "c_mktsegment"), end.select("url", "html", F.col("at").alias("fetched_at"), "c_mktsegment"))
+    listed, stored = (as_stream(spark, df, "c_mktsegment", batches=2, end=e).drop("c_mktsegment") for df, e in zip((frontier, captures), ends))
+    path = fresh_path(spark, "stream-frontier-late")
+    joined = S.pending_as_captured(listed, attempted(spark, folder), stored, wait="4 hours", keep="24 hours", late="3 days")
+    finished(S.to_sink(joined, S.captured_sink(path), f"{path}/checkpoint"))
+    pages = spark.read.parquet(f"{path}/captured").filter("pos is not null")
+    return pages.select("pos", "url", "html", F.lit(None).cast("string").alias("error")).unionByName(
+        readers.read_errors(spark, f"{path}/errors").select(F.lit(None).cast("long").alias("pos"), "url", F.lit(None).cast("string").alias("html"), "error"))
+
+
+@query(f"""WITH {LOG} SELECT count(*) AS requests_total, count(*) FILTER (ok) AS requests_success,
+    count(*) FILTER (NOT ok) AS requests_failed, round(avg(elapsed), 4) AS avg_request_time,
+    min(elapsed) AS min_request_time, max(elapsed) AS max_request_time,
+    round(count(*) FILTER (ok) * 100.0 / count(*), 4) AS success_pct FROM log""")
+def stream_request_stats(spark, folder):
+    """Figures of a running query, added up by a listener."""
+    log = as_stream(spark, fetch_log(spark, folder).select("url", "ok", "elapsed", "ts"), "ok")
+    path, metrics = fresh_path(spark, "stream-metrics"), M.RequestMetrics()
+    spark.streams.addListener(metrics)
+    try:
+        metrics.wait_for(S.to_files(M.observed(log).select("url", "ts"), path, f"{path}-checkpoint"))
+    finally:
+        spark.streams.removeListener(metrics)
+    return M.as_frame(spark, metrics).withColumns({
+        "avg_request_time": F.round("avg_request_time", 4), "success_pct": F.round("success_pct", 4)})

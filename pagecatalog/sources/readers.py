@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pagecatalog import schemas
 from pagecatalog.defaults import CAPTURE_HOURS
 from pagecatalog.functions import split_text
+from pagecatalog.sources import json_arrays
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -64,15 +65,17 @@ def newest(captures: DataFrame, at: str = "fetched_at", also: DataFrame | None =
 def read_url_array(spark: SparkSession, path: str, array_per_line: bool = False) -> DataFrame:
     """JSON arrays of bare strings as ``(pos, url)``, one per file or one per line.
 
-    An array is one value in one task. Lists of any size live in Parquet, see
-    :func:`read_links`.
+    A file that is one array is read by as many tasks as it has splits, see
+    :mod:`pagecatalog.sources.json_arrays`; an array on a line is a value in one task.
     """
-    def read() -> DataFrame:
-        whole = spark.read.text(path, wholetext=not array_per_line)
-        urls = F.from_json("value", "array<string>")
-        return whole.select(F.posexplode(urls).alias("pos", "url")).withColumn("pos", F.col("pos").cast("long"))
+    def lines() -> DataFrame:
+        urls = spark.read.text(path).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "url"))
+        return urls.withColumn("pos", F.col("pos").cast("long"))
+
+    def files() -> DataFrame:
+        return json_arrays.strings(spark, path).select(F.col("pos").cast("long").alias("pos"), F.col("value").alias("url"))
 
-    return _or_empty(read, spark, schemas.LINK)
+    return _or_empty(lines if array_per_line else files, spark, schemas.LINK)
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
@@ -80,9 +83,15 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalog_json(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
-    """Catalogue as JSON Lines, or as one array of objects per file."""
-    reader = spark.read.schema(schemas.CATALOG).option("multiLine", array_file)
-    return _or_empty(lambda: reader.json(path), spark, schemas.CATALOG)
+    """Catalogue as JSON Lines, or as one array of objects per file, of any size."""
+    if not array_file:
+        return _or_empty(lambda: spark.read.schema(schemas.CATALOG).json(path), spark, schemas.CATALOG)
+
+    def read() -> DataFrame:
+        rows = json_arrays.elements(spark, path).select(F.from_json("element", schemas.CATALOG).alias("row"))
+        return rows.select("row.*")
+
+    return _or_empty(read, spark, schemas.CATALOG)
 
 
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:

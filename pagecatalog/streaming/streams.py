@@ -146,6 +146,33 @@ def pending_with_captures(frontier: DataFrame, attempted: DataFrame, captures: D
     return todo.join(captures, "url", "inner")
 
 
+def pending_as_captured(frontier: DataFrame, attempted: DataFrame, captures: DataFrame, wait: str, keep: str,
+                        late: str) -> DataFrame:
+    """Streamed frontier rows ``(pos, url, listed_at)`` that were never attempted, with captures
+    ``(url, html, fetched_at)`` that are streamed too, in whichever order they come.
+
+    A capture belongs to a row if it is at most ``keep`` older and ``wait`` younger. A row that
+    none came for by then is handed on without HTML; rows and captures are forgotten when their
+    time is over, ``late`` after the newest seen.
+    """
+    todo = frontier.withWatermark("listed_at", late).join(attempted.select("url").distinct(), "url", "left_anti")
+    pages = captures.select(F.col("url").alias("_url"), "html", "fetched_at").withWatermark("fetched_at", late)
+    on = F.expr(f"url = _url AND fetched_at >= listed_at - INTERVAL {keep} AND fetched_at <= listed_at + INTERVAL {wait}")
+    return todo.join(pages, on, "left_outer").select("pos", "url", "listed_at", "fetched_at", "html")
+
+
+def captured_sink(path: str, error: str = "no capture") -> BatchSink:
+    """Rows of :func:`pending_as_captured`: pages with HTML, and the error ledger for the others."""
+    def sink(df: DataFrame, batch_id: int) -> None:
+        with scratch(df.sparkSession):
+            rows = materialize(df, "captured")
+            rows.filter("html is not null").write.mode("overwrite").parquet(f"{path}/captured/batch_id={batch_id}")
+            missing = rows.filter("html is null").select("url", F.lit(error).alias("error"))
+            missing.write.mode("overwrite").parquet(f"{path}/errors/batch_id={batch_id}")
+
+    return sink
+
+
 def seen_once(urls: DataFrame, key: str, at: str, horizon: str) -> DataFrame:
     """Each key once within the horizon; state older than it is dropped, so a key that
     returns later counts as new."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pagecatalog.operators import progress as P
 from pagecatalog.session import fresh_path
 from pagecatalog.sources.keyed import KeyedTable
-from pagecatalog.streaming import retries as R, streams as S
+from pagecatalog.streaming import metrics as M, retries as R, streams as S
 
 
 def write(df, path):
@@ -85,6 +85,41 @@ def test_frontier_stream(spark, place):
     assert sorted(r.html for r in spark.read.parquet(f"{place}/out").collect()) == ["A", "D"]
 
 
+def test_captures_that_come_before_with_and_after_their_url(spark, place):
+    at = lambda df, name: df.withColumn(name, F.col(name).cast("timestamp"))
+    listed = [[("early", 1, "2024-01-01 10:00:00"), ("late", 2, "2024-01-01 10:00:00"), ("never", 3, "2024-01-01 10:00:00"), ("too late", 4, "2024-01-01 10:00:00"),
+               ("tried", 5, "2024-01-01 10:00:00")], [("end", 9, "2024-01-05 00:00:00")]]
+    stored = [[("early", "E", "2024-01-01 09:00:00"), ("tried", "T", "2024-01-01 10:00:00")],
+              [("late", "L", "2024-01-01 11:30:00"), ("too late", "X", "2024-01-01 13:00:00"), ("end", "", "2024-01-05 00:00:00")]]
+    for rows in listed:
+        write(at(spark.createDataFrame(rows, "url string, pos long, listed_at string"), "listed_at"), f"{place}/listed")
+    for rows in stored:
+        write(at(spark.createDataFrame(rows, "url string, html string, fetched_at string"), "fetched_at"), f"{place}/stored")
+    one, two = (S.read_stream(spark, f"{place}/{n}", spark.read.parquet(f"{place}/{n}").schema, files_per_batch=1) for n in ("listed", "stored"))
+    joined = S.pending_as_captured(one, urls(spark, "tried"), two, wait="2 hours", keep="24 hours", late="1 hour")
+    S.to_sink(joined, S.captured_sink(f"{place}/out"), f"{place}/cp").awaitTermination()
+    found = {r.url: r.html for r in spark.read.parquet(f"{place}/out/captured").collect()}
+    assert found == {"early": "E", "late": "L", "end": ""}
+    assert sorted(r.url for r in spark.read.parquet(f"{place}/out/errors").collect()) == ["never", "too late"]
+
+
+def test_metrics_of_a_running_query_equal_those_of_its_log(spark, place):
+    rows = [("a", True, 0.5), ("a", False, 1.5), ("b", True, None), ("c", False, 0.25), ("d", True, 3.0)]
+    for row in rows:
+        write(spark.createDataFrame([row], "url string, ok boolean, elapsed double"), f"{place}/in")
+    log = spark.read.parquet(f"{place}/in")
+    metrics = M.RequestMetrics()
+    assert metrics.stats().requests_total == 0 and metrics.stats().success_pct == 0.0
+    spark.streams.addListener(metrics)
+    try:
+        stream = S.read_stream(spark, f"{place}/in", log.schema, files_per_batch=2)
+        metrics.wait_for(S.to_files(M.observed(stream).select("url"), f"{place}/out", f"{place}/cp"))
+    finally:
+        spark.streams.removeListener(metrics)
+    assert metrics.stats() == P.request_stats(log).first() and len(metrics._batches) >= 3
+    assert M.as_frame(spark, metrics).first() == metrics.stats()
+
+
 def stamped(spark, *rows):
     return spark.createDataFrame(rows, "url string, ok boolean, error string, t string") \
         .select("url", "ok", "error", F.col("t").cast("timestamp").alias("ts"))
