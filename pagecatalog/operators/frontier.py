@@ -20,6 +20,14 @@ def merge_frontier(state: DataFrame, listed: DataFrame) -> DataFrame:
     return ordered.select("pos", "url")
 
 
+def new_links(state: DataFrame, listed: DataFrame) -> DataFrame:
+    """Listed URLs that the state lacks, in their order, with positions that go on after the
+    state's last. The state keeps its positions, and only what is new is sorted."""
+    last = state.agg(F.max("pos").alias("pos")).first()["pos"]
+    firsts = listed.groupBy("url").agg(F.min("pos").alias("was")).join(state.select("url"), "url", "left_anti")
+    return global_index(firsts, ["was", "url"], "pos", start=0 if last is None else last + 1).select("pos", "url")
+
+
 def pending(frontier: DataFrame, attempted: DataFrame, key: str = "url") -> DataFrame:
     """Frontier rows that were never attempted."""
     return frontier.join(attempted.select(key).distinct(), key, "left_anti")

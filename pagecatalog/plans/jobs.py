@@ -18,6 +18,7 @@ from pagecatalog.operators.elements import elements
 from pagecatalog.session import materialize, scratch
 from pagecatalog.sources import readers, writers
 from pagecatalog.sources.keyed import KeyedTable
+from pagecatalog.sources.state import read_state, write_state
 
 
 @dataclass(frozen=True)
@@ -261,20 +262,22 @@ def full(spark: SparkSession, start_urls: DataFrame, sources: Sources, site: Sit
 
     The caps count only when links are discovered here, not for a kept frontier.
     """
-    state, attempted = readers.read_state(spark, root)
+    state, attempted = read_state(spark, root)
     listed = readers.empty(spark, schemas.LINK) if listed is None else listed
-    merged = materialize(R.merge_frontier(state, listed), "frontier")
+    added = materialize(R.new_links(state, listed), "frontier-new")
 
     def discovered() -> DataFrame:
         groups = materialize(find_groups(start_urls, sources, site, max_groups), "groups")
         return R.first_n(find_links(groups, sources, site, max_pages), max_records, "pos")
 
-    frontier = materialize(R.frontier_or_discover(merged, discovered), "frontier")
+    if state.unionByName(added).isEmpty():
+        added = materialize(discovered(), "frontier-new")
+    frontier = state.unionByName(added)
     todo = materialize(R.pending(frontier, attempted), "pending")
     records = extract_records(todo, sources, site)
     children = materialize(extract_children(records, sources), "children")
     writers.write_catalog(save_catalog(catalog_rows(children), records, root), fmt, f"{root}/export")
-    writers.write_state(frontier, todo, root)
+    write_state(added, todo, root)
     return nested_records(with_image_paths(records, sources, site), children)
 
 

@@ -13,7 +13,7 @@ from pagecatalog.plans.enrich_queries import CATALOG_SQL, order_catalog, scalars
 from pagecatalog.plans.link_queries import ATTEMPTED, FRONTIER, LINKS, attempted, frontier, links
 from pagecatalog.plans.registry import query, table
 from pagecatalog.session import fresh_path, materialize, session_conf
-from pagecatalog.sources import readers, writers
+from pagecatalog.sources import readers, state, writers
 from pagecatalog.sources.committed import CommittedSink, read_committed
 
 PART = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType())])
@@ -131,10 +131,10 @@ def ensure_table(spark, folder):
 FROM frontier LEFT JOIN attempted USING (url)""")
 def state_roundtrip(spark, folder):
     root = fresh_path(spark, "state")
-    nothing, tried_none = readers.read_state(spark, root)
-    writers.write_state(nothing, tried_none, root)
-    writers.write_state(frontier(spark, folder), attempted(spark, folder), root)
-    urls, tried = readers.read_state(spark, root)
+    nothing, tried_none = state.read_state(spark, root)
+    state.write_state(nothing, tried_none, root)
+    state.write_state(frontier(spark, folder), attempted(spark, folder), root)
+    urls, tried = state.read_state(spark, root)
     flags = tried.select("url", F.lit(True).alias("seen"))
     return urls.join(flags, "url", "left").select("pos", "url", F.col("seen").isNotNull().alias("tried"))
 

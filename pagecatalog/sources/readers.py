@@ -135,13 +135,6 @@ def current_version(spark: SparkSession, root: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).parquet(path) if path else empty(spark, schema)
 
 
-def read_state(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """``(frontier, attempted)``, empty where there is no state yet."""
-    frontier = current_version(spark, f"{root}/frontier", schemas.LINK)
-    attempted = read_table_files(spark, f"{root}/attempted", schemas.ATTEMPTED)
-    return frontier, attempted.distinct()
-
-
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return read_table_files(spark, path, schemas.PROGRESS, parts=True)
 

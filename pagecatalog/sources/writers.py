@@ -181,12 +181,6 @@ def write_links(links: DataFrame, path: str) -> None:
     links.select(F.col("pos").cast("long").alias("pos"), "url").write.mode("overwrite").parquet(path)
 
 
-def write_state(frontier: DataFrame, attempted: DataFrame, root: str) -> None:
-    """A new frontier version; attempted URLs are only ever added."""
-    publish(frontier.select(F.col("pos").cast("long").alias("pos"), "url"), f"{root}/frontier")
-    attempted.select("url").write.mode("append").parquet(f"{root}/attempted")
-
-
 def write_progress(progress: DataFrame, path: str, part: str | None = None) -> None:
     """Append progress records; a named part replaces what it held, so a rerun adds nothing."""
     rows = progress.select(*schemas.PROGRESS.fieldNames())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagecatalog import schemas
 from pagecatalog.plans import jobs
 from pagecatalog.session import fresh_path, session_conf
-from pagecatalog.sources import readers, writers
+from pagecatalog.sources import readers, state, writers
 
 BASE = "http://site.example"
 
@@ -156,7 +156,7 @@ def test_full_run(spark, sources, root):
     assert records["/G-1/Y"].children == [] and records["/G-1/Y"].combinations == ["plain"]
     plain = records["/G-2/plain"]
     assert (plain.english_name, plain.persian_name, plain.manufacturer, plain.combinations) == (None, None, "", [])
-    frontier, attempted = readers.read_state(spark, root)
+    frontier, attempted = state.read_state(spark, root)
     assert paths(frontier) == LINKS
     assert attempted.count() == len(LINKS)  # the missing page was tried too
     # nothing is left, so the next run returns nothing and keeps the catalogue
@@ -168,7 +168,7 @@ def test_full_run_from_a_list_does_not_discover(spark, sources, root):
     listed = spark.createDataFrame([(0, BASE + "/G-2/X"), (1, BASE + "/G-2/gone")], schemas.LINK)
     done = jobs.full(spark, start(spark), sources, SITE, root, listed=listed, max_records=1)
     assert [r.url for r in done.collect()] == [BASE + "/G-2/X"]
-    assert paths(readers.read_state(spark, root)[0]) == ["/G-2/X", "/G-2/gone"]
+    assert paths(state.read_state(spark, root)[0]) == ["/G-2/X", "/G-2/gone"]
 
 
 def test_caps_of_a_full_run(spark, sources, root):

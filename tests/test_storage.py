@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagecatalog import schemas
-from pagecatalog.session import fresh_path, shared_dir
-from pagecatalog.sources import readers, writers
+from pagecatalog.operators import frontier as R
+from pagecatalog.session import fresh_path, session_conf, shared_dir
+from pagecatalog.sources import readers, state, writers
 
 ROWS = [
     ("1", "Sample", "نمونه", "http://a/1", 'quote " and, comma', "line\nbreak", " spaced ", "http://a/b", ["u1", "u2"]),
@@ -68,7 +69,7 @@ def test_what_is_missing_reads_as_empty(spark):
     for df in (readers.read_captures(spark, nowhere), readers.read_url_array(spark, nowhere), readers.read_links(spark, nowhere),
                readers.read_catalog_json(spark, nowhere), readers.read_catalog_csv(spark, nowhere),
                readers.read_catalog_table(spark, "no_such_table"), readers.read_progress(spark, nowhere),
-               readers.read_errors(spark, nowhere), *readers.read_state(spark, nowhere)):
+               readers.read_errors(spark, nowhere), *state.read_state(spark, nowhere)):
         assert df.count() == 0
 
 
@@ -107,12 +108,35 @@ def test_a_table_may_be_replaced_from_itself(spark, catalog):
 def test_state(spark):
     root = fresh_path(spark, "t")
     urls = spark.createDataFrame([(0, "a"), (1, "b")], "pos long, url string")
-    writers.write_state(urls, urls.filter("url = 'a'"), root)
-    writers.write_state(urls, urls, root)
-    frontier, attempted = readers.read_state(spark, root)
+    state.write_state(urls, urls.filter("url = 'a'"), root)
+    state.write_state(urls, urls, root)
+    frontier, attempted = state.read_state(spark, root)
     assert rows(frontier) == [(0, "a"), (1, "b")] and rows(attempted) == [("a",), ("b",)]
 
 
+def test_new_links_go_on_after_the_state(spark):
+    schema = "pos long, url string"
+    held = spark.createDataFrame([(i, f"u{i}") for i in range(500)], schema)
+    listed = spark.createDataFrame([(3, "new b"), (1, "new a"), (0, "u7"), (2, "new a"), (9, None)], schema)
+    added = R.new_links(held, listed)
+    assert sorted(map(tuple, added.collect())) == [(500, "new a"), (501, "new b"), (502, None)]
+    merged = R.merge_frontier(held, listed).collect()
+    assert sorted(map(tuple, merged)) == sorted(map(tuple, held.union(added).collect()))
+    assert sorted(map(tuple, R.new_links(held.filter("false"), listed).collect()))[0] == (0, "u7")
+
+
+def test_attempted_urls_are_not_shuffled(spark):
+    root = fresh_path(spark, "t")
+    links = spark.range(400).selectExpr("id pos", "concat('u', id) url")
+    for low in (0, 100):  # two runs
+        state.write_state(links.filter("false"), links.filter(f"pos >= {low} and pos < {low + 150}").select("url"), root, buckets=8)
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__enabled=False):
+        todo = R.pending(links, state.read_state(spark, root)[1])
+        plan = todo._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "LeftAnti" in plan  # the links alone
+        assert sorted(r.pos for r in todo.collect()) == list(range(250, 400))
+
+
 def test_errors_are_written_only_if_there_are_any(spark):
     path = fresh_path(spark, "t")
     errors = spark.createDataFrame([("a", "e")], schemas.ERROR)
