@@ -94,7 +94,7 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_syncmers(spark: SparkSession, folder: str) -> DataFrame:
-    found = syncmers.compare(documents(spark, folder), slices=2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = syncmers.compare(documents(spark, folder))
     return found.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         syncmers.as_text(F.col("sketch")).alias("fingerprint"), syncmers.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),

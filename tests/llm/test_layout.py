@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
+import xxhash
 from oracle import connect, differences
 
 from pagecatalog.llm import mixing, queries, sharding, syncmers
@@ -40,15 +42,98 @@ def test_edited_texts(spark):
     assert alone[0].edited == "one one"
 
 
+def hashed(*values):
+    """Spark's xxhash64 of a row of numbers, or of one text."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (2**64 - 1)).to_bytes(8, "little"), seed=seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def plain_anchors(text):
+    letters = [hashed(x) for x in re.findall(syncmers.LETTER, text or "")]
+    k, s = syncmers.K, syncmers.S
+    packed = lambda h, place: ((h & (2**64 - 1)) >> 34) * 2**33 + place
+    if len(letters) < k:
+        return [packed(hashed(*letters), 0)] if letters else []
+    smers = [hashed(*letters[i:i + s]) for i in range(len(letters) - s + 1)]
+    out = []
+    for i in range(len(letters) - k + 1):
+        window = smers[i:i + k - s + 1]
+        if min(window) in (window[0], window[-1]):
+            out.append(packed(hashed(smers[i], smers[i + s], smers[i + k - s]), i))
+    return out
+
+
+def plain_sketch(text):
+    first = {}
+    for x in sorted(plain_anchors(text)):
+        first.setdefault(x >> 33, x)
+    found = sorted(first.values())
+    return found[:max(syncmers.LEAST, -(-len(found) // syncmers.SHARE))]
+
+
+def plain_likeness(a, b):
+    top = [x[-1] >> 33 if len(x) >= syncmers.LEAST else 2**40 for x in (a, b)]
+    a, b = ({x >> 33: x % 2**32 for x in y if x >> 33 <= min(top)} for y in (a, b))
+    if not a and not b:
+        return 1.0
+    offsets = [p - q for p, q in sorted((a[h], b[h]) for h in a.keys() & b.keys())]
+    if len(offsets) == 1:
+        return 2 / (len(a) + len(b))
+    return 2 * sum(o in offsets[max(0, i - 1):i] + offsets[i + 1:i + 2] for i, o in enumerate(offsets)) / (len(a) + len(b))
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("bcdfgstrn") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+CHINESE = "".join(chr(0x4E00 + (i * i * 31 + i * 7) % 2999) for i in range(4000))
+SHARED = prose(77, 100)
+SYNC_TEXTS = [None, "", "  ", "xkcd", "a b c", prose(1, 30), prose(1, 30), prose(1, 500) + " new " + prose(2, 500), prose(1, 500) + " " + prose(3, 500), CHINESE, "的" + CHINESE,
+              "x" * 5000, "x" * 5000 + "y", "ab" * 3000, "éa\x00b\t😀 [q]^_`{z}~ 12,345 QWRTY", prose(8, 20_000) + " " + SHARED, SHARED + " " + prose(9, 20_000), prose(1, 8) * 40]
+
+
+def test_syncmers_equal_a_plain_version(spark):
+    docs = spark.createDataFrame(list(enumerate(SYNC_TEXTS)), "doc_id int, text string")
+    rows = docs.select("doc_id", syncmers.anchors(F.coalesce("text", F.lit(""))).alias("a"), syncmers.sketch(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    for r in rows:
+        assert list(r.a) == plain_anchors(SYNC_TEXTS[r.doc_id]) and list(r.s) == plain_sketch(SYNC_TEXTS[r.doc_id])
+    sketches = docs.select("doc_id", syncmers.sketch(F.coalesce("text", F.lit(""))).alias("s"))
+    pairs = sketches.alias("a").join(sketches.alias("b"), F.col("a.doc_id") <= F.col("b.doc_id"))
+    known = {r.doc_id: list(r.s) for r in rows}
+    like = {}
+    for one, two, value in pairs.select("a.doc_id", "b.doc_id", syncmers.likeness(F.col("a.s"), F.col("b.s"))).collect():
+        assert abs(value - plain_likeness(known[one], known[two])) < 1e-12
+        like[one, two] = value
+    assert all(like[i, i] == 1.0 for i in range(len(SYNC_TEXTS))) and like[5, 6] == 1.0
+    assert 0.3 < like[7, 8] < 0.7
+    assert like[9, 10] > 0.9  # moved by one character, without a blank
+    assert 0 < like[15, 16] < 0.05  # 100 words of 20,000, elsewhere in each
+
+
 def test_syncmers_are_context_free_and_closed(spark):
-    passage = " ".join(f"p{i * i % 97}" for i in range(200))
+    passage = prose(11, 200)
     rows = [(1, "a b c " + passage, "s"), (2, "completely other start of it " + passage + " and end", "s")]
-    found = frame(spark, rows).select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()
-    one, two = ({(x.position - shift, x.hash) for x in r.a} for r, shift in zip(sorted(found, key=lambda r: r.doc_id), (3, 5)))
-    inside = {x for x in one if 0 <= x[0] <= 200 - syncmers.K}
-    assert inside == {x for x in two if 0 <= x[0] <= 200 - syncmers.K} and len(inside) > 40
-    places = sorted(p for p, _ in inside)
-    assert 0.25 < len(places) / 195 < 0.55 and max(b - a for a, b in zip(places, places[1:])) < 20
+    found = {r.doc_id: r.a for r in frame(spark, rows).select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()}
+    letters = [len(re.findall(syncmers.LETTER, t)) for t in ("a b c ", "completely other start of it ", passage)]
+    one, two = ({(x % 2**32 - shift, x >> 33) for x in found[i]} for i, shift in ((1, letters[0]), (2, letters[1])))
+    inside = {x for x in one if 0 <= x[0] <= letters[2] - syncmers.K}
+    assert inside == {x for x in two if 0 <= x[0] <= letters[2] - syncmers.K} and len(inside) > 40
+    assert 0.2 < len(inside) / letters[2] < 0.5
+
+
+def test_hot_ids_are_split(spark):
+    rows = [(None, f"null {i}", "s") for i in range(2000)] + [(7, f"seven {i}", "s") for i in range(1500)] + [(i, f"own {i}", "s") for i in range(100)]
+    docs = frame(spark, rows)
+    got = syncmers.next_documents(docs, slices=20)
+    largest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 900
+    said = lambda t: (hashed(t) & (2**64 - 1)) >> 1
+    order = sorted(((i, t) for i, t, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), said(r[1]), r[1]))
+    want = {(r, s[1]) for r, s in zip(order, order[1:] + order[:1])}
+    assert {((r.doc_id, r.text), r.next_text) for r in got.collect()} == want
 
 
 def test_fingerprint_query(spark):
