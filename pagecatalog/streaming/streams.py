@@ -126,7 +126,7 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, key: list[str]
     if upto is None:
         return table.version()
     with scratch(spark):
-        new = materialize(latest(changes.filter(F.col("batch_id") <= upto), key, [F.desc(seq), F.desc("batch_id")]).drop("batch_id"), "changed")
+        new = latest(changes.filter(F.col("batch_id") <= upto), key, [F.desc(seq), F.desc("batch_id")]).drop("batch_id")
         changed = new.select(*[F.col(k).alias(f"_{k}") for k in key])
         base = table.read()
         met = base.join(changed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left_semi")

@@ -70,7 +70,8 @@ def test_an_outgrown_bucket_is_rewritten_alone(spark, table):
     one = [s.bucket for s in table.manifest()[1]][0]
     inside = table.read().withColumn("b", table._bucket_of(8)).filter(f"b = {one}").drop("b").collect()
     table.save(frame(spark, [(r.url, -1, "y") for r in inside]))
-    table.save(frame(spark, [(r.url, -2, "z") for r in inside]))  # more than the first set by now
+    assert [s.seq for s in table.manifest()[1] if s.bucket == one] == [1, 2]  # as large as the first set by now
+    table.save(frame(spark, [(r.url, -2, "z") for r in inside]))
     sets = table.manifest()[1]
     assert [s.seq for s in sets if s.bucket == one] == [3] and {s.seq for s in sets if s.bucket != one} == {1}
     assert table.read().filter("n = -2").count() == len(inside) and table.read().count() == 400
