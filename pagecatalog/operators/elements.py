@@ -70,7 +70,11 @@ class _Pages:
 
     def __init__(self):
         self.texts: list[list[str]] = []
-        self.names: list[list[str]] = []
+        self.names: list[str] = []  # tags, .classes and #ids of a page
+        self.name_ends = [0]
+        self.places: list[int] = []  # of each name, the elements that have it
+        self.place_ends = [0]
+        self._at: dict[str, list[int]] = defaultdict(list)
         self.page_ends = [0]
         self.ord: list[int] = []
         self.last_ord: list[int] = []
@@ -88,7 +92,7 @@ class _Pages:
         """Flatten one page: elements in document order, each closed where the standard
         implies it or at the nearest end tag of its name."""
         base = len(self.tag)
-        first_class = len(self.classes)
+        self._at.clear()
         text: list[str] = []
         length = 0
         hidden = 0
@@ -150,15 +154,18 @@ class _Pages:
         whole = "".join(text)
         self.texts.append([whole[i:i + TEXT_PIECE] for i in range(0, length, TEXT_PIECE)])
         self.page_ends.append(len(tags))
-        self.names.append([
-            *set(tags[base:]), *{f".{c}" for c in self.classes[first_class:]},
-            *{f"#{i}" for i in self.elem_id[base:] if i is not None}])
+        for name, numbers in self._at.items():
+            self.names.append(name)
+            self.places += numbers
+            self.place_ends.append(len(self.places))
+        self.name_ends.append(len(self.names))
 
     def _start(self, tag: str, attributes: str, base: int, length: int) -> None:
         number = len(self.tag) - base
         self.ord.append(number)
         self.last_ord.append(number)
         self.tag.append(tag)
+        self._at[tag].append(number)
         elem_id = None
         seen = set()
         if attributes:
@@ -173,8 +180,12 @@ class _Pages:
                 self.attr_values.append(value)
                 if name == "id":
                     elem_id = value
+                    self._at["#" + value].append(number)
                 elif name == "class":
-                    self.classes.extend(value.split())
+                    classes = value.split()
+                    self.classes.extend(classes)
+                    for one in dict.fromkeys(classes):
+                        self._at["." + one].append(number)
         self.elem_id.append(elem_id)
         self.class_ends.append(len(self.classes))
         self.attr_ends.append(len(self.attr_names))
@@ -197,8 +208,9 @@ class _Pages:
             "text_from": ints(self.text_from), "text_len": ints(self.text_len),
         }
         rows = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
-        return (pa.array(self.texts, pa.list_(pa.string())), pa.array(self.names, pa.list_(pa.string())),
-                pa.ListArray.from_arrays(ints(self.page_ends), rows))
+        places = pa.ListArray.from_arrays(ints(self.place_ends), ints(self.places))
+        return (pa.array(self.texts, pa.list_(pa.string())), pa.ListArray.from_arrays(ints(self.name_ends), strings(self.names)),
+                pa.ListArray.from_arrays(ints(self.name_ends), places), pa.ListArray.from_arrays(ints(self.page_ends), rows))
 
 
 _PAGES_PER_OUTPUT = 200
@@ -212,20 +224,23 @@ def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for html in part.column(part.num_columns - 1).to_pylist():
                 pages.add(html)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], *pages.arrow()], names=[*part.schema.names[:-1], "text_pieces", "names", "elements"])
+                [*part.columns[:-1], *pages.arrow()], names=[*part.schema.names[:-1], "text_pieces", "names", "places", "elements"])
 
 
 def elements(captures: DataFrame, keep: Sequence[str] = ("url",), html: str = "html") -> DataFrame:
-    """``keep`` columns, ``text_pieces``, ``names`` and ``elements`` of every capture with HTML.
+    """``keep`` columns, ``text_pieces``, ``names``, ``places`` and ``elements`` of every capture
+    with HTML.
 
-    ``names`` are the tags, ``.classes`` and ``#ids`` that occur on the page; most
-    selectors fail on those alone. The HTML itself is dropped here, as early as can be.
+    ``names`` are the tags, ``.classes`` and ``#ids`` that occur on the page, and ``places`` the
+    numbers of the elements that have each: a selector looks at these elements alone. The HTML
+    itself is dropped here, as early as can be.
     """
     source = captures.filter(F.col(html).isNotNull()).select(*keep, html)
     schema = T.StructType([
         *[source.schema[k] for k in keep],
         T.StructField("text_pieces", T.ArrayType(T.StringType())),
         T.StructField("names", T.ArrayType(T.StringType())),
+        T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType()))),
         T.StructField("elements", T.ArrayType(ELEMENT)),
     ])
     return source.mapInArrow(_flatten_batches, schema)

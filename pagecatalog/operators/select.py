@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -41,16 +42,37 @@ def _all_of(conditions: list[Callable[[Column], Column]]) -> Callable[[Column],
     return lambda e: reduce(lambda test, c: test & c(e), conditions[1:], conditions[0](e))
 
 
-def _steps(selector: str) -> tuple[list[Callable[[Column], Column]], list[str]]:
-    """One predicate per step of the descendant chain, and the names all steps need."""
+@dataclass(frozen=True)
+class _Step:
+    """One link of the descendant chain: a name that its elements have, if it has one, and what else holds."""
+
+    name: str | None
+    others: list[Callable[[Column], Column]]
+
+    def numbers(self) -> Column:
+        """Numbers of the elements that this step accepts, in document order."""
+        if self.name is None:
+            return F.transform(F.filter("elements", _all_of(self.others)), lambda e: e["ord"])
+        at = F.array_position("names", self.name).cast("int") - 1
+        named = F.coalesce(F.get("places", at), F.array().cast("array<int>"))
+        if not self.others:
+            return named
+        return F.filter(named, lambda n: _all_of(self.others)(F.get("elements", n)))
+
+
+def _steps(selector: str) -> tuple[list[_Step], list[str]]:
+    """The steps of a selector, and the names that all of them need."""
     steps, names = [], []
     # spaces inside an attribute value do not separate steps
     for text in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", selector):
         parts = list(_PART.finditer(text))
         if "".join(p.group(0) for p in parts) != text:
             raise ValueError(f"unsupported selector: {selector!r}")
-        steps.append(_all_of([_condition(p) for p in parts]))
-        names += [p.group(0).lower() if p["tag"] else p.group(0) for p in parts if not p["attr"]]
+        named = {p.group(0).lower() if p["tag"] else p.group(0): p for p in parts if not p["attr"]}
+        # an id is rarer than a class, a class than a tag
+        name = min(named, key=lambda n: (n[0] != "#", n[0] != "."), default=None)
+        steps.append(_Step(name, [_condition(p) for p in parts if p is not named.get(name)]))
+        names += named
     if not steps:
         raise ValueError("empty selector")
     return steps, names
@@ -85,20 +107,22 @@ def _outermost(scopes: Column) -> Column:
             p, F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(-1)))))))
 
 
-def _below(outer: Column, step: Callable[[Column], Column]) -> Column:
-    """Elements that ``step`` accepts and that lie below one of ``outer``, in document order.
+def _below(outer: Column, step: _Step) -> Column:
+    """Numbers of the elements that ``step`` accepts and that lie below one of ``outer``.
 
-    An element's number is its place in the array; numbers below the outermost scopes and
-    numbers of accepted elements are intersected, which is linear in the page.
+    Numbers below the outermost scopes and numbers of accepted elements are intersected,
+    which is linear in the page.
     """
-    def numbers(scopes: Column) -> Column:
+    def below(scopes: Column) -> Column:
         return F.flatten(F.transform(_outermost(scopes), lambda s: F.when(
             s["last_ord"] > s["ord"], F.sequence(s["ord"] + 1, s["last_ord"])).otherwise(F.array().cast("array<int>"))))
 
-    accepted = F.transform(F.filter("elements", step), lambda e: e["ord"])
-    none = F.filter("elements", lambda e: F.lit(False))
-    return bind(outer, lambda scopes: F.when(F.size(scopes) > 0, F.transform(
-        F.array_intersect(accepted, numbers(scopes)), lambda n: F.get("elements", n))).otherwise(none))
+    def of(numbers: Column, accepted: Column) -> Column:
+        none = F.array().cast("array<int>")
+        scopes = F.transform(numbers, lambda n: F.get("elements", n))
+        return F.when((F.size(numbers) > 0) & (F.size(accepted) > 0), F.array_intersect(accepted, below(scopes))).otherwise(none)
+
+    return bind(outer, lambda numbers: bind(step.numbers(), lambda accepted: of(numbers, accepted)))
 
 
 def matches(selector: str) -> Column:
@@ -107,7 +131,7 @@ def matches(selector: str) -> Column:
     NULL, without a look at the elements, where the page lacks a name the selector needs.
     """
     (outermost, *inner), names = _steps(selector)
-    found = reduce(_below, inner, F.filter("elements", outermost))
+    found = F.transform(reduce(_below, inner, outermost.numbers()), lambda n: F.get("elements", n))
     if not names:
         return found
     possible = reduce(lambda a, b: a & b, [F.array_contains("names", n) for n in dict.fromkeys(names)])
