@@ -150,14 +150,26 @@ def seed_rows(rows: DataFrame, window: int, k: int) -> DataFrame:
 def extended_windows(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """Of each wanted seed, its windows, each with a hash of all its words; equal windows hold
     the seed at the same place, so that is all there is to compare."""
+    def frame(parts: list[tuple]) -> pd.DataFrame:
+        n = [len(p[2]) for p in parts]
+        at, one, two = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+        return pd.DataFrame({"doc_id": np.repeat([p[0] for p in parts], n), "th": np.repeat([p[1] for p in parts], n),
+                             "span": as_span(at, at), "one": mixed(one).view(np.int64), "two": mixed(two).view(np.int64)})
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[tuple] = []
+        size = 0
         for batch in batches:
             for doc_id, th, text, spans in zip(*(batch[c] for c in (*ROW, "text", "spans"))):
                 words = word_hashes(text)
                 at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in map(of_span, map(int, spans))]))
-                one, two = gram_hashes(words, window)[at], gram_hashes(words, window, _M2)[at]
-                yield pd.DataFrame({"doc_id": doc_id, "th": th, "span": as_span(at, at),
-                                    "one": mixed(one).view(np.int64), "two": mixed(two).view(np.int64)})
+                parts.append((doc_id, th, at, gram_hashes(words, window)[at], gram_hashes(words, window, _M2)[at]))
+                size += len(at)
+                if size >= 200_000:
+                    yield frame(parts)
+                    parts, size = [], 0
+        if parts:
+            yield frame(parts)
 
     spans = wanted.groupBy(*ROW).agg(F.collect_set("span").alias("spans"))
     return rows.select(*ROW, "text").join(spans, list(ROW)).mapInPandas(

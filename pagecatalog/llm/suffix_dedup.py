@@ -119,13 +119,6 @@ def repeated_starts(stretches: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(found[b:b + s]) for b, s in zip(begin, sizes)]
 
 
-def as_runs(places: np.ndarray) -> list[tuple[int, int]]:
-    if not len(places):
-        return []
-    cut = np.flatnonzero(np.diff(places) > 1)
-    return list(zip(places[np.append(0, cut + 1)].tolist(), places[np.append(cut, len(places) - 1)].tolist()))
-
-
 def seeds_of(raw: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
     grams = gram_hashes(_BYTE[np.frombuffer(raw, np.uint8)], k)
     place, first, last = anchors(grams, length - k + 1)
@@ -151,17 +144,27 @@ def seed_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
 
 def stretches_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted stretches as bytes; of crowded seeds, a digest of each string instead."""
+    names = ["seed", "crowded", "first", "body", "rid", "th"]
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
             for rid, th, text, runs in zip(batch["rid"], batch["th"], batch["text"], batch["runs"]):
-                raw, out = text.encode("utf-8", "surrogatepass"), []
+                raw = text.encode("utf-8", "surrogatepass")
                 for r in runs:
                     (first, last), seed = of_span(int(r["span"])), r["seed"]
                     if r["crowded"]:
-                        out += [(seed, True, i, xxhash.xxh3_128_digest(raw[i:i + length])) for i in range(first, last + 1)]
+                        out += [(seed, True, i, xxhash.xxh3_128_digest(raw[i:i + length]), rid, th) for i in range(first, last + 1)]
+                        size += 32 * (last + 1 - first)
                     else:
-                        out.append((seed, False, first, raw[first:last + length]))
-                yield pd.DataFrame(out, columns=["seed", "crowded", "first", "body"]).assign(rid=rid, th=th)
+                        out.append((seed, False, first, raw[first:last + length], rid, th))
+                        size += last + length - first
+                if size >= 4 * _BLOCK:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     runs = wanted.groupBy("rid", "th").agg(F.collect_set(F.struct("span", "seed", "crowded")).alias("runs"))
     return rows.select("rid", "th", "text").join(runs, ["rid", "th"]).mapInPandas(
@@ -170,26 +173,28 @@ def stretches_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def expanded(stretches: DataFrame, length: int) -> DataFrame:
     """``(rid, th, span)``: runs of strings that repeat among the stretches of a seed."""
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solved(part: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for rid, th, first, places in zip(part["rid"], part["th"], part["first"], repeated_starts(list(part["body"]), length)):
-                out += [(rid, th, first + a, first + b) for a, b in as_runs(places)]
-            found = pd.DataFrame(out, columns=["rid", "th", "first", "last"], dtype=np.int64)
-            return found[["rid", "th"]].assign(span=as_span(found["first"].to_numpy(), found["last"].to_numpy()))
+    def solved(rows: list[tuple]) -> pd.DataFrame:
+        ids, spans = [], []
+        for (_, rid, th, first, _), places in zip(rows, repeated_starts([r[4] for r in rows], length)):
+            if len(places):
+                cut = np.flatnonzero(np.diff(places) > 1)
+                spans.append(as_span(first + places[np.append(0, cut + 1)], first + places[np.append(cut, len(places) - 1)]))
+                ids += [(rid, th)] * len(spans[-1])
+        found = pd.DataFrame(ids, columns=["rid", "th"], dtype=np.int64)
+        return found.assign(span=np.concatenate(spans) if spans else np.zeros(0, np.int64))
 
-        held: list[pd.DataFrame] = []
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         size = 0
         for batch in batches:  # the stretches of a seed are neighbours
-            for _, group in batch.groupby((batch["seed"] != batch["seed"].shift()).cumsum(), sort=False):
-                seed = group["seed"].iloc[0]
-                if size >= _BLOCK and held[-1]["seed"].iloc[0] != seed:
-                    yield solved(pd.concat(held, ignore_index=True))
+            for row in zip(*(batch[c].tolist() for c in ("seed", "rid", "th", "first", "body"))):
+                if size >= _BLOCK and held[-1][0] != row[0]:
+                    yield solved(held)
                     held, size = [], 0
-                held.append(group)
-                size += int(group["body"].map(len).sum())
+                held.append(row)
+                size += len(row[4])
         if held:
-            yield solved(pd.concat(held, ignore_index=True))
+            yield solved(held)
 
     return (stretches.filter("not crowded").select("seed", "rid", "th", "first", "body")
             .repartition("seed").sortWithinPartitions("seed")
