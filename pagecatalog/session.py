@@ -80,6 +80,13 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, sorted; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
 def move_path(spark: SparkSession, path: str, to: str) -> bool:
     """Rename a file or folder; False if there is none, or ``to`` exists."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
