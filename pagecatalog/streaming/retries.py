@@ -96,7 +96,8 @@ def retry_standing(log: DataFrame, horizon: str, late: str, max_attempts: int =
 
     Rows later than ``late`` are dropped; both times are intervals such as ``"2 hours"``.
     """
-    seconds = log.sparkSession.sql(f"SELECT unix_micros(timestamp '1970-01-01 00:00:00' + interval {horizon}) / 1e6").first()[0]
+    start = "timestamp '2000-01-01 00:00:00'"  # in whatever zone the session has
+    seconds = log.sparkSession.sql(f"SELECT (unix_micros({start} + interval {horizon}) - unix_micros({start})) / 1e6").first()[0]
     rows = log.withWatermark("ts", late).select("url", "ok", "error", F.unix_micros("ts").alias("at_us"), "ts")
     return rows.groupBy("url").transformWithStateInPandas(
         statefulProcessor=RetryStanding(max_attempts, delay, float(seconds)), outputStructType=_OUT,
