@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagecatalog import defaults as D
 from pagecatalog.functions.ordering import first_n_within, rank_within
 from pagecatalog.operators.frontier import first_n
+from pagecatalog.session import materialize
+
+#: Children of one parent that one task may sort; those of larger parents are spread over slices.
+TASK_CHILDREN = 1_000_000
+
 
 def child_page_join(links: DataFrame, captures: DataFrame, link: str, url: str = "url") -> DataFrame:
     """Child links with their captures; links without a capture drop out.
@@ -28,15 +33,10 @@ def nest_children(parents: DataFrame, children: DataFrame, key: str, order: Sequ
     is for children that something else bounds already, as a page bounds its links.
     """
     if part_size is None:
-        numbered = children.withColumn("part", F.lit(0))
-        sort_by = F.struct(*order)
+        nested = _collected(children.withColumn("part", F.lit(0)), key, F.struct(*order), fields, name)
     else:
         columns = dict.fromkeys([key, *order, *fields])
-        ranked = rank_within(children.select(*columns), [key], order, "_nth")
-        numbered = ranked.withColumn("part", F.floor((F.col("_nth") - 1) / part_size).cast("int"))
-        sort_by = F.col("_nth")
-    rows = F.sort_array(F.collect_list(F.struct(sort_by.alias("at"), F.struct(*fields).alias("item"))))
-    nested = numbered.groupBy(key, "part").agg(F.transform(rows, lambda r: r["item"]).alias(name))
+        nested = _in_parts(children.select(*columns).filter(F.col(key).isNotNull()), key, order, fields, part_size, name)
     empty = F.array().cast(nested.schema[name].dataType)
     # nested rows are large: never broadcast them
     return parents.join(nested.hint("merge"), key, "left").select(
@@ -45,6 +45,27 @@ def nest_children(parents: DataFrame, children: DataFrame, key: str, order: Sequ
         F.coalesce(name, empty).alias(name))
 
 
+def _in_parts(children: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], part_size: int, name: str) -> DataFrame:
+    """Children dealt out by key once; numbering, nesting and the join to the parents follow where
+    they then lie. A key with more than ``TASK_CHILDREN`` is numbered in slices instead, and
+    there are few of these: at most one in as many rows."""
+    def parts(ranked: DataFrame) -> DataFrame:
+        numbered = ranked.withColumn("part", F.floor((F.col("_nth") - 1) / part_size).cast("int"))
+        return _collected(numbered, key, F.col("_nth"), fields, name)
+
+    large = materialize(children.groupBy(key).count().filter(F.col("count") > TASK_CHILDREN).select(key), "large-parents")
+    few = children if large.isEmpty() else children.join(large, key, "left_anti")
+    nested = parts(few.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))))
+    if large.isEmpty():
+        return nested
+    return nested.unionByName(parts(rank_within(children.join(large, key, "left_semi"), [key], order, "_nth")))
+
+
+def _collected(numbered: DataFrame, key: str, at: Column, fields: Sequence[str], name: str) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct(at.alias("at"), F.struct(*fields).alias("item"))))
+    return numbered.groupBy(key, "part").agg(F.transform(rows, lambda r: r["item"]).alias(name))
+
+
 def rebuild_nested(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, order: Sequence[str],
                    fields: Sequence[str], part_size: int | None, name: str = "children") -> DataFrame:
     """Nested records from a parent table and a child table kept apart."""

@@ -87,6 +87,24 @@ def test_nesting_keeps_every_child_in_order(family, limit):
     assert len(rows) == (9 if limit == 4 else 3)
 
 
+@pytest.mark.parametrize("largest", [1_000_000, 10])
+def test_nesting_large_parents_and_null_keys(spark, family, monkeypatch, largest):
+    monkeypatch.setattr(E, "TASK_CHILDREN", largest)
+    parents, children = family
+    lost = children.limit(1).withColumn("id", F.lit(None).cast("string"))
+    nested = E.nest_children(parents, children.unionByName(lost), "id", ["pos"], FIELDS, 4).orderBy("id", "part").collect()
+    assert [(r.id, r.part, [c.url for c in r.children]) for r in nested] == [
+        *(("p1", i, [f"c{j}" for j in range(4 * i, min(25, 4 * i + 4))]) for i in range(7)), ("p2", 0, ["only"]), ("p3", 0, [])]
+
+
+def test_nesting_deals_children_out_once(family):
+    """One exchange of the children and one of the parents, nothing written in between."""
+    parents, children = family
+    nested = E.nest_children(parents, children, "id", ["pos"], FIELDS, 4)
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "FileScan" not in plan
+
+
 def test_flatten_of_nested_gives_the_children_back(family):
     parents, children = family
     flat = C.flatten_children(E.nest_children(parents, children, "id", ["pos"], FIELDS, 4))
