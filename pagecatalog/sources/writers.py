@@ -17,17 +17,21 @@ from pagecatalog.sources import readers
 
 log = logging.getLogger(__name__)
 
+#: Names repeat in every row of JSON and addresses in every row of both text formats: plain files are
+#: many times the size. Readers know the codec by the files' suffix.
+TEXT_COMPRESSION = "gzip"
+
 
 def write_catalog_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON Lines, UTF-8, arrays kept; NULLs are written so that every row has all fields."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    df.write.mode(mode).options(ignoreNullFields=False, compression=TEXT_COMPRESSION).json(path)
 
 
 def write_catalog_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header; arrays as ``'; '``-joined text, NULL and empty as nothing."""
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     df.withColumns({c: join_array(F.col(c)) for c in arrays}).write.mode(mode).options(
-        header=True, quote='"', escape='"', emptyValue="", nullValue="", encoding="UTF-8",
+        header=True, quote='"', escape='"', emptyValue="", nullValue="", encoding="UTF-8", compression=TEXT_COMPRESSION,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 

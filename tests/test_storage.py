@@ -25,6 +25,19 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_text_formats_are_written_compressed(spark, fmt):
+    """Far fewer bytes than the text they hold, which any reader of the files gets back."""
+    many = spark.range(2000).select(*[F.concat(F.lit("http://a/same/address/"), "id").alias(c) for c in schemas.CATALOG.fieldNames()[:-1]],
+                                    F.array(F.lit("u1")).alias("image_url"))
+    path = fresh_path(spark, "t")
+    writers.write_catalog(many, fmt, path)
+    text = spark.read.text(path).agg(F.sum(F.length("value") + 1)).first()[0]
+    kept = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    assert kept < text / 5
+    assert rows(writers.load_catalog(spark, fmt, path)) == rows(many)
+
+
 def test_json_round_trip_is_exact(spark, catalog):
     path = fresh_path(spark, "t")
     writers.write_catalog_json(catalog, path)
