@@ -171,7 +171,7 @@ def custom_sink(spark, folder):
 
     writers.register_sink("orc", write_orc, read_orc)
     path = fresh_path(spark, "orc")
-    catalog = order_catalog(spark, folder)
+    catalog = materialize(order_catalog(spark, folder), "catalog")
     old = catalog.filter(F.col("persian_name") == "R").withColumn("english_name", F.lit("old"))
     writers.write_catalog(old, "ORC", path)
     return scalars(writers.merge_catalog(catalog, "orc", path))
