@@ -5,7 +5,8 @@ Each URL has one small value: attempts, whether one succeeded, the last error an
 came. Two event-time timers go with it. One fires when a failed URL is due again and emits
 ``due``; the other fires ``horizon`` after the last attempt and clears the value, whatever
 its standing, so state holds the URLs of one horizon, not of all time. A URL that returns
-after that starts anew.
+after that starts anew. A URL has few rows in a batch, so they are handed over as rows: a pandas
+frame per URL, in and out, would cost more than the work on it.
 
 State needs the RocksDB provider (``streams.with_rocksdb``); it lies on the executors' disks
 and in the checkpoint. ``streams.track_retries`` is the form without timers: a plain
@@ -16,8 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagecatalog import defaults as D
@@ -49,18 +49,19 @@ class RetryStanding(StatefulProcessor):
             return {ends}
         return {ends, -(-self.due_us(attempts, last_us) // 1000)}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self.standing.get() if self.standing.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.standing.get()
         # a batch hands over rows before it fires timers
         ended = kept and timerValues.getCurrentWatermarkInMs() * 1000 >= kept[3] + self.horizon_us
         set_before = self.timers(kept[0], kept[1], kept[3]) if kept else set()
         attempts, done, error, last_us = kept if kept and not ended else (0, False, None, None)
-        for part in rows:
-            attempts, done = attempts + len(part), done or bool(part["ok"].any())
-            newest = part.loc[part["at_us"].idxmax()]
-            if last_us is None or newest["at_us"] >= last_us:
-                last_us, error = int(newest["at_us"]), newest["error"]
-        error = None if error is None or pd.isna(error) else str(error)
+        newest = None
+        for row in rows:
+            attempts, done = attempts + 1, done or bool(row["ok"])
+            if newest is None or row["at_us"] > newest["at_us"]:
+                newest = row
+        if last_us is None or newest["at_us"] >= last_us:
+            last_us, error = newest["at_us"], newest["error"]
         wanted = self.timers(attempts, done, last_us)
         for timer in set_before - wanted:
             self.handle.deleteTimer(timer)
@@ -69,16 +70,17 @@ class RetryStanding(StatefulProcessor):
         self.standing.update((attempts, done, error, last_us))
         yield self.row(key[0], attempts, done, error, last_us)
 
-    def row(self, url: str, attempts: int, done: bool, error: str | None, last_us: int, due: bool = False) -> pd.DataFrame:
+    def row(self, url: str, attempts: int, done: bool, error: str | None, last_us: int, due: bool = False) -> Row:
         dead = not done and attempts >= self.max_attempts
         state = "done" if done else "dead" if dead else "due" if due else "retry"
-        return pd.DataFrame({"url": [url], "attempts": [attempts], "state": [state], "error": [error if dead else None],
-                             "retry_at_us": pd.array([None if done or dead else self.due_us(attempts, last_us)], "Int64")})
+        return Row(url=url, attempts=attempts, state=state, error=error if dead else None,
+                   retry_at_us=None if done or dead else self.due_us(attempts, last_us))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.standing.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.standing.get()
+        if kept is None:
             return
-        attempts, done, error, last_us = self.standing.get()
+        attempts, done, error, last_us = kept
         if expiredTimerInfo.getExpiryTimeInMs() * 1000 >= last_us + self.horizon_us:
             self.standing.clear()
         else:
@@ -99,7 +101,7 @@ def retry_standing(log: DataFrame, horizon: str, late: str, max_attempts: int =
     start = "timestamp '2000-01-01 00:00:00'"  # in whatever zone the session has
     seconds = log.sparkSession.sql(f"SELECT (unix_micros({start} + interval {horizon}) - unix_micros({start})) / 1e6").first()[0]
     rows = log.withWatermark("ts", late).select("url", "ok", "error", F.unix_micros("ts").alias("at_us"), "ts")
-    return rows.groupBy("url").transformWithStateInPandas(
+    return rows.groupBy("url").transformWithState(
         statefulProcessor=RetryStanding(max_attempts, delay, float(seconds)), outputStructType=_OUT,
         outputMode="Update", timeMode="EventTime")
 

@@ -1,5 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from pagecatalog.operators import progress as P
 from pagecatalog.session import fresh_path
@@ -171,6 +171,50 @@ def test_dedup_forgets_after_the_horizon(spark, place):
     assert counts == {"a": 2, **{f"only {d}": 1 for d in days}}  # the first day's, and the last's
 
 
+class _Held:
+    """A state handle that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.set, self.calls = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.set.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("timer")
+        self.set.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_retry_standing_takes_rows_and_asks_state_once(spark):
+    """Every call on the state leaves the Python process, and a frame per URL costs more than its work."""
+    held = _Held()
+    standing = R.RetryStanding(max_attempts=3, delay=0.5, horizon_seconds=10)
+    standing.init(held)
+    one = [Row(url="a", ok=False, error="e2", at_us=2_000_000), Row(url="a", ok=None, error="e1", at_us=1_000_000)]
+    assert list(standing.handleInputRows(("a",), iter(one), held)) == [
+        Row(url="a", attempts=2, state="retry", error=None, retry_at_us=3_000_000)]
+    assert held.calls == ["get", "timer", "timer", "update"] and held.set == {3000, 12000}
+    two = [Row(url="a", ok=False, error="e0", at_us=500_000)]
+    assert list(standing.handleInputRows(("a",), iter(two), held)) == [
+        Row(url="a", attempts=3, state="dead", error="e2", retry_at_us=None)]
+    assert held.calls[4:] == ["get", "timer", "update"] and held.set == {12000}
+
+
 def test_retry_state_ends_and_says_what_is_due(spark, place):
     """``late`` is long after every retry, so what is due says so, and what is old is gone."""
     arrivals = [
