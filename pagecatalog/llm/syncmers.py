@@ -8,10 +8,8 @@ least s-mer (by hash) is its first or its last. Whether a k-mer is chosen depend
 itself, so two texts that share a passage choose the same anchors in it, wherever it stands:
 about ``2 / (k - s + 1)`` of its k-mers.
 
-A fingerprint holds the least hashes of the distinct anchors, one in ``SHARE`` of them and at
-least ``LEAST``, each with the place of its first occurrence: a sample that grows with the text,
-and the same one in both texts below the lower of their largest hashes. There two fingerprints
-are compared. Anchors in common *match by position* if the common anchor before or after them,
+A fingerprint holds the hashes of all distinct anchors, each with the place of its first
+occurrence, so likeness counts whole texts. Anchors in common *match by position* if the common anchor before or after them,
 in the order of the text, lies at the same offset between the texts; the likeness is the
 share of anchors that do (Dice). A single anchor in common counts.
 
@@ -35,8 +33,9 @@ _END = r"(?:[0-9AEae]|[^\x00-\x7F])"
 LETTER = f"{_WITHIN}*+{_END}|{_WITHIN}++"
 K = 8
 S = 3
-SHARE = 8
-LEAST = 64
+#: Nothing is sampled: of the distinct anchors one in ``SHARE`` counts, ``LEAST`` at least, which no array exceeds.
+SHARE = 1
+LEAST = (1 << 31) - 1
 SLICE_BYTES = 32 << 20
 _HASH_BITS, _PLACE_BITS = 30, 32  # of an anchor in one number: hash, a bit to spare, place
 _HEX = 8
@@ -79,21 +78,15 @@ def place_of(anchor: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The least distinct anchors in order, each at its first place."""
-    firsts = bind(F.sort_array(anchors(text)), lambda a: F.filter(
+    """The distinct anchors in order, each at its first place."""
+    return bind(F.sort_array(anchors(text)), lambda a: F.filter(
         a, lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(a, i - 1)))))
-    return bind(firsts, lambda a: F.slice(a, 1, F.greatest(F.lit(LEAST), F.ceil(F.size(a) / SHARE).cast("int"))))
 
 
 def as_text(anchor_list: Column) -> Column:
     return F.array_join(F.transform(anchor_list, lambda x: F.lower(F.lpad(F.hex(hash_of(x)), _HEX, "0"))), "")
 
 
-def _limit(a: Column) -> Column:
-    """Up to which anchor a sketch is complete: all the way if it has fewer than it may have."""
-    return F.when(F.size(a) < LEAST, F.lit((1 << 63) - 1)).otherwise(F.element_at(a, -1).bitwiseOR(F.lit((1 << (_PLACE_BITS + 1)) - 1)))
-
-
 def _matches(a: Column, b: Column) -> Column:
     """Places of the anchors in common, ``(place in a) * 2**32 + (place in b)``, in the order of a."""
     mark = 1 << _PLACE_BITS  # after an anchor of a comes the same one of b
@@ -114,16 +107,9 @@ def _aligned(met: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the anchors that match by position, where both sketches are complete."""
-    def below(x: Column, y: Column) -> Column:
-        limit = F.least(_limit(x), _limit(y))
-        return F.filter(x, lambda v: v <= limit)
-
-    def of(x: Column, y: Column) -> Column:
-        number = F.size(x) + F.size(y)
-        return F.when(number == 0, 1.0).otherwise(2.0 * _aligned(_matches(x, y)) / number)
-
-    return bind(below(a, b), lambda x: bind(below(b, a), lambda y: of(x, y)))
+    """Share of the anchors of both texts that match by position."""
+    number = F.size(a) + F.size(b)
+    return F.when(number == 0, 1.0).otherwise(2.0 * _aligned(_matches(a, b)) / number)
 
 
 _KEY = ("doc_id", "_said")

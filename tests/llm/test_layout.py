@@ -113,6 +113,15 @@ def test_syncmers_equal_a_plain_version(spark):
     assert 0 < like[15, 16] < 0.05  # 100 words of 20,000, elsewhere in each
 
 
+def test_sketches_hold_every_anchor(spark):
+    """Long texts too: nothing of what two texts differ in is left out of the count."""
+    one, two = prose(21, 3000), prose(21, 1500) + " " + prose(22, 1500)
+    a, b = ({x >> 33 for x in plain_anchors(t)} for t in (one, two))
+    rows = frame(spark, [(1, one, "s"), (2, two, "s")]).select(syncmers.sketch(F.col("text")).alias("s"))
+    got = sorted(({x >> 33 for x in r.s} for r in rows.collect()), key=lambda x: x != a)
+    assert got == [a, b] and min(len(a), len(b)) > 600
+
+
 def test_syncmers_are_context_free_and_closed(spark):
     passage = prose(11, 200)
     rows = [(1, "a b c " + passage, "s"), (2, "completely other start of it " + passage + " and end", "s")]
