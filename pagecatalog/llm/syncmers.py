@@ -160,7 +160,8 @@ def next_documents(docs: DataFrame, slices: int | None = None) -> DataFrame:
     is_head = (F.col("_place") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_said") == F.col("_hash"))
     sent = placed.join(F.broadcast(heads), is_head).select("doc_id", "text", "_said", F.col("_to").alias("_place"), F.lit(True).alias("_sent"))
     both = placed.select("doc_id", "text", "_said", "_place", F.lit(False).alias("_sent")).unionByName(sent)
-    both = both.withColumn("sketch", sketch(F.col("text"))).repartition(slices, "_place")
+    # texts alone are shuffled: a sketch is as large as its text, and is made where the text arrives
+    both = both.repartition(slices, "_place").withColumn("sketch", sketch(F.col("text")))
     window = Window.partitionBy("_place").orderBy("_sent", *order)
     led = both.withColumns({"next_text": F.lead("text").over(window), "next_sketch": F.lead("sketch").over(window)})
     return led.filter("not _sent").select("doc_id", "text", "sketch", "next_text", "next_sketch")
