@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagecatalog.functions import array_to_json, join_array, split_text
 from pagecatalog.functions.ordering import first_n_within
@@ -70,17 +70,23 @@ def order_records(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("english_name"),
         F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("persian_name"),
         F.concat(F.lit("https://shop.example/o/"), "o_orderkey").alias("url"))
-    images = F.when(F.col("l_discount") == 0, F.array().cast("array<string>")).otherwise(
-        F.array(F.concat(F.lit("a/"), "l_suppkey"), F.concat(F.lit("b/"), "l_suppkey")))
     lines = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("id"), *LINE_ORDER,
-        F.col("l_returnflag").alias("persian_name"),
-        F.concat(F.lit('the "'), "l_partkey", F.lit('", boxed')).alias("english_name"),
-        F.when(F.col("l_linestatus") == "F", "").otherwise("کارخانه").alias("manufacturer"),
-        F.concat_ws("/", F.lit("https://shop.example/l"), "l_orderkey", "l_linenumber", "l_partkey").alias("url"),
-        images.alias("image_url"))
-    return E.nest_children(orders, lines, "id", LINE_ORDER,
-                           ["persian_name", "english_name", "manufacturer", "url", "image_url"], PART_SIZE)
+        F.col("l_orderkey").cast("string").alias("id"), *LINE_ORDER, "l_returnflag", "l_linestatus")
+
+    def child(line: Column, key: Column) -> Column:
+        images = F.when(line["l_discount"] == 0, F.array().cast("array<string>")).otherwise(
+            F.array(F.concat(F.lit("a/"), line["l_suppkey"]), F.concat(F.lit("b/"), line["l_suppkey"])))
+        return F.struct(
+            line["l_returnflag"].alias("persian_name"),
+            F.concat(F.lit('the "'), line["l_partkey"], F.lit('", boxed')).alias("english_name"),
+            F.when(line["l_linestatus"] == "F", "").otherwise("کارخانه").alias("manufacturer"),
+            F.concat_ws("/", F.lit("https://shop.example/l"), key, line["l_linenumber"], line["l_partkey"]).alias("url"),
+            images.alias("image_url"))
+
+    # texts are made of the nested lines: the lines are dealt out by their columns alone
+    nested = E.nest_children(orders, lines, "id", LINE_ORDER,
+                             ["l_returnflag", "l_partkey", "l_linestatus", "l_linenumber", "l_discount", "l_suppkey"], PART_SIZE)
+    return nested.withColumn("children", F.transform("children", lambda line: child(line, F.col("id"))))
 
 
 def order_catalog(spark: SparkSession, folder: str) -> DataFrame:

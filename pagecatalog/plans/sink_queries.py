@@ -12,7 +12,7 @@ from pagecatalog.operators import links as L
 from pagecatalog.plans.enrich_queries import CATALOG_SQL, order_catalog, scalars
 from pagecatalog.plans.link_queries import ATTEMPTED, FRONTIER, LINKS, attempted, frontier, links
 from pagecatalog.plans.registry import query, table
-from pagecatalog.session import fresh_path, materialize, session_conf
+from pagecatalog.session import discard, fresh_path, materialize, remove_path, session_conf
 from pagecatalog.sources import readers, state, writers
 from pagecatalog.sources.committed import CommittedSink, read_committed
 
@@ -104,7 +104,9 @@ def sink_dispatch(spark, folder):
     for asked in ("JSON", "Csv", "parquet", "xml?"):
         path = fresh_path(spark, "dispatch")
         written = writers.write_catalog(catalog, asked, path)
-        counted.append(_contents(writers.load_catalog(spark, written, path), asked=asked, written=written))
+        counted.append(materialize(_contents(writers.load_catalog(spark, written, path), asked=asked, written=written), "contents"))
+        remove_path(spark, path)  # what was read back: the formats need not lie on disk together
+    discard(catalog)
     return L.union_links(*counted)
 
 

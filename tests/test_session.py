@@ -1,6 +1,7 @@
 """Intermediate tables: kept, discarded, and deleted with a block."""
 
 import os
+import time
 
 import pytest
 
@@ -40,3 +41,17 @@ def test_paths_move_and_go(spark):
     spark.range(2).write.parquet(path)
     assert not move_path(spark, path, f"{path}-to")  # never over what is there
     assert remove_path(spark, path) and not remove_path(spark, path) and spark.read.parquet(f"{path}-to").count() == 1
+
+
+def test_what_a_materialized_table_shuffled_is_deleted(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getPath() for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
+
+    before = shuffled()
+    kept = materialize(spark.range(1000).repartition(3, "id"), "shuffled")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert kept.count() == 1000

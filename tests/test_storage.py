@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagecatalog import schemas
 from pagecatalog.operators import frontier as R
-from pagecatalog.session import fresh_path, session_conf, shared_dir
+from pagecatalog.session import fresh_path, list_names, session_conf, shared_dir
 from pagecatalog.sources import readers, state, writers
 
 ROWS = [
@@ -218,3 +218,20 @@ def test_image_paths(spark):
 
 def test_the_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_dispatched_formats_do_not_lie_on_disk_together(spark, tmp_path):
+    """Each is written, read back and deleted; the rows of the result are kept apart."""
+    from pagecatalog.plans.sink_queries import sink_dispatch
+    spark.sql("SELECT id AS o_orderkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority FROM range(3)") \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("""SELECT id % 3 AS l_orderkey, id AS l_linenumber, id AS l_partkey, id AS l_suppkey, 1.0D AS l_quantity,
+        1.0D AS l_extendedprice, DATE'2024-01-01' AS l_shipdate, 0.0D AS l_discount, 0.0D AS l_tax, 'R' AS l_returnflag,
+        'F' AS l_linestatus FROM range(10)""").write.parquet(str(tmp_path / "lineitem.parquet"))
+    kept = f"{shared_dir(spark)}/pagecatalog"
+    before = set(list_names(spark, kept))
+    found = sink_dispatch(spark, str(tmp_path))
+    left = {n.split("-")[0] for n in set(list_names(spark, kept)) - before}
+    assert not left & {"dispatch", "dispatched"}
+    assert [(r.asked, r.written, r.rows) for r in found.orderBy("asked").collect()] == [
+        ("Csv", "csv", 10), ("JSON", "json", 10), ("parquet", "parquet", 10), ("xml?", "json", 10)]
