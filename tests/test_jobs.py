@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagecatalog import schemas
+from pagecatalog.operators import enrich as E
 from pagecatalog.plans import jobs
 from pagecatalog.session import fresh_path, session_conf
 from pagecatalog.sources import readers, state, writers
@@ -247,3 +248,32 @@ def test_enrich_reads_the_newest_of_repeated_captures(spark, shop, root):
     assert rows(jobs.enrich(spark, first, again, FIRST, SECOND, f"{root}/again", per_letter=3)) == rows(once)
     stale = jobs.Sources(newest, as_of="2024-02-01 00:00:00")
     assert jobs.enrich(spark, first, stale, FIRST, SECOND, f"{root}/stale").count() == 0
+
+
+def test_captures_of_a_long_list_are_neither_sorted_nor_spilled(spark, root):
+    """The list is hashed, bucket by bucket, and the HTML passes through."""
+    name = "captures_" + root.rsplit("-", 1)[-1]
+    writers.write_capture_table(spark.range(500).selectExpr("concat('u', id) url", "concat('<h1>', id, '</h1>') html"), name, 8, f"{root}/captures")
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__autoBroadcastJoinThreshold=-1), \
+            jobs._streamed(spark):
+        got = jobs._captured(spark.range(0, 600, 2).selectExpr("concat('u', id) url"), spark.table(name))
+        assert got.count() == len(got.collect()) == 250
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+
+
+def test_buckets_grow_with_the_captures():
+    assert writers.capture_buckets(0) == writers.capture_buckets(1_000_000) == writers.LEAST_BUCKETS
+    for pages in (9_000_000, 54_000_000):
+        assert pages / writers.capture_buckets(pages) <= writers.PAGES_PER_BUCKET
+
+
+def test_children_of_bounded_parents_are_shuffled_once(spark):
+    parents = spark.range(3).selectExpr("id k")
+    children = spark.range(9).selectExpr("id % 2 k", "id n")
+    with session_conf(spark, spark__sql__adaptive__enabled=False):
+        nested = E.nest_children(parents, children, "k", ["n"], ["n"], None)
+        plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the children and the parents
+    assert sorted((r.k, r.part, [c.n for c in r.children]) for r in nested.collect()) == [
+        (0, 0, [0, 2, 4, 6, 8]), (1, 0, [1, 3, 5, 7]), (2, 0, [])]
