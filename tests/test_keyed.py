@@ -140,3 +140,15 @@ def test_merge_takes_the_place_by_renaming(spark):
     assert sorted((r.generic_url, r.generic_id) for r in merged.collect()) == [("own 0", "x"), ("own 1", "x"), ("own 2", "x"), ("same", "2")]
     writers.move_path(spark, path, writers._aside(path))  # died between two renames
     assert writers.load_catalog(spark, "json", path).count() == 4
+
+
+def test_a_save_ahead_of_a_reading_leaves_nothing_to_join(spark, table):
+    table.save(frame(spark, [(f"u{i}", i, "x") for i in range(400)]))
+    table.save(frame(spark, [("u1", -1, "y")]), frame(spark, [("u1", 0, ""), ("u2", 0, "")]), covered=True, ahead=True)
+    assert {s.seq for s in table.manifest()[1]} == {1, 2}  # a small change is laid over
+    rows = [(f"u{i}", -i, "z") for i in range(2, 400)]
+    table.save(frame(spark, rows), frame(spark, [(f"u{i}", 0, "") for i in range(400)]), covered=True, ahead=True)
+    sets = table.manifest()[1]
+    assert {s.seq for s in sets} == {3} and all(s.keys_path is None for s in sets)
+    assert "Join" not in table.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.url, r.n) for r in table.read().collect()) == sorted((u, n) for u, n, _ in rows)
