@@ -277,3 +277,27 @@ def test_children_of_bounded_parents_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2  # the children and the parents
     assert sorted((r.k, r.part, [c.n for c in r.children]) for r in nested.collect()) == [
         (0, 0, [0, 2, 4, 6, 8]), (1, 0, [1, 3, 5, 7]), (2, 0, [])]
+
+
+def test_records_are_dealt_out_only_if_urls_repeat(spark, monkeypatch):
+    dealt = []
+    frame = type(spark.range(0))
+    drop = frame.dropDuplicates
+    monkeypatch.setattr(frame, "dropDuplicates", lambda self, *a: dealt.append(a) or drop(self, *a))
+    rows = [(f"u{i}", "x" * i) for i in range(50)]
+    once = jobs._written_once(spark.createDataFrame(rows, "url string, html string"), "once-test")
+    assert sorted(map(tuple, once.collect())) == sorted(rows) and not dealt
+    twice = jobs._written_once(spark.createDataFrame(rows + rows[:9], "url string, html string"), "once-test")
+    assert sorted(map(tuple, twice.collect())) == sorted(rows) and len(dealt) == 1
+
+
+def test_accounts_take_a_link_without_error_for_done(spark):
+    batches = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1), ("c", 1), (None, 1)], "url string, batch_no long")
+    records = spark.createDataFrame([("a",), ("b",), ("b",)], "url string")
+    log = spark.createDataFrame([("a", 1, 0.5, 10), ("a", 2, 0.25, 9), ("z", 1, 9.0, 1), (None, 1, 9.0, 1)],
+                                "url string, attempt int, elapsed double, t int").selectExpr("url", "attempt", "elapsed", "cast(t as timestamp) ts")
+    errors = jobs.X.without_record(batches, records)
+    assert sorted(str(r.url) for r in errors.collect()) == ["None", "c"]
+    found = jobs._accounted(batches, errors, jobs.Sources(records, fetch_log=log)).collect()
+    assert sorted((str(r.url), r.batch_no, r.ok, r.retries, r.elapsed) for r in found) == [
+        ("None", 1, False, 0, None), ("a", 0, True, 1, 0.75), ("b", 0, True, 0, None), ("b", 1, True, 0, None), ("c", 1, False, 0, None)]
