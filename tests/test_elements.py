@@ -221,3 +221,44 @@ def test_long_pages_take_linear_time(spark):
         assert pages.agg(F.max(column)).first()[0] == want
         assert time.perf_counter() - began < 8  # quadratic: minutes
     pages.unpersist()
+
+
+def test_elements_that_no_selector_names_stay_behind_and_the_others_are_found_alike(spark):
+    captures = spark.createDataFrame([("u", PAGE)], "url string, html string")
+    whole = elements(captures)
+    for selectors in (("a",), (".card a", "ul.az-list li"), ("div.card.x span a.k", "i"), (".nested .nested",), (".absent", "#main a[href]")):
+        only = S.names_of(*selectors)
+        reduced = elements(captures, only=only)
+        found = [S.matches(s) for s in selectors] + [S.first_matching(selectors)]
+        texts = [F.transform(f, S.text_of).alias(f"t{i}") for i, f in enumerate(found)]
+        attrs = [F.transform(f, lambda e: F.map_entries(e["attrs"])).alias(f"a{i}") for i, f in enumerate(found)]
+        assert reduced.select(*texts, *attrs).collect() == whole.select(*texts, *attrs).collect()
+        kept, every = (d.select(F.size("elements").alias("n")).first().n for d in (reduced, whole))
+        assert kept < every
+    assert S.names_of("a", "[href]") is None  # any element may have the attribute
+
+
+def test_record_and_child_fields_need_the_named_elements_alone(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html").limit(200).collect()
+    rows += [("r", '<p>x<h1> T &amp; </h1><b class=EnglishTopLabel></b><i class="company"> M\n</i><div class=image><p>y<img src="/i.png"></div>'
+              '<ul class="composition z">a<li>one<li> two <b>deep</b></ul><div class="text-xs-center"><a class=ahref_Generic href=/c/1>q</a>'
+              '<a class=ahref_Generic>no</a><span><a class="ahref_Generic" href="p/3">w</a></span><a class=ahref_Generic href=/c/1>q</a></div>'
+              '<a class=ahref_Generic href=/out>o</a>'),
+             ("s", '<div class="text-xs-center"><div class="text-xs-center"><a class=ahref_Generic href=a></a></div></div>'
+              '<div class="text-xs-center"><a class=ahref_Generic href=/b></a></div><div class="formula">one text</div>'),
+             ("c", '<h1 id="h1PersianName">P</h1><h2 id="h2EnglishName">E</h2><a class="ahref_GenericWhiteColor x">7</a>')]
+    captures = spark.createDataFrame(rows, "url string, html string")
+    for names, fields in ((X.RECORD_NAMES, lambda d: X.record_fields(d, "https://a.example")), (X.CHILD_NAMES, X.child_fields)):
+        got = {r.url: r for r in fields(elements(captures, only=names)).collect()}
+        assert got == {r.url: r for r in fields(elements(captures)).collect()} and len(got) == len({r[0] for r in rows})
+        if "combinations" in got["r"]:
+            assert got["r"].combinations == ["one", "two deep"] and got["r"].child_urls == ["https://a.example/c/1", "https://a.example/p/3"]
+            assert got["s"].child_urls == ["https://a.example/a", "https://a.example/b"] and got["s"].combinations == ["one text"]
+            assert (got["r"].manufacturer, got["r"].image_src, got["r"].english_name, got["r"].persian_name) == ("M", "/i.png", "", "T &")
+
+
+def test_fields_by_a_name_take_no_lambda(spark):
+    docs = elements(spark.createDataFrame([("u", PAGE)], "url string, html string"))
+    plan = docs.select(X.field_text(".card", "h1"), X.field_attribute("src", ".k", "#main")) \
+        ._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
